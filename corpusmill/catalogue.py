@@ -1,0 +1,6 @@
+"""All queries of the library outside corpusmill.llm, with their DuckDB equivalents."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
