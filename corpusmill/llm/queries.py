@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat_format, exact_dedup, sharding, simhash
+from corpusmill.llm import bpe, chat_format, exact_dedup, kneser_ney, license_scan, packing, quality_rules, sharding, simhash, toxicity
 from corpusmill.llm.common import table
 
+#: A file of the public tokenizers, found where the tasks run.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digests=True)
@@ -20,10 +29,62 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = kneser_ney.fit(docs, labels.where("quality = 1").select("doc_id"))
+    return kneser_ney.classify(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, host, text, regexp_extract_all(text, '[^ \t-\r]+') AS w FROM docs),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) > 2),
+named AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM windows),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM named WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, host, text, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]'))) AS line FROM docs),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+normal AS (SELECT doc_id, host, ('0x' || substr(md5(text), 1, 15))::BIGINT AS t, lower(regexp_replace(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t-\r]+', ' ', 'g')) AS line FROM lines),
+hosts AS (SELECT host, count(DISTINCT t) AS docs FROM normal GROUP BY host),
+frequent AS (SELECT host, line, count(DISTINCT t) AS n, min(t) AS stays FROM normal GROUP BY host, line HAVING count(DISTINCT t) > {quality_rules.LINE_DOCS}),
+removed AS (SELECT doc_id, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM normal JOIN frequent USING (host, line) JOIN hosts USING (host)
+            WHERE frequent.n > {quality_rules.LINE_SHARE} * docs AND t <> stays GROUP BY doc_id),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS word_chars,
+                length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+                coalesce(repeated.n, 0) AS n_repeat_words, CAST(coalesce(removed.n, 0) AS BIGINT) AS removed_words
+         FROM words LEFT JOIN dups USING (doc_id) LEFT JOIN repeated USING (doc_id) LEFT JOIN removed USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+       NOT base_failed AND NOT (n_words - removed_words < {quality_rules.LEFT} * n_words) AS kept
+FROM judged
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.PREDICT).cast("int").alias("predicted"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,5 +123,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op6_sharding": op6_sharding, "op9_chat_format": op9_chat_format, "op10_simhash": op10_simhash}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op9_chat_format": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_kneser_ney, op3_quality_rules, op4_packing, op5_license_scan, op6_sharding, op7_bpe, op8_toxicity, op9_chat_format, op10_simhash)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_license_scan": license_scan.scan_sql(), "op9_chat_format": OP9_SQL}
