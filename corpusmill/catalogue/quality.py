@@ -36,8 +36,8 @@ def _checks_sql(limits: quality.Limits) -> dict[str, str]:
     """The reason code of each check as an expression over t, lines and nb."""
     csv = "list_transform(list_filter(lines[1:50], lambda x: regexp_matches(x, '[^\\s]')), lambda x: length(x) - length(replace(x, ',', '')))"
     names = f"list_filter(regexp_extract_all(substr(t, 1, 10000), '{quality.NAME_PATTERN}', 1), lambda x: lower(x) NOT IN ({', '.join(map(_quote, quality.SHORT_NAMES))}))"
-    braces = "length(t) - length(replace(t, '{', '')), length(t) - length(replace(t, '}', ''))".split(", ")
-    off = f"abs(({braces[0]}) - ({braces[1]}))"
+    opened, closed = (f"(length(t) - length(replace(t, '{b}', '')))" for b in "{}")
+    off = f"abs({opened} - {closed})"
     secrets = " OR ".join(f"regexp_matches(substr(t, 1, 5000), {_quote(p)})" for p in quality.SECRETS)
     when = lambda test, reason: f"CASE WHEN {test} THEN '{reason}' END"
     return {
@@ -52,7 +52,7 @@ def _checks_sql(limits: quality.Limits) -> dict[str, str]:
             WHEN list_min({csv}) > 3 AND list_var_pop({csv}) < 2.0 AND list_avg({csv}) > 5 THEN 'data_file_csv' END""",
         "comment_ratio": when(f"len(nb) >= 10 AND len(list_filter(nb, lambda x: {_any('x', quality.COMMENT_STARTS, 'starts_with')})) > {limits.max_comments} * len(nb)", "mostly_comments"),
         "not_test_heavy": when(f"len(nb) >= 20 AND len(list_filter(nb, lambda x: {_any('x', quality.ASSERT_STARTS, 'starts_with')})) > {limits.max_asserts} * len(nb)", "assertion_dump"),
-        "js_ts_parseable": when(f"{_sum('substr(t, 1, 2000)', quality.JS_SIGNS)} >= 2 AND {off} > 5 AND {off} / greatest({braces[0]}, 1) > 0.2", "js_brace_imbalance"),
+        "js_ts_parseable": when(f"{_sum('substr(t, 1, 2000)', quality.JS_SIGNS)} >= 2 AND {off} > 5 AND {off} / greatest({opened}, 1) > 0.2", "js_brace_imbalance"),
         "has_functions_or_classes": when(f"len(list_filter(lines, lambda x: {_any('x', quality.DEFINITIONS, 'contains')} AND NOT {_any(STRIP.format('x'), ('#', '//', '*'), 'starts_with')})) = 0", "no_structure"),
         "naming_quality": when(f"len(regexp_extract_all(substr(t, 1, 10000), '{quality.NAME_PATTERN}', 1)) >= 5 AND list_avg(list_transform({names}, lambda x: length(x))) < 3.0", "short_names"),
         "code_to_blank_ratio": when("len(lines) >= 10 AND len(nb) < 0.5 * len(lines)", "too_sparse"),
