@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.catalogue import quality
+from corpusmill.catalogue import datasets, quality, transform
 
-_MODULES = (quality,)
+_MODULES = (quality, transform, datasets)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

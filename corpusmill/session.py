@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "corpusmill", **conf: str) -> SparkSession:
@@ -18,3 +22,28 @@ def session(app: str = "corpusmill", **conf: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A side of a join is broadcast only when a count has shown that it has no more rows than this.
+BROADCAST_ROWS = 200_000
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir; one is set only where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="corpusmill-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage: df as Parquet in the shared work folder, read again."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, cheap to count, with a broadcast hint if it is small, else as it is for a shuffled join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
