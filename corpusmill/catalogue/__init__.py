@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.catalogue import datasets, quality, transform
+from corpusmill.catalogue import analysis, datasets, generic, quality, transform
 
-_MODULES = (quality, transform, datasets)
+_MODULES = (quality, transform, datasets, analysis, generic)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunk, transform
+from corpusmill.catalogue.quality import _sum
+from corpusmill.operators import chunk, quality, transform
 from corpusmill.session import table
 
 
@@ -100,7 +101,10 @@ def _fim_sql(mode: str) -> str:
     SELECT doc_id, CASE WHEN n < 10 THEN n ELSE n + 3 END AS n, {', '.join(f"CASE WHEN n < 10 THEN 0 ELSE {x.split(' AS ')[0]} END AS {x.split(' AS ')[1]}" for x in spots.split(', '))} FROM c"""
 
 
+_HEAD = "substr(coalesce(text, ''), 1, 2000)"
 ORACLES = {
+    "q_metadata": f"""SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS line_count, length(coalesce(text, '')) AS char_count, sha256(coalesce(text, '')) AS content_hash,
+        CASE WHEN {_sum(_HEAD, quality.JS_VETO)} < 2 AND {_sum(_HEAD, quality.PYTHON_SIGNS)} >= 2 THEN 'python' WHEN {_sum(_HEAD, quality.JS_SIGNS)} >= 2 THEN 'typescript' ELSE 'unknown' END AS estimated_language FROM documents""",
     "q_normalize_ws": r"SELECT page_id, sha256(t) AS sha, length(t) AS n_chars FROM (SELECT page_id, regexp_replace(regexp_replace(replace(coalesce(html, ''), chr(9), '    '), ' +(\n|$)', '\1', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g') AS t FROM pages)",
     "q_formatting_std": r"""
         WITH a AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
