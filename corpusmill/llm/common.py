@@ -41,3 +41,9 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     df should be cheap to count: a written table.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by position, which no column of an operator can clash with; the new name of each."""
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))

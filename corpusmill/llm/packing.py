@@ -66,8 +66,8 @@ def _encoder(path: str) -> LibraryEncoder:
 def cuts(doc_ends: np.ndarray, sentence_ends: np.ndarray, total: int, last: bool, length: int = LENGTH) -> np.ndarray:
     """Ends of the windows that cost least. Unless last, they stop within the final `length` tokens."""
     where = np.unique(np.concatenate([[0], doc_ends, sentence_ends, [total]]))
-    gaps = np.diff(where)
-    fill = [np.arange(where[k] + GAP, where[k + 1], GAP) for k in np.flatnonzero(gaps > GAP)]
+    gaps, step = np.diff(where), min(GAP, max(1, length // 8))
+    fill = [np.arange(where[k] + step, where[k + 1], step) for k in np.flatnonzero(gaps > step)]
     tail = [np.arange(max(0, total - length), total)] if last else []
     where = np.unique(np.concatenate([where, *fill, *tail]))
     price = np.full(len(where), INSIDE)

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import small_side, written
+from corpusmill.llm.common import plain_names, small_side, written
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[ \t-\r]+"
@@ -121,6 +121,7 @@ def drop_bad(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     """The documents that pass, with all their columns."""
     removed = removed_words(docs, id_col, text_col, host_col).where("removed > 0")
     removed = small_side(written(removed.withColumnsRenamed({"doc_id": "_id", "removed": "_removed"})))
-    passed = base_rules(docs, text_col).where("NOT base_failed").join(removed, F.col(id_col) == F.col("_id"), "left")
+    plain, name = plain_names(docs)
+    passed = base_rules(plain, name[text_col]).where("NOT base_failed").join(removed, F.col(name[id_col]) == F.col("_id"), "left")
     passed = passed.withColumn("removed", F.coalesce("_removed", F.lit(0))).where(~_depleted())
-    return passed.select(*docs.columns)
+    return passed.select(*plain.columns).toDF(*docs.columns)
