@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import jaccard, text_or_empty
+from corpusmill.functions.text import jaccard, let, text_or_empty
 from corpusmill.session import small_side, written
 
 PRIME, PERMUTATIONS, BANDS, SHINGLE = (1 << 31) - 1, 128, 16, 5
@@ -123,9 +123,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def word_grams(text: Column, n: int) -> Column:
     """Different hashed word n-grams of the normalised text; the whole text if it has fewer words."""
-    words = F.split(normal_text(text), " ")
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))
-    return F.when(normal_text(text) == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams))
+    grams = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+    of = lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(let(F.split(t, " "), grams)))
+    return let(normal_text(text), of)
 
 
 def containment(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -157,5 +157,5 @@ def pair_similarity(pairs: DataFrame, a: str, b: str, n: int = 3) -> DataFrame:
     from corpusmill.functions.text import char_ngrams
 
     tokens = lambda c: F.filter(F.array_distinct(F.split(normal_text(F.col(c)), " ")), lambda w: w != "")
-    grams = lambda c: char_ngrams(normal_text(F.col(c)), n)
+    grams = lambda c: let(normal_text(F.col(c)), lambda t: char_ngrams(t, n))
     return pairs.withColumns({"char_jaccard": jaccard(grams(a), grams(b)), "token_jaccard": jaccard(tokens(a), tokens(b))})
