@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import plain_names, small_side, written
+from corpusmill.llm.common import BROADCAST_ROWS, plain_names, small_side, written
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD_BREAK = r"[ \t-\r]+"
@@ -88,11 +88,14 @@ def text_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, removed: words of a document's removed lines, where there are any."""
+def _normal(line: Column) -> Column:
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), WORD_BREAK, " "))
+
+
+def _removed_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """doc_id, host, text (its hash), key, words: the lines above their host's limit, without those of the text that keeps them."""
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(host_col), F.lit(""))
-    normal = lambda line: F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), WORD_BREAK, " "))
-    of = F.transform(lines_of(text), lambda x: _let(normal(x), lambda y: F.struct(
+    of = F.transform(lines_of(text), lambda x: _let(_normal(x), lambda y: F.struct(
         F.xxhash64(host, y).alias("key"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("words"))))
     lines = written(docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), text_hash(text).alias("text"), F.explode(of).alias("x"))
                     .select("doc_id", "host", "text", "x.key", "x.words"))
@@ -101,7 +104,12 @@ def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .groupBy("key", "host").agg(F.count("*").alias("n"), F.min("text").alias("stays")).where(F.col("n") > LINE_DOCS))
     hosts = lines.groupBy("host", "text").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("docs"))
     above = small_side(written(per_line.join(hosts, "host").where(F.col("n") > LINE_SHARE * F.col("docs")).select("key", "stays")))
-    return lines.join(above, "key").where("text <> stays").groupBy("doc_id").agg(F.sum("words").alias("removed"))
+    return lines.join(above, "key").where("text <> stays").drop("stays")
+
+
+def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, removed: words of a document's removed lines, where there are any."""
+    return _removed_lines(docs, id_col, text_col, host_col).groupBy("doc_id").agg(F.sum("words").alias("removed"))
 
 
 def _depleted() -> Column:
@@ -117,11 +125,39 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                       F.col("removed").alias("removed_words"), (~F.col("base_failed") & ~_depleted()).alias("kept"))
 
 
-def drop_bad(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns."""
-    removed = removed_words(docs, id_col, text_col, host_col).where("removed > 0")
-    removed = small_side(written(removed.withColumnsRenamed({"doc_id": "_id", "removed": "_removed"})))
+def _cleaned(docs: DataFrame, cut: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """docs with a column cleaned: the text without the lines whose keys cut (_host, _text, keys) lists for its host and hash."""
+    text, host = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(host_col), F.lit(""))
+    # what is broadcast is bounded by the lines, not only by the texts that have some
+    few = (cut.agg(F.sum(F.size("keys"))).head()[0] or 0) <= BROADCAST_ROWS
+    out = docs.join(F.broadcast(cut) if few else cut, (host == F.col("_host")) & (text_hash(text) == F.col("_text")), "left")
+    stays = lambda line: (F.btrim(line, F.lit(SPACES)) == "") | ~F.array_contains("keys", F.xxhash64(host, _normal(line)))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n")
+    return out.withColumn("cleaned", F.when(F.col("keys").isNull(), F.col(text_col)).otherwise(kept)).drop("_host", "_text", "keys")
+
+
+def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """All documents and columns, the text without its removed lines and chars_col, where docs has it, as its length."""
+    plain, name = plain_names(docs)
+    out = _cleaned(plain, _cuts(docs, text_col, host_col), name[text_col], name[host_col])
+    return _with_cleaned(out, docs, name, text_col, chars_col)
+
+
+def _cuts(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    lines = _removed_lines(docs.select(F.lit(0).alias("_id"), text_col, host_col), "_id", text_col, host_col)
+    return written(lines.groupBy(F.col("host").alias("_host"), F.col("text").alias("_text")).agg(F.collect_set("key").alias("keys")))
+
+
+def _with_cleaned(plain: DataFrame, docs: DataFrame, name: dict[str, str], text_col: str, chars_col: str) -> DataFrame:
+    """plain's column cleaned in the place of the text, and its length in that of chars_col; the columns of docs."""
+    new = {text_col: F.col("cleaned"), chars_col: F.length("cleaned").cast(dict(docs.dtypes).get(chars_col, "long"))}
+    return plain.select(*[new.get(c, F.col(name[c])).alias(c) for c in docs.columns])
+
+
+def drop_bad(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The documents that pass, with all their columns; texts and chars_col as clean gives them."""
     plain, name = plain_names(docs)
-    passed = base_rules(plain, name[text_col]).where("NOT base_failed").join(removed, F.col(name[id_col]) == F.col("_id"), "left")
-    passed = passed.withColumn("removed", F.coalesce("_removed", F.lit(0))).where(~_depleted())
-    return passed.select(*plain.columns).toDF(*docs.columns)
+    passed = base_rules(plain, name[text_col]).where("NOT base_failed").select(*plain.columns, "n_words")
+    out = _cleaned(passed, _cuts(docs, text_col, host_col), name[text_col], name[host_col])
+    left = F.when(F.col("cleaned") == F.col(name[text_col]), F.col("n_words")).otherwise(F.size(words_of(F.col("cleaned"))))
+    return _with_cleaned(out.where(~(left < LEFT * F.col("n_words"))), docs, name, text_col, chars_col)

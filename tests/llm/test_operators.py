@@ -101,6 +101,23 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.quality(empty).count() == 0
 
 
+def test_quality_rules_remove_lines(spark, docs, empty):
+    """Lines above the limit are gone from the texts, but from one; repeated and null ids and other hosts do no harm."""
+    line, rare = "Subscribe  to our weekly letter", lambda k: f"\n a line of its own {k} \n\n"
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    given = [(None if k == 7 else 5 if k in (8, 9) else k, f"{line}\n{body(k)}{rare(k)}{line.upper()}\t\n", "h", -1) for k in range(60)]
+    given += [(100, f"{line}\n{body(100)}", "other", -1), (101, None, "h", -1), (102, f"{body(102)}\n{line} now", None, -1)]
+    frame = spark.createDataFrame(given, "doc_id long, text string, source string, n_chars int")
+    stays = min((t for _, t, h, _ in given if h == "h" and t), key=lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16))
+    want = [(i, t if t is None or h != "h" or t == stays else "\n".join(x for x in t.split("\n") if x.lower().split() != line.lower().split()), h) for i, t, h, _ in given]
+    expected = sorted([(i, t, h, None if t is None else len(t)) for i, t, h in want], key=repr)
+    assert sum(a[1] != b[1] for a, b in zip(given, want, strict=True)) == 59
+    out = quality_rules.clean(frame)
+    assert out.schema == frame.schema and sorted(map(tuple, out.collect()), key=repr) == expected
+    assert sorted(map(tuple, quality_rules.drop_bad(frame).collect()), key=repr) == [r for r in expected if r[1] is not None]
+    assert quality_rules.clean(docs).count() == len(rows()) and quality_rules.clean(empty).count() == 0
+
+
 def test_packing(spark, docs, empty):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.no_truncation(), tokenizer.no_padding()
