@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusmill.llm import bpe, chat_format, exact_dedup, kneser_ney, license_scan, packing, quality_rules, sharding, simhash, toxicity
+from corpusmill.llm import bpe, chat_format, exact_dedup, kneser_ney, license_scan, near_copies, packing, quality_rules, sharding, simhash, toxicity
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, lang string, source string, n long, kept boolean, perplexity double, len int, n_words long"
@@ -294,3 +294,35 @@ def test_covering_masks():
     """Any two differing positions leave some mask untouched."""
     masks = simhash.masks()
     assert len(masks) == 7 and all(any(not (m >> a & 1 or m >> b & 1) for m in masks) for a in range(64) for b in range(64))
+
+
+@pytest.mark.parametrize("pairs", [3, 1000])
+def test_near_copies(spark, docs, empty, pairs):
+    """The pipeline's stage links what brute force links at a five-word Jaccard of 0.8, in small and in large buckets."""
+    import corpus_pipeline
+
+    r, given = random.Random(8), []
+    for k in range(14):
+        words = [f"w{k}x{j}" for j in range(120)]
+        given.append((len(given), " ".join(words)))
+        for n in range(9 if k < 2 else 2):  # copies with one to four words replaced: from well above to below 0.8
+            copy = list(words)
+            for at in r.sample(range(120), 1 + n % 4):
+                copy[at] = f"v{k}x{n}x{at}"
+            given.append((len(given), " ".join(copy)))
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in given}
+    root = {i: i for i in grams}
+    near = [(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    for _ in given:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {i for i in root if root[i] == i}
+    assert 14 <= len(want) < len(given) - 14
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    assert {x.doc_id for x in near_copies.drop_near_copies(frame, pairs=pairs).collect()} == want
+    if pairs > 3:
+        assert {x.doc_id for x in corpus_pipeline.near_copies(spark, frame, "").collect()} == want
+        out = near_copies.drop_near_copies(docs)
+        assert out.columns == docs.columns and {x.n for x in out.collect()} == {7} and near_copies.drop_near_copies(empty).count() == 0
+        repeats = spark.createDataFrame([(5, given[0][1]), (9, given[1][1]), (5, "b " * 30), (None, given[0][1] + " end"), (None, "c d e f g h")], frame.schema)
+        assert sorted((x.doc_id or 0, x.text[0]) for x in near_copies.drop_near_copies(repeats).collect()) == [(0, "c"), (5, "b"), (5, "w")]
