@@ -28,13 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; one is set only where the session names none."""
+def work_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below spark.checkpoint.dir.
+
+    A temporary folder takes its place only on a single machine; a cluster must name a shared one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/corpusmill-{spark.sparkContext.applicationId}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh name in that folder."""
+    return f"{work_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application. Frames made from them can't be read afterwards: write results first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -44,6 +60,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by position, which no column of an operator can clash with; the new name of each."""
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, cheap to count, with a broadcast hint if it is small, else as it is for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
