@@ -3,12 +3,15 @@
 The merge list of a public tokenizer file gives its sufficient lookahead: how many bytes to the right
 of a token can still change it. A long pretoken is merged in a window of fixed length; tokens
 that end at least the lookahead before the window's end are stable and are emitted, and the window
-starts again at the last of their ends. Decoding feeds the bytes of each token to a byte-to-text state
-machine. Memory besides a row's own text and ids is constant: a bounded table of the short stretches seen.
+starts again at the last of their ends. A text is read in pieces of bounded length that end where a
+pretoken surely ends, so ids leave as they become stable, and decoding feeds their bytes to a byte-to-text state machine.
+Memory besides a row's own text is constant: a piece and a bounded table of the short stretches seen,
+which is emptied when a task ends.
 
 Defined cases: a null text counts as empty and has no tokens; strings of special tokens inside a text
 are encoded as the tokenizers library does, as the special token; an empty table gives an empty result; repeated
-rows are encoded alike; other columns are ignored.
+rows are encoded alike; very long texts, and very long runs without a space, go through piece by piece; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import hashlib
 import heapq
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,12 @@ from pyspark.sql import functions as F
 
 #: Pretokens of the byte-level scheme (a fixed value: the tokenizer file's own pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Stretches kept in the table, and the longest that is kept, in characters.
-TABLE_SIZE, TABLE_CHARS = 800_000, 48
+#: Bytes of stretches kept in a generation of the table (about, with Python's own overhead a stretch), and the longest that is kept, in characters.
+TABLE_BYTES, OVERHEAD, TABLE_CHARS = 16 << 20, 200, 48
 #: White space besides the space and the newline.
 OTHER_SPACE = [*"\t\x0b\x0c\r\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
-#: A pretoken up to so many bytes is merged whole; decoding takes so many tokens at a time.
-SHORT, DECODED = 48, 1 << 16
+#: A pretoken up to so many bytes is merged without a heap; texts are read so many characters at a time.
+SHORT, PIECE = 48, 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -88,9 +92,16 @@ class Transducer:
         longest = max(map(len, self.bytes_of))
         self.window = 2 * (self.lookahead + longest)
         self.names = [str(i) for i in range(len(self.bytes_of))]
-        self.pretokens = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.pretokens = self.pattern.findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table: a reused Python worker then holds the tokenizer alone."""
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, data: bytes) -> list[int]:
         """The tokens of a stretch: the earliest rule first, leftmost first."""
@@ -145,6 +156,8 @@ class Transducer:
 
     def _stretch(self, text: str) -> bytes:
         """Ids (as unsigned little-endian 32-bit) of a stretch that starts and ends at pretoken bounds."""
+        if (ids := self.older.get(text)) is not None:
+            return self._keep(text, ids)
         parts = self.pretokens(text)
         ids = self._pretoken(text) if len(parts) == 1 else b"".join([self.table.get(p) or self._keep(p, self._pretoken(p)) for p in parts])
         return self._keep(text, ids)
@@ -154,9 +167,10 @@ class Transducer:
 
     def _keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= TABLE_CHARS:
-            if len(self.table) >= TABLE_SIZE:
-                self.table.clear()
+            if self.held > TABLE_BYTES:
+                self.older, self.table, self.held = self.table, {}, 0
             self.table[text] = ids
+            self.held += len(text) + len(ids) + OVERHEAD
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -169,17 +183,48 @@ class Transducer:
             parts = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else self.pretokens(text)
         return b"".join([seen(p) or stretch(p) for p in parts if p])
 
+    def _safe_cut(self, text: str, at: int, end: int) -> int:
+        """The last place in (at, end) where a pretoken starts whatever stands around: a space between two others than spaces."""
+        k = text.rfind(" ", at + 1, end)
+        while k > at and (text[k - 1].isspace() or text[k + 1].isspace()):
+            k = text.rfind(" ", at + 1, k)
+        return k
+
+    def _parts(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        while end - at > PIECE:
+            if (cut := self._safe_cut(text, at, at + PIECE)) > at:
+                yield self._plain(text[at:cut])
+                at = cut
+                continue
+            until = at + PIECE
+            for m in self.pattern.finditer(text, at, end):  # a run without such a place: pretoken by pretoken
+                ids = self.stream(m[0].encode())
+                while part := array("I", islice(ids, PIECE)):
+                    yield part.tobytes()
+                at = m.end()
+                if at >= until:
+                    break
+        if at < end:
+            yield self._plain(text[at:end])
+
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """The ids of a text in order, some thousands at a time, packed as unsigned little-endian 32-bit."""
+        at = 0
+        for m in self.special.finditer(text) if self.special and any(s in text for s in self.specials) else ():
+            yield from self._parts(text, at, m.start())
+            yield np.array([self.specials[m[0]]], "<u4").tobytes()
+            at = m.end()
+        yield from self._parts(text, at, len(text))
+
     def encode(self, text: str) -> bytes:
-        """All ids of a text, packed as unsigned little-endian 32-bit."""
-        if self.special and any(s in text for s in self.specials):
-            return b"".join(np.array([self.specials[p]], "<u4").tobytes() if p in self.specials else self._plain(p) for p in self.special.split(text))
-        return self._plain(text)
+        """All ids of a text, packed."""
+        return b"".join(self.pieces(text))
 
-    def decode(self, ids: np.ndarray) -> Iterator[str]:
-        """The text of ids in pieces: the state machine keeps at most an unfinished character."""
+    def decode(self, pieces: Iterable[list[int]]) -> Iterator[str]:
+        """The text of ids that come in pieces: the state machine keeps at most an unfinished character."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for at in range(0, len(ids), DECODED):
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, ids[at : at + DECODED].tolist())))
+        for ids in pieces:
+            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
         yield machine.decode(b"", True)
 
 
@@ -193,9 +238,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        for b in batches:
-            ids = [np.frombuffer(t.encode(x or ""), "<u4").astype(np.int32) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        try:
+            for b in batches:
+                ids = [np.frombuffer(t.encode(x or ""), "<u4").astype(np.int32) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        finally:
+            t.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -206,27 +254,39 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
         for b in batches:
-            texts = ["".join(t.decode(np.array(x or [], np.int64))) for x in b.column(1).to_pylist()]
+            texts = ["".join(t.decode([x or []])) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded, without keeping either."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and decoded piece by piece; neither all its ids nor the decoded text are ever held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        for b in batches:
-            n, a, d = [], [], []
-            for x in b.column(1).to_pylist():
-                ids, digest, back = np.frombuffer(t.encode(x or ""), "<u4"), hashlib.sha256(), hashlib.sha256()
-                for at in range(0, len(ids), DECODED):
-                    digest.update(((b"," if at else b"") + ",".join(map(t.names.__getitem__, ids[at : at + DECODED].tolist())).encode()))
-                for piece in t.decode(ids):
-                    back.update(piece.encode())
-                n.append(len(ids)), a.append(digest.hexdigest()), d.append(back.hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+        def digested(text: str) -> tuple[int, str, str]:
+            n, digest, back = 0, hashlib.sha256(), hashlib.sha256()
+
+            def ids() -> Iterator[list[int]]:
+                nonlocal n
+                for piece in t.pieces(text):
+                    own = np.frombuffer(piece, "<u4").tolist()
+                    digest.update(((b"," if n else b"") + ",".join(map(t.names.__getitem__, own)).encode()))
+                    n += len(own)
+                    yield own
+
+            for part in t.decode(ids()):
+                back.update(part.encode())
+            return n, digest.hexdigest(), back.hexdigest()
+
+        try:
+            for b in batches:
+                n, a, d = zip(*(digested(x or "") for x in b.column(1).to_pylist()), strict=True) if b.num_rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            t.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

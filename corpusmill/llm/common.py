@@ -1,49 +1,5 @@
-"""Shared helpers: the work folder, written intermediate tables, size-checked broadcasts."""
+"""The helpers of the session that the operators of this package share."""
 
-from __future__ import annotations
+from corpusmill.session import BROADCAST_ROWS, plain_names, small_side, table, work_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side of a join is broadcast only when a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 200_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share.
-
-    Only where the session names none (tests on one machine) is a temporary folder set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="corpusmill-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/corpusmill-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared work folder and reads it again."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be small, else df itself for a shuffled join.
-
-    df should be cheap to count: a written table.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """docs with columns named by position, which no column of an operator can clash with; the new name of each."""
-    names = [f"_in{k}" for k in range(len(docs.columns))]
-    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+__all__ = ["BROADCAST_ROWS", "plain_names", "small_side", "table", "work_dir", "written"]

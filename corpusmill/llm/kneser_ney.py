@@ -1,22 +1,30 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model's symbols are classes of characters, of which there are a fixed number, so a table of all
-n-grams has a proven size whatever the corpus: ALPHABET ** ORDER cells. Every trusted text is counted
-whole; the counts lie in Spark tables sharded by n-gram, and joins of the counts of each order with the statistics
-of its contexts and with the order below give discounts, back-off weights and probabilities. Only
-that table of fixed size is gathered and broadcast: scoring itself joins nothing, and the model stops
-growing once all n-grams are seen (the README gives the figures behind this). Scores are mean log-probabilities a symbol, and
-a language's threshold is a quantile of held-out trusted texts' perplexities in that language.
+The model's symbols are the bytes of UTF-8, so no character is folded, and an n-gram is a number whose last
+byte is its last symbol. Every trusted text is counted whole. Counts, discounts, back-off weights and
+probabilities of each order are tables sharded by n-gram, made by joins; nothing of them is broadcast or collected but the
+counts of counts, four a level.
+
+Documents are scored by joins with these tables, block by block: a block is some tens of MB of text of one
+partition, packed and written once in a table bucketed by block. The different n-grams of each block are joined
+with the model, so a common n-gram crosses the network once a block and not once for every occurrence,
+and what the blocks ask for comes back to them by a co-grouping for which the texts don't move again.
+What is moved grows with the corpus; an n-gram that training never saw backs off as the model says.
+
+A language's threshold is a quantile of the perplexities of held-out trusted texts in that language.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a null language is a language
-of its own, and one without held-out trusted texts takes the threshold of all; very long texts are
-scored in pieces, wholly; repeated rows score alike; an empty table gives an empty result, and without
-any trusted text nothing is rejected but empty texts.
+of its own, and one with fewer than LEAST_HELD held-out texts takes the threshold of all; a perplexity equal to the
+threshold passes; a very long text is scored whole, in a block of its own; repeated rows score alike; an empty table
+gives an empty result; without any trusted text nothing is rejected but empty texts; other columns pass
+through, and those named perplexity, threshold or kept are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,72 +32,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import plain_names, small_side, written
-
-ALPHABET, ORDER = 48, 4
-#: One in HELD_OUT trusted texts is kept from training for the thresholds.
-HELD_OUT = 5
-#: The threshold is this far beyond the median of log-perplexity, in units of median to quantile.
-QUANTILE, MARGIN = 0.99, 1.25
-#: Short texts say little: log-perplexity is drawn to the language's median with the weight of so many characters.
-PRIOR_CHARS = 200
-PIECE = 1 << 20
-
-
-def symbol_classes() -> np.ndarray:
-    """The class of each of the first 65,536 code points; the others are in the last class.
-
-    0 stands before a text; 1-26 small letters; then capitals, digits, space, line end, period, comma, marks
-    within sentences, marks that end them, other ASCII; then letters beyond ASCII by code point, and the rest.
-    """
-    out = np.full(1 << 16, ALPHABET - 1, np.int64)
-    for p in range(1 << 16):
-        c = chr(p)
-        if "a" <= c <= "z":
-            out[p] = 1 + p - ord("a")
-        elif c.isupper():
-            out[p] = 27
-        elif p < 128:
-            out[p] = 28 if c.isdigit() else {" ": 29, "\n": 30, ".": 31, ",": 32}.get(c, 33 if c in "'-:;\"()" else 34 if c in "!?" else 35)
-        elif c.isalpha():
-            out[p] = 36 + p % (ALPHABET - 37)
-    return out
+from corpusmill.llm.common import plain_names, small_side, work_dir, written
 
+#: Bytes of an n-gram of the highest order (up to 7, as one more stands before the text); the byte before a text, which UTF-8 never has.
+ORDER, START = 5, b"\xff"
+#: One in HELD_OUT trusted texts is kept from training for the thresholds; a language needs so many of them.
+HELD_OUT, LEAST_HELD = 5, 20
+QUANTILE = 0.995
+#: Bytes of text in a block, in a packed part of one, and counted at once in training.
+BLOCK, PART, COUNTED = 32 << 20, 4 << 20, 8 << 20
 
-_CLASSES: list[np.ndarray] = []
 
+class Model(NamedTuple):
+    """For n from 1 to ORDER: p[n] (code, p) of n-grams seen, weight[n] (context, weight) of the contexts they follow."""
 
-def symbols(text: str) -> np.ndarray:
-    if not _CLASSES:
-        _CLASSES.append(symbol_classes())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return _CLASSES[0][np.minimum(points, 0xFFFF)]
+    p: dict[int, DataFrame]
+    weight: dict[int, DataFrame]
 
 
-def ngrams(text: str) -> Iterator[np.ndarray]:
-    """Codes of the n-grams that end at each character, by pieces."""
-    before = np.zeros(ORDER - 1, np.int64)
-    for at in range(0, len(text), PIECE):
-        s = np.concatenate([before, symbols(text[at : at + PIECE])])
-        code = s[: len(s) - ORDER + 1]
-        for k in range(1, ORDER):
-            code = code * ALPHABET + s[k : len(s) - ORDER + 1 + k]
-        before = s[len(s) - ORDER + 1 :]
-        yield code
+def codes(text: bytes, order: int = ORDER) -> np.ndarray:
+    """The n-gram that ends at each byte."""
+    a = np.frombuffer(START * (order - 1) + text, np.uint8).astype(np.int64)
+    out = a[: len(text)]
+    for k in range(1, order):
+        out = out << 8 | a[k : k + len(text)]
+    return out
+
 
+def _context(code: Column) -> Column:
+    return F.shiftrightunsigned(code, 8)
 
-def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
+
+def _suffix(code: Column, n: int) -> Column:
+    """Of an n-gram, without its first byte."""
+    return code.bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1).cast("long"))
+
+
+def count_ngrams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """code, c: how often each n-gram of the highest order occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ALPHABET**ORDER, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            nonlocal held, size
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["code", "c"])
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                for code in ngrams(text or ""):
-                    found, n = np.unique(code, return_counts=True)
-                    counts[found] += n
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "c"])
+                held.append(codes((text or "").encode(), order))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted()
+        if held:
+            yield counted()
 
     part = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, c long")
     return part.groupBy("code").agg(F.sum("c").alias("c"))
@@ -104,88 +103,142 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-def train(texts: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log2 of the probability of every n-gram's last symbol after the others: ALPHABET ** ORDER floats."""
-    levels = {ORDER: written(count_ngrams(texts, text_col))}
-    for n in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols stand before
-        levels[n] = written(levels[n + 1].groupBy((F.col("code") % ALPHABET**n).alias("code")).agg(F.count("*").alias("c")))
-    table = np.empty(0)
-    lower: DataFrame | None = None
-    for n in range(1, ORDER + 1):
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    levels = {order: written(count_ngrams(texts, text_col, order))}
+    for n in range(order - 1, 0, -1):  # continuation counts: how many different bytes stand before
+        levels[n] = written(levels[n + 1].groupBy(_suffix(F.col("code"), n + 1).alias("code")).agg(F.count("*").alias("c")))
+    model = Model({}, {})
+    for n in range(1, order + 1):
         d1, d2, d3 = _discounts(levels[n])
-        discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = levels[n].withColumns({"context": F.floor(F.col("code") / ALPHABET).cast("long"), "cut": discount})
-        contexts = rows.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass"))
-        contexts = written(contexts.select("context", "total", (F.col("mass") / F.col("total")).alias("weight")))
-        own = rows.join(contexts, "context").withColumn("suffix", F.col("code") % ALPHABET ** (n - 1))
-        joined = own.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix") if lower is not None else own.withColumn("q", F.lit(1.0 / ALPHABET))
-        lower = written(joined.select("code", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("q")).alias("p")))
-        # what was never seen backs off: the weight of the context times the probability one order below
-        seen, weights = lower.toPandas(), contexts.select("context", "weight").toPandas()
-        weight = np.ones(ALPHABET ** (n - 1))
-        weight[weights["context"].to_numpy()] = weights["weight"].to_numpy()
-        below = np.full((1, ALPHABET), 1.0 / ALPHABET) if n == 1 else np.tile(table.reshape(-1, ALPHABET), (len(weight) * ALPHABET // len(table), 1))
-        table = (weight[:, None] * below).ravel()
-        table[seen["code"].to_numpy()] = seen["p"].to_numpy()
-    return np.log2(table).astype(np.float32)
-
-
-def perplexity(text: str, table: np.ndarray) -> float | None:
-    bits = sum(float(table[code].sum(dtype=np.float64)) for code in ngrams(text))
-    return float(2 ** (-bits / len(text))) if text else None
-
-
-def with_perplexity(docs: DataFrame, table: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with a column perplexity; all other columns pass through."""
-    held = docs.sparkSession.sparkContext.broadcast(table)
-    name, at = "perplexity", docs.columns.index(text_col)
+        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        rows = levels[n].withColumns({"context": _context(F.col("code")), "cut": cut})
+        contexts = written(rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")))
+        own = rows.join(contexts, "context").withColumn("suffix", _suffix(F.col("code"), n))
+        below = own.join(model.p[n - 1].select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix") if n > 1 else own.withColumn("q", F.lit(1 / 256))
+        model.p[n] = written(below.select("code", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("weight") * F.col("q")).alias("p")))
+        model.weight[n] = contexts.select("context", "weight")
+    return model
+
+
+def probabilities(model: Model, asked: DataFrame, n: int = ORDER) -> DataFrame:
+    """code, p of every different n-gram in asked (a column code): its own probability, or its context's weight times that of its suffix."""
+    rows = asked.withColumns({"context": _context(F.col("code")), "suffix": _suffix(F.col("code"), n)})
+    rows = rows.join(model.p[n], "code", "left").join(model.weight[n], "context", "left")
+    if n == 1:
+        rows = rows.withColumn("q", F.lit(1 / 256))
+    else:
+        lower = probabilities(model, written(rows.select(F.col("suffix").alias("code")).distinct()), n - 1)
+        rows = rows.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
+    return written(rows.select("code", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p")))
+
+
+def _packed(docs: DataFrame, text_col: str, order: int) -> DataFrame:
+    """block, packed (documents as compressed Arrow, or null), codes (the different n-grams of the block, or null): a table bucketed by block."""
+    at, spark = docs.columns.index(text_col), docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = pa.array([perplexity(t or "", held.value) for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, own], [*b.schema.names, name])
+        from pyspark import TaskContext
+
+        block, size, found = TaskContext.get().partitionId() << 32, 0, np.empty(0, np.int64)
+        names, types = ["block", "packed", "codes"], [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+        def row(packed: bytes | None, own: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], types[0]), pa.array([packed], types[1]), pa.array([own], types[2])], names)
 
+        for b in batches:
+            texts = [(x or "").encode() for x in b.column(at).to_pylist()]
+            begin = 0
+            while begin < len(texts):
+                end, part = begin, 0
+                while end < len(texts) and (end == begin or part + len(texts[end]) <= PART):
+                    part += len(texts[end])
+                    end += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                    out.write_batch(b.slice(begin, end - begin))
+                yield row(sink.getvalue().to_pybytes(), None)
+                found = np.unique(np.concatenate([found, *(codes(t, order) for t in texts[begin:end])]))
+                size += part
+                if size >= BLOCK:
+                    yield row(None, found)
+                    block, size, found = block + 1, 0, np.empty(0, np.int64)
+                begin = end
+        if size:
+            yield row(None, found)
+
+    # the number of buckets follows the text, and is that of shuffles at least; the catalogue's entry isn't needed once the table is resolved
+    total = docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)), 50_000)
+    name = f"corpusmill_{uuid.uuid4().hex}"
+    rows = docs.mapInArrow(run, "block long, packed binary, codes array<long>")
+    rows.write.bucketBy(buckets, "block").option("path", work_dir(spark)).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolves the table
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
-def _drawn(length: Column, median: Column) -> Column:
-    return (length * F.log("perplexity") + PRIOR_CHARS * median) / (length + PRIOR_CHARS)
+
+def with_perplexity(docs: DataFrame, model: Model, text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """docs with a column perplexity (a byte's); all other columns pass through."""
+    docs = docs.drop("perplexity")
+    at, names = docs.columns.index(text_col), [*docs.columns, "perplexity"]
+    stored = _packed(docs, text_col, order)
+    asked = stored.where("codes IS NOT NULL").select(F.col("block").alias("of"), F.explode("codes").alias("code"))
+    known = probabilities(model, written(asked.select("code").distinct()), order)
+    answers = asked.join(known, "code").select("of", "code", F.log2("p").cast("float").alias("bits"))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        code, bits = right["code"].to_numpy(), right["bits"].to_numpy()
+        by = np.argsort(code)
+        code, bits = code[by], bits[by].astype(np.float64)
+        done = []
+        for packed in left["packed"]:
+            for b in pa.ipc.open_stream(packed.as_buffer()):
+                found = []
+                for text in b.column(at).to_pylist():
+                    asked = codes((text or "").encode(), order)
+                    k = np.searchsorted(code, asked)
+                    found.append(float(2 ** -bits[k].mean()) if len(asked) else None)
+                done.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names))
+        return pa.Table.from_batches(done)
+
+    left = stored.where("packed IS NOT NULL").select("block", "packed").groupBy("block")
+    schema = StructType([*docs.schema.fields, StructField("perplexity", DoubleType())])
+    return left.cogroup(answers.groupBy("of")).applyInArrow(score, schema)
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
-    """l, median, cut (of log-perplexity) by language from columns lang, length and perplexity; l null: of all."""
-    rows = scored.where("perplexity IS NOT NULL").withColumn("l", F.coalesce("lang", F.lit("")))
-    rows = written(rows.unionByName(rows.withColumn("l", F.lit(None).cast("string"))))
-    medians = rows.groupBy("l").agg(F.percentile_approx(F.log("perplexity"), 0.5, 10_000).alias("median"))
-    both = rows.join(small_side(written(medians.withColumnRenamed("l", "m"))), F.col("l").eqNullSafe(F.col("m")))
-    high = F.percentile_approx(_drawn(F.col("length"), F.col("median")), QUANTILE, 10_000)
-    return both.groupBy("l", "median").agg((F.col("median") + MARGIN * (high - F.col("median"))).alias("cut"))
+    """lang (null: of all), cut: the quantile of perplexity, from columns lang and perplexity. A null language counts as empty."""
+    rows = scored.where("perplexity IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("lang"), "perplexity")
+    rows = rows.unionByName(rows.withColumn("lang", F.lit(None).cast("string")))
+    cuts = rows.groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 100_000).alias("cut"), F.count("*").alias("n"))
+    return cuts.where((F.col("n") >= LEAST_HELD) | F.col("lang").isNull()).select("lang", "cut")
 
 
 def _held_out(id_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit("held out")), F.lit(HELD_OUT)) == 0
 
 
-def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, DataFrame]:
+def fit(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Model, DataFrame]:
     """The model and the thresholds by language, from the documents whose ids are in trusted_ids."""
     trusted_ids = small_side(written(trusted_ids.select(F.col(trusted_ids.columns[0]).alias("id")).distinct()))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     trusted = narrow.join(trusted_ids, "id", "left_semi")
-    table = train(trusted.where(~_held_out("id")))
-    scored = written(with_perplexity(trusted.where(_held_out("id")), table).select("lang", F.length("text").alias("length"), "perplexity"))
-    return table, written(thresholds(scored))
-
-
-def classify(docs: DataFrame, model: tuple[np.ndarray, DataFrame], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with perplexity, threshold (the perplexity that a long text may have) and kept."""
-    table, cuts = model
-    overall = [(r.median, r.cut) for r in cuts.where("l IS NULL").collect()] or [(None, None)]
-    scored = with_perplexity(docs, table, text_col)
-    by_lang = small_side(cuts.where("l IS NOT NULL").select(F.col("l").alias("_l"), F.col("median").alias("_median"), F.col("cut").alias("_cut")), 10_000)
-    out = scored.join(by_lang, F.coalesce(F.col(lang_col), F.lit("")) == F.col("_l"), "left")
-    median, cut = (F.coalesce(F.col(c), F.lit(v).cast("double")) for c, v in zip(("_median", "_cut"), overall[0], strict=True))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(_drawn(F.length(text_col), median) <= cut, F.lit(True))
-    return out.withColumns({"threshold": F.exp(cut), "kept": kept}).drop("_l", "_median", "_cut")
+    model = train(trusted.where(~_held_out("id")))
+    return model, written(thresholds(with_perplexity(trusted.where(_held_out("id")).select("lang", "text"), model)))
+
+
+def classify(docs: DataFrame, model: tuple[Model, DataFrame], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with perplexity, threshold and kept."""
+    ngrams, cuts = model
+    docs = docs.drop("perplexity", "threshold", "kept")
+    plain, name = plain_names(docs)
+    overall = [r.cut for r in cuts.where("lang IS NULL").collect()] or [None]
+    by_lang = small_side(cuts.where("lang IS NOT NULL").select(F.col("lang").alias("_lang"), F.col("cut").alias("_cut")), 10_000)
+    out = with_perplexity(plain, ngrams, name[text_col]).join(by_lang, F.coalesce(F.col(name[lang_col]), F.lit("")) == F.col("_lang"), "left")
+    cut = F.coalesce("_cut", F.lit(overall[0]).cast("double"))
+    out = out.withColumns({"_cut": cut, "_kept": F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= cut, F.lit(True))})
+    return out.select(*plain.columns, "perplexity", "_cut", "_kept").toDF(*docs.columns, "perplexity", "threshold", "kept")
 
 
 def drop_improbable(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

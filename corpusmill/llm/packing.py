@@ -5,8 +5,9 @@ into windows of at most 2048. A window costs its padding (none if its length is
 a fixed cost for being a sequence, and a truncation penalty by where it ends: nothing at a document's
 end, little at a sentence's end, more elsewhere. With g(i) = f(i) + i the best predecessor among
 the cuts of the last 2048 tokens is a sliding-window minimum, kept in a monotone queue; the windows
-whose length is a power of two are tried besides. Nothing is shuffled, and memory is bounded: the
-program runs over stretches of tokens, whose last window's worth is carried into the next one.
+whose length is a power of two are tried besides. Of cuts that cost the same the earliest is taken. Nothing is
+shuffled, and memory is bounded by a stretch of tokens or the longest text: the program runs over stretches,
+whose last window's worth is carried into the next one, and a longer text is one stretch.
 
 Defined cases: a null text counts as empty and is packed as the end token alone; very long texts run over
 several sequences; repeated rows are packed each; an empty table gives an empty result; other columns
@@ -47,6 +48,8 @@ class LibraryEncoder(Transducer):
         self.library = tiktoken.Encoding("own", pat_str=r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", mergeable_ranks=ranks, special_tokens={})
 
     def _stretch(self, text: str) -> bytes:
+        if (ids := self.older.get(text)) is not None:
+            return self._keep(text, ids)
         return self._keep(text, array("I", self.library.encode_ordinary(text)).tobytes())
 
     def sentence_ends(self) -> np.ndarray:
@@ -161,15 +164,18 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                held.append((doc_id, 0, len(ids) // 4, ids))
-                size += len(ids) // 4
-                if size >= STRETCH:
-                    yield flush(False)
-        if held:
-            yield flush(True)
+        try:
+            for b in batches:
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    ids = encoder.encode(text or "") + end
+                    held.append((doc_id, 0, len(ids) // 4, ids))
+                    size += len(ids) // 4
+                    if size >= STRETCH:
+                        yield flush(False)
+            if held:
+                yield flush(True)
+        finally:
+            encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if tokens else ""))

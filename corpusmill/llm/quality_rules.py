@@ -126,14 +126,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 
 def _cleaned(docs: DataFrame, cut: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """docs with a column cleaned: the text without the lines whose keys cut (_host, _text, keys) lists for its host and hash."""
+    """docs with keys (of the lines that cut (_host, _text, keys) lists for a host and text) and cleaned, the text without those lines."""
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(host_col), F.lit(""))
     # what is broadcast is bounded by the lines, not only by the texts that have some
     few = (cut.agg(F.sum(F.size("keys"))).head()[0] or 0) <= BROADCAST_ROWS
     out = docs.join(F.broadcast(cut) if few else cut, (host == F.col("_host")) & (text_hash(text) == F.col("_text")), "left")
     stays = lambda line: (F.btrim(line, F.lit(SPACES)) == "") | ~F.array_contains("keys", F.xxhash64(host, _normal(line)))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), stays), "\n")
-    return out.withColumn("cleaned", F.when(F.col("keys").isNull(), F.col(text_col)).otherwise(kept)).drop("_host", "_text", "keys")
+    return out.withColumn("cleaned", F.when(F.col("keys").isNull(), F.col(text_col)).otherwise(kept)).drop("_host", "_text")
 
 
 def clean(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
@@ -157,7 +157,10 @@ def _with_cleaned(plain: DataFrame, docs: DataFrame, name: dict[str, str], text_
 def drop_bad(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The documents that pass, with all their columns; texts and chars_col as clean gives them."""
     plain, name = plain_names(docs)
-    passed = base_rules(plain, name[text_col]).where("NOT base_failed").select(*plain.columns, "n_words")
-    out = _cleaned(passed, _cuts(docs, text_col, host_col), name[text_col], name[host_col])
-    left = F.when(F.col("cleaned") == F.col(name[text_col]), F.col("n_words")).otherwise(F.size(words_of(F.col("cleaned"))))
-    return _with_cleaned(out.where(~(left < LEFT * F.col("n_words"))), docs, name, text_col, chars_col)
+    words = words_of(F.coalesce(F.col(name[text_col]), F.lit("")))
+    # one chain that computes the words once: as columns of their own the optimiser would repeat them in the filter
+    sound = _let(words, lambda w: (F.size(w) >= MIN_WORDS) & ~(repeated_words(w) > MAX_REPEATED * F.size(w)))
+    out = _cleaned(plain.where(sound), _cuts(docs, text_col, host_col), name[text_col], name[host_col])
+    # only a text that loses lines is counted again
+    depleted = F.col("keys").isNotNull() & (F.size(words_of(F.col("cleaned"))) < LEFT * F.size(words))
+    return _with_cleaned(out.where(~depleted), docs, name, text_col, chars_col)
