@@ -30,12 +30,20 @@ def q_length_stats(spark, sf_dir) -> DataFrame:
 
 
 def q_lang_mix(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(stats.code_language(F.col("html")).alias("language"))
+    return _rounded(stats.shares(pages, "language"), "share")
+
+
+def q_lang_shares(spark, sf_dir) -> DataFrame:
     return _rounded(stats.shares(_docs(spark, sf_dir), "lang"), "share")
 
 
 def q_dataset_summary(spark, sf_dir) -> DataFrame:
     out = stats.summary(_docs(spark, sf_dir), F.least(F.length("text") / 1000.0, F.lit(1.0)))
-    return _rounded(out.drop("about_unique"), "mean_tokens")
+    # the estimate of different texts is within 15 % (three deviations of the sketch), or is shown
+    exact = _docs(spark, sf_dir).agg(F.count_distinct(F.xxhash64("text")).alias("n"))
+    close = F.abs(F.col("about_unique") - F.col("n")) <= 0.15 * F.col("n")
+    return _rounded(out.crossJoin(exact).withColumn("unique_is_close", close).drop("about_unique", "n"), "mean_tokens")
 
 
 def q_entropy_char(spark, sf_dir) -> DataFrame:
@@ -59,6 +67,10 @@ def q_run_length(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(stats.run_length_ratio(F.col("text")), 6).alias("ratio"))
 
 
+def q_entropy_issues(spark, sf_dir) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(stats.entropy_issues(F.col("text")), ",").alias("issues"))
+
+
 def q_repetition(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(stats.repetition(F.col("text")), 6).alias("score"))
 
@@ -67,8 +79,12 @@ def q_difficulty(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.round(stats.difficulty(F.col("text")), 6).alias("score"))
 
 
+def q_difficulty_filter(spark, sf_dir) -> DataFrame:
+    return _docs(spark, sf_dir).where(~stats.too_hard(F.col("text"), 0.35)).select("doc_id")
+
+
 def q_token_stats(spark, sf_dir) -> DataFrame:
-    return _rounded(stats.token_stats(_docs(spark, sf_dir), ["lang"]), "ttr", "mean_ttr")
+    return _rounded(stats.token_stats(_docs(spark, sf_dir), ["lang"]), "ttr", "mean_ttr", "mean_repeated", "diversity")
 
 
 def q_token_frequency(spark, sf_dir) -> DataFrame:
@@ -113,7 +129,7 @@ def q_divergence(spark, sf_dir) -> DataFrame:
 
 
 def q_rolling_z(spark, sf_dir) -> DataFrame:
-    return _rounded(metrics.rolling_z(_events(spark, sf_dir), SERIES), "z").select("event_id", "z", "anomaly")
+    return _rounded(metrics.rolling_z(_events(spark, sf_dir), SERIES), "z").select("event_id", "z", "anomaly", "severity")
 
 
 def q_jumps(spark, sf_dir) -> DataFrame:
@@ -277,6 +293,19 @@ def q_safety_gate(spark, sf_dir) -> DataFrame:
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 _TOKENS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]')"
+_CODE_TOKENS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z_][\p{L}\p{N}_]*|[0-9]+(?:\.[0-9]+)?|[^\s\x0b\x1c-\x1f\x85\p{Z}\p{L}\p{N}_]')"
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x85\p{Z}]+'), lambda x: x <> '')"
+_SPLIT = r"string_split_regex(coalesce({0}, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]')"
+
+
+def _lines(col: str = "text") -> str:
+    """Lines as Python splits them."""
+    p = _SPLIT.format(col)
+    return f"({p})[1:len({p}) - CASE WHEN ({p})[-1] = '' THEN 1 ELSE 0 END]"
+
+
+_RSTRIP = r"regexp_replace(x, '[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '')"
+_LSTRIP = r"regexp_replace(x, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+', '')"
 _STRIP = r"regexp_replace(x, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g')"
 _W = "(PARTITION BY user_id, event_type ORDER BY ts, event_id{0})"
 _P = "(PARTITION BY user_id, event_type)"
@@ -293,76 +322,97 @@ def _bits(items: str, kind: str = "VARCHAR", label: str = "") -> str:
         SELECT doc_id, coalesce(bits, 0) AS bits{label} FROM documents LEFT JOIN b USING (doc_id)"""
 
 
-_LABEL = ", CASE WHEN coalesce(bits, 0) < 2 THEN 'very low' WHEN bits < 3.5 THEN 'low' WHEN bits < 5 THEN 'normal' WHEN bits < 7 THEN 'high' ELSE 'very high' END AS label"
+_LABEL = ", CASE WHEN coalesce(bits, 0) < 2 THEN 'trivial' WHEN bits < 3.5 THEN 'simple' WHEN bits < 5 THEN 'moderate' WHEN bits < 7 THEN 'complex' ELSE 'highly_complex' END AS label"
 _GRAM2 = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 _REP = "CASE WHEN len({0}) > 0 THEN (len({0}) - len(list_distinct({0}))) / len({0}) ELSE 0 END"
+_DIFFICULTY = f"""SELECT doc_id, CASE WHEN len(l) = 0 THEN 0 ELSE 0.4 * least(coalesce(list_max(list_transform(list_filter(l, lambda x: {_LSTRIP} <> ''), lambda x: length(x) - length({_LSTRIP}))), 0) / 32, 1)
+    + 0.4 * (len(list_distinct(w)) / greatest(len(w), 1)) + 0.2 * least(len(l) / 500, 1) END::DOUBLE AS s FROM (SELECT doc_id, {_lines()} AS l, {_WORDS} AS w FROM documents)"""
 _FREQ = f"WITH f AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, token) AS rank, count(*) OVER () AS types, sum(n) OVER () AS whole FROM f)"
-_JUDGED = "WITH j AS (SELECT least(length(text) / 3000.0::DOUBLE, 1.0) AS confidence, quality FROM documents JOIN labels USING (doc_id)), b AS (SELECT least(floor(confidence * 10), 9)::INT AS bin, count(*) AS n, avg(confidence) AS c, avg(quality) AS a FROM j GROUP BY 1)"
+_JUDGED = "WITH j AS (SELECT least(length(text) / 3000.0::DOUBLE, 1.0) AS confidence, quality FROM documents JOIN labels USING (doc_id)), b AS (SELECT least(floor(confidence * 10), 9)::INT AS bin, count(*) AS n, avg(confidence) AS c, avg(quality) AS a, count(*) FILTER (confidence > quality) AS over, count(*) FILTER (confidence < quality) AS under FROM j GROUP BY 1)"
 _ROUTED = "WITH r AS (SELECT lang AS actual, CASE WHEN regexp_matches(text, 'ß|ü') THEN 'de' WHEN regexp_matches(text, 'ñ|ó') THEN 'es' WHEN regexp_matches(text, 'è|ç') THEN 'fr' ELSE 'en' END AS predicted FROM documents)"
 _CLASSES = f"""{_ROUTED}, a AS (SELECT actual AS class, count(*) AS support, count(*) FILTER (actual = predicted) AS tp FROM r GROUP BY actual), p AS (SELECT predicted AS class, count(*) AS found FROM r GROUP BY predicted),
     m AS (SELECT class, support, coalesce(tp / nullif(coalesce(found, 0), 0), 0) AS p, tp / support AS r FROM a LEFT JOIN p USING (class)),
     k AS (SELECT class, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m)"""
 _V = "embedding::DOUBLE[]"
 _NORM = f"sqrt(list_sum(list_transform({_V}, lambda x: x * x)))"
-_TERMS = r"list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 2)"
+_TERMS = r"list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''), '([a-z])([A-Z])', '\1 \2', 'g')), '[^a-zA-Z0-9_]+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+'))"
 _ASOF = "a AS (SELECT DISTINCT user_id, {0} AS sec FROM events WHERE event_type = 'error'), k AS (SELECT user_id, {0} AS sec, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)"
 
 
 def _domain_sql() -> str:
-    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
-    points = {d: " + ".join([*(f"3 * {count(rf'(?m)^\s*(?:import|from)\s+{i}\b')}" for i in imports), *(count(rf"\b{w}\b") for w in words)]) for d, (imports, words) in search.DOMAINS.items()}
-    rows = ", ".join(f"{{'points': {p}, 'domain': '{d}'}}" for d, p in points.items())
+    count = lambda p: f"len(regexp_extract_all(t, {_q(p)}))"
+    points = {d: f"({w} * (3 * ({' + '.join(count('(?i)' + p) for p in imports)}) + {' + '.join(map(count, words))}))::DOUBLE" for d, (imports, words, w) in search.DOMAINS.items()}
+    rows = ", ".join(f"{{'points': {p}, 'k': {-k}, 'domain': '{d}'}}" for k, (d, p) in enumerate(points.items()))
     return f"""
-        WITH s AS (SELECT page_id, [{rows}] AS s FROM (SELECT page_id, lower(coalesce(html, '')) AS t FROM pages)),
-        c AS (SELECT page_id, list_max(s) AS top, coalesce(list_max(s).points / nullif(list_sum(list_transform(s, lambda x: x.points)), 0), 0) AS confidence FROM s)
-        SELECT page_id, CASE WHEN confidence < 0.15 THEN 'general' ELSE top.domain END AS domain, round(confidence, 6) AS confidence FROM c"""
+        WITH s AS (SELECT page_id, [{rows}] AS s FROM (SELECT page_id, coalesce(html, '') AS t FROM pages)),
+        c AS (SELECT page_id, list_max(s) AS top, list_sum(list_transform(s, lambda x: x.points)) AS n FROM s)
+        SELECT page_id, CASE WHEN n = 0 OR top.points / n < 0.15 THEN 'general' ELSE top.domain END AS domain, round(CASE WHEN n = 0 THEN 1 WHEN top.points / n < 0.15 THEN 0.5 ELSE top.points / n END::DOUBLE, 6) AS confidence FROM c"""
 
 
 def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-_LEVEL = "CASE WHEN mean < 10 THEN 'excellent' WHEN mean < 20 THEN 'very good' WHEN mean < 50 THEN 'good' WHEN mean < 100 THEN 'fair' WHEN mean < 200 THEN 'poor' WHEN mean < 1000 THEN 'bad' ELSE 'unusable' END"
+_LEVEL = "CASE " + " ".join(f"WHEN mean > {b} THEN '{n}'" for b, n in evaluation.LEVELS) + f" ELSE '{evaluation.BEST_LEVEL}' END"
 ORACLES = {
     "q_length_stats": "SELECT lang, count(*) AS n, round(avg(l), 6) AS mean, round(stddev_pop(l), 6) AS std, min(l) AS least, max(l) AS most, " + ", ".join(f"round(quantile_cont(l, {p}), 6) AS p{round(100 * p)}" for p in stats.PERCENTILES) + " FROM (SELECT lang, length(text) AS l FROM documents) GROUP BY lang",
-    "q_lang_mix": "SELECT lang, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)",
-    "q_dataset_summary": r"SELECT count(*) AS samples, sum(w)::BIGINT AS tokens, round(avg(w), 6) AS mean_tokens, min(l) AS least_chars, max(l) AS most_chars, round(avg(least(l / 1000.0::DOUBLE, 1.0)), 4) AS mean_quality FROM (SELECT length(text) AS l, len(list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+'), lambda x: x <> '')) AS w FROM documents)",
+    "q_lang_mix": f"""
+        WITH c AS (SELECT {", ".join(f"len(regexp_extract_all(coalesce(html, ''), {_q(p)})) AS {k}" for k, p in stats.LANGUAGE_SIGNS.items())} FROM pages),
+        l AS (SELECT CASE WHEN python > 0 AND python >= typescript AND python >= javascript THEN 'python' WHEN typescript > javascript THEN 'typescript' WHEN javascript > 0 THEN 'javascript' ELSE 'other' END AS language FROM c)
+        SELECT language, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM l GROUP BY language""",
+    "q_lang_shares": "SELECT lang, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)",
+    "q_dataset_summary": r"SELECT count(*) AS samples, sum(w)::BIGINT AS tokens, round(avg(w), 6) AS mean_tokens, min(l) AS least_chars, max(l) AS most_chars, round(avg(least(l / 1000.0::DOUBLE, 1.0)), 4) AS mean_quality, true AS unique_is_close FROM (SELECT length(text) AS l, len(list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+'), lambda x: x <> '')) AS w FROM documents)",
     "q_entropy_char": _bits("string_split(coalesce(text, ''), '')"),
-    "q_entropy_token": _bits(_TOKENS, label=_LABEL),
-    "q_entropy_bigram": _bits(_GRAM2.format("w")).replace("FROM documents)", f"FROM (SELECT doc_id, {_TOKENS} AS w FROM documents))", 1),
-    "q_entropy_line": _bits("list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(x))"),
+    "q_entropy_token": _bits(_CODE_TOKENS, label=_LABEL),
+    "q_entropy_bigram": _bits(_GRAM2.format("w")).replace("FROM documents)", f"FROM (SELECT doc_id, {_CODE_TOKENS} AS w FROM documents))", 1),
+    "q_entropy_line": _bits(f"list_transform({_lines()}, lambda x: length(x))"),
+    "q_run_length": """WITH c AS (SELECT doc_id, string_split(coalesce(text, ''), '') AS c FROM documents)
+        SELECT doc_id, round(CASE WHEN len(c) = 0 OR c[1] = '' THEN 1 ELSE (1 + len(list_filter(range(2, len(c) + 1), lambda i: c[i] <> c[i - 1]))) / len(c) END::DOUBLE, 6) AS ratio FROM c""",
+    "q_entropy_issues": f"""
+        WITH p AS (SELECT doc_id, {_CODE_TOKENS} AS w, string_split(coalesce(text, ''), '') AS c FROM documents), t AS (SELECT doc_id, unnest(w) AS u FROM p), n AS (SELECT doc_id, u, count(*) AS n FROM t GROUP BY ALL),
+        b AS (SELECT doc_id, sum(-q * log2(q)) AS bits FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS q FROM n) GROUP BY doc_id),
+        f AS (SELECT doc_id, coalesce(bits, 0) AS bits, len(w) AS n, len(list_distinct(w)) AS types, CASE WHEN len(c) = 0 OR c[1] = '' THEN 1 ELSE (1 + len(list_filter(range(2, len(c) + 1), lambda i: c[i] <> c[i - 1]))) / len(c) END AS runs FROM p LEFT JOIN b USING (doc_id))
+        SELECT doc_id, concat_ws(',', CASE WHEN bits < 1.5 AND n > 20 THEN 'low_entropy' END, CASE WHEN bits > 8 THEN 'high_entropy' END, CASE WHEN types > 0 AND types < 0.05 * n THEN 'few_types' END, CASE WHEN runs < 0.3 THEN 'long_runs' END) AS issues FROM f""",
     "q_repetition": f"""
-        WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_STRIP}), lambda x: x <> '') AS l, {_TOKENS} AS t FROM documents),
-        g AS (SELECT doc_id, l, list_filter(list_transform(range(1, len(l) - 1), lambda i: l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2]), lambda b: length(b) >= 20) AS b, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS g FROM p)
-        SELECT doc_id, round(least(1.0, 0.4 * {_REP.format('l')} + 0.4 * {_REP.format('b')} + 0.2 * {_REP.format('g')})::DOUBLE, 6) AS score FROM g""",
-    "q_difficulty": f"""SELECT doc_id, round((0.4 * least(i / 32, 1) + 0.4 * coalesce(len(list_distinct(t)) / nullif(len(t), 0), 0) + 0.2 * least(n / 500, 1))::DOUBLE, 6) AS score FROM (SELECT doc_id, {_TOKENS} AS t, len(string_split(coalesce(text, ''), chr(10))) AS n,
-        list_max(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(regexp_extract(x, '^[ \\t]*')))) AS i FROM documents)""",
-    "q_token_stats": f"""WITH t AS (SELECT lang, {_TOKENS} AS t FROM documents), a AS (SELECT lang, avg(len(list_distinct(t)) / nullif(len(t), 0)) AS m FROM t GROUP BY lang), e AS (SELECT lang, unnest(t) AS u FROM t)
-        SELECT lang, count(*) AS total, count(DISTINCT u) AS "unique", round(count(DISTINCT u) / count(*), 6) AS ttr, round(any_value(m), 6) AS mean_ttr FROM e JOIN a USING (lang) GROUP BY lang""",
+        WITH p AS (SELECT doc_id, list_filter(list_transform({_lines()}, lambda x: {_RSTRIP}), lambda x: x <> '') AS l, {_TOKENS} AS t FROM documents),
+        g AS (SELECT doc_id, l, list_filter(list_transform(range(1, len(l) - 1), lambda i: l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2]), lambda x: length({_LSTRIP}) >= 20) AS b, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS g FROM p)
+        SELECT doc_id, round(least(1.0, 0.4 * {_REP.format('l')} + 0.4 * CASE WHEN len(l) < 6 THEN 0 ELSE {_REP.format('b')} END + 0.2 * {_REP.format('g')})::DOUBLE, 6) AS score FROM g""",
+    "q_difficulty": f"SELECT doc_id, round(s, 6) AS score FROM ({_DIFFICULTY})",
+    "q_difficulty_filter": f"SELECT doc_id FROM ({_DIFFICULTY}) WHERE NOT s > 0.35",
+    "q_token_stats": f"""
+        WITH t AS (SELECT doc_id, lang, {_TOKENS} AS t FROM documents), e AS (SELECT doc_id, lang, unnest(t) AS u FROM t), d AS (SELECT doc_id, u, count(*) AS n FROM e GROUP BY ALL),
+        r AS (SELECT doc_id, sum(n) FILTER (n > 1) / sum(n) AS r FROM d GROUP BY doc_id),
+        a AS (SELECT lang, avg(len(list_distinct(t)) / greatest(len(t), 1)) AS m, avg(coalesce(r, 0)) AS rep FROM t LEFT JOIN r USING (doc_id) GROUP BY lang),
+        c AS (SELECT lang, u, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS q FROM c),
+        w AS (SELECT lang, sum(n)::BIGINT AS total, count(*) AS types, sum(-q * log2(q)) AS bits FROM s GROUP BY lang)
+        SELECT lang, total, types AS "unique", round(types / total, 6) AS ttr, round(m, 6) AS mean_ttr, round(rep, 6) AS mean_repeated, round(0.5 * CASE WHEN types > 1 THEN bits / log2(types) ELSE 0 END + 0.5 * m, 6) AS diversity FROM w JOIN a USING (lang)""",
     "q_token_frequency": f"{_FREQ} SELECT token, n FROM f ORDER BY n DESC, token LIMIT 100",
-    "q_zipf": f"{_FREQ} SELECT sum(n)::BIGINT AS total, count(*) AS types, round(sum(-(n / whole) * log2(n / whole)), 6) AS entropy, round(greatest(0, corr(ln(n + 1.0::DOUBLE), ln(1.0::DOUBLE / rank))), 6) AS zipf, count(*) FILTER (n = 1) AS hapax FROM r",
-    "q_freq_bands": f"""{_FREQ}, b AS (SELECT *, CASE WHEN rank / types <= 0.01 THEN 'very_common' WHEN rank / types <= 0.1 THEN 'common' WHEN rank / types <= 0.5 THEN 'medium' WHEN rank / types <= 0.9 THEN 'rare' END AS band FROM r)
-        SELECT band, count(*) AS types, sum(n)::BIGINT AS tokens FROM b WHERE band IS NOT NULL GROUP BY band UNION ALL SELECT 'hapax', count(*), sum(n)::BIGINT FROM f WHERE n = 1""",
+    "q_zipf": f"{_FREQ} SELECT sum(n)::BIGINT AS total, count(*) AS types, round(sum(-(n / whole) * log2(n / whole)), 6) AS entropy, round((CASE WHEN min(n) = max(n) THEN 1 ELSE corr(ln(n + 1.0::DOUBLE), ln(1.0::DOUBLE / rank)) END + 1) / 2, 6) AS zipf, count(*) FILTER (n = 1) AS hapax FROM r",
+    "q_freq_bands": f"""{_FREQ}, b AS (SELECT *, CASE WHEN rank <= greatest(1, floor(types * 0.1)) THEN 'very_frequent' WHEN rank <= greatest(1, floor(types * 0.5)) THEN 'common' WHEN rank <= greatest(1, floor(types * 0.9)) THEN 'rare' END AS band FROM r)
+        SELECT band, count(*) AS types, sum(n)::BIGINT AS tokens FROM b WHERE band IS NOT NULL GROUP BY band UNION ALL SELECT 'hapax', count(*), count(*) FROM f WHERE n = 1""",
     "q_oov": f"SELECT item_id, count(*) AS n_tokens, count(*) FILTER (token NOT IN (SELECT unnest({_TOKENS}) FROM documents)) AS n_oov FROM (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark) GROUP BY item_id",
     "q_vocab_unused": f"SELECT unnest({_TOKENS}) AS token FROM benchmark EXCEPT SELECT unnest({_TOKENS}) FROM documents",
-    "q_distinct_n": f"""SELECT lang, count(DISTINCT g) AS different, count(*) AS "all", round(count(DISTINCT g) / count(*), 6) AS distinct_n FROM (SELECT lang, unnest({_GRAM2.format('w')}) AS g FROM (SELECT lang, {_TOKENS} AS w FROM documents)) GROUP BY lang""",
+    "q_distinct_n": f"""SELECT lang, count(DISTINCT g) AS different, count(*) AS "all", round(count(DISTINCT g) / count(*), 6) AS distinct_n FROM (SELECT lang, unnest({_GRAM2.format('w')}) AS g FROM (SELECT lang, {_WORDS} AS w FROM documents)) GROUP BY lang""",
     "q_self_overlap": f"""
-        WITH g AS (SELECT item_id, item_id % 4 AS k, unnest({_GRAM2.format('w')}) AS g FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark)), c AS (SELECT item_id, k, g, count(*) AS c FROM g GROUP BY ALL),
+        WITH g AS (SELECT item_id, item_id % 4 AS k, unnest({_GRAM2.format('w')}) AS g FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)), c AS (SELECT item_id, k, g, count(*) AS c FROM g GROUP BY ALL),
         o AS (SELECT a.item_id, a.g, any_value(a.c) AS c, max(b.c) AS m FROM c a LEFT JOIN c b ON a.k = b.k AND a.g = b.g AND a.item_id <> b.item_id GROUP BY a.item_id, a.g)
         SELECT item_id, round(sum(least(c, coalesce(m, 0))) / sum(c), 6) AS overlap FROM o GROUP BY item_id""",
     "q_tokenizer_coverage": r"SELECT lang, round(sum(strlen(text)) / sum(len(list_filter(string_split_regex(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+'), lambda x: x <> ''))), 6) AS tokens_per_word, round(sum(length(text)) / sum(strlen(text)), 6) AS chars_per_token FROM documents GROUP BY lang",
     "q_moving_avg": f"SELECT event_id, round(avg(value) OVER {_w('19 PRECEDING AND CURRENT ROW')}, 6) AS ma FROM events",
     "q_divergence": f"SELECT event_id, coalesce(value > 2 * avg(value) OVER {_w('UNBOUNDED PRECEDING AND 1 PRECEDING')}, false) AS diverged FROM events",
     "q_rolling_z": f"""WITH w AS (SELECT event_id, value, avg(value) OVER x AS m, stddev_samp(value) OVER x AS s, count(value) OVER x AS n FROM events WHERE isfinite(value) WINDOW x AS {_w('20 PRECEDING AND 1 PRECEDING')}),
-        z AS (SELECT event_id, CASE WHEN n >= 5 AND s > 0 THEN (value - m) / s END AS z FROM w) SELECT event_id, round(z, 6) AS z, coalesce(abs(z) > 3, false) AS anomaly FROM z""",
+        z AS (SELECT event_id, CASE WHEN n >= 5 THEN (value - m) / greatest(s, 1e-6::DOUBLE) END AS z FROM w)
+        SELECT event_id, round(z, 6) AS z, coalesce(abs(z) > 3, false) AS anomaly, CASE WHEN abs(z) > 3 THEN 'warning' END AS severity FROM z
+        UNION ALL SELECT event_id, NULL, value IS NOT NULL, CASE WHEN value IS NOT NULL THEN 'critical' END FROM events WHERE value IS NULL OR NOT isfinite(value)""",
     "q_jumps": f"SELECT event_id, round(r, 6) AS ratio FROM (SELECT event_id, value / nullif(lag(value) OVER {_w()}, 0) AS r FROM events) WHERE r > 10 OR r < 0.1",
     "q_rate_of_change": f"SELECT event_id, round(dv / ds, 6) AS rate FROM (SELECT event_id, value - lag(value) OVER {_w()} AS dv, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER {_w()} AS ds FROM events) WHERE ds <> 0",
-    "q_down_sample": f"WITH k AS (SELECT event_id, row_number() OVER {_w()} - 1 AS k, count(*) OVER {_P} AS n FROM events) SELECT event_id FROM k WHERE n <= 10 OR k = 0 OR floor(k * 9 / greatest(n - 1, 1)) <> floor((k - 1) * 9 / greatest(n - 1, 1))",
-    "q_plateau": f"""WITH m AS (SELECT *, avg(value) OVER {_w('4 PRECEDING AND CURRENT ROW')} AS ma, row_number() OVER {_w()} AS k FROM events), f AS (SELECT *, coalesce(lag(ma) OVER {_w()} - ma < 0.5, false) AS flat FROM m),
+    "q_down_sample": f"""WITH k AS (SELECT event_id, user_id, event_type, row_number() OVER {_w()} - 1 AS k, count(*) OVER {_P} AS n FROM events), i AS (SELECT unnest(range(0, 10)) AS i)
+        SELECT event_id FROM k WHERE n <= 10 OR k IN (SELECT floor(i * (n - 1) / 9) FROM i)""",
+    "q_plateau": f"""WITH m AS (SELECT *, avg(value) OVER {_w('4 PRECEDING AND CURRENT ROW')} AS ma, row_number() OVER {_w()} - 1 AS k FROM events), f AS (SELECT *, coalesce(lag(ma) OVER {_w()} - ma < 0.5, false) AS flat FROM m),
         i AS (SELECT *, k - sum(flat::INT) OVER {_w('UNBOUNDED PRECEDING AND CURRENT ROW')} AS island FROM f)
-        SELECT user_id, event_type, min(k) AS start_step, max(k) AS end_step, count(*) AS n FROM i WHERE flat GROUP BY user_id, event_type, island HAVING count(*) >= 3""",
-    "q_oscillation": f"""WITH d AS (SELECT *, sign(value - lag(value) OVER {_w()}) AS d FROM events), t AS (SELECT *, (d * lag(d) OVER {_w()} < 0)::INT AS t FROM d), s AS (SELECT user_id, event_type, avg(t) AS s FROM t GROUP BY ALL)
-        SELECT user_id, event_type, round(s, 6) AS sign_changes, s > 0.6 AS oscillating FROM s WHERE s IS NOT NULL""",
+        SELECT user_id, event_type, min(k) - 1 AS start_step, max(k) AS end_step, count(*) + 1 AS n FROM i WHERE flat GROUP BY user_id, event_type, island HAVING count(*) + 1 >= 3""",
+    "q_oscillation": f"""WITH d AS (SELECT *, value - lag(value) OVER {_w()} > 0 AS up FROM events), t AS (SELECT *, (up <> lag(up) OVER {_w()})::INT AS t FROM d), s AS (SELECT user_id, event_type, coalesce(sum(t), 0) / greatest(count(up), 1) AS s, count(*) AS n FROM t GROUP BY ALL)
+        SELECT user_id, event_type, round(s, 6) AS sign_changes, n >= 4 AND s > 0.6 AS oscillating FROM s""",
     "q_trend": f"SELECT user_id, event_type, round(regr_slope(value, k), 6) AS slope, count(*) AS n FROM (SELECT *, row_number() OVER {_w()} AS k FROM events) GROUP BY user_id, event_type",
     "q_ema": "SELECT user_id, event_type, round(list_reduce(v, lambda e, x: 0.1 * x + 0.9 * e), 6) AS ema FROM (SELECT user_id, event_type, list(value::DOUBLE ORDER BY ts, event_id) AS v FROM events GROUP BY ALL)",
     "q_patience": f"SELECT user_id, event_type, min(value) AS best, (count(*) - arg_min(k, (value, k)))::BIGINT AS stale FROM (SELECT *, row_number() OVER {_w()} AS k FROM events) GROUP BY user_id, event_type",
@@ -378,7 +428,7 @@ ORACLES = {
         e AS (SELECT k, CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0 ELSE 1 - list_product(list_transform(range(0, k), lambda i: (n - c - i) / (n - i))) END AS v FROM c, (SELECT unnest([1, 3, 5]) AS k))
         SELECT k, count(v) AS problems, round(coalesce(avg(v), 0), 6) AS pass_at_k FROM e GROUP BY k""",
     "q_group_advantage": f"SELECT event_id, round(coalesce((value - avg(value) OVER {_P}) / (stddev_samp(value) OVER {_P} + 1e-8), 0), 6) AS advantage FROM events",
-    "q_ece": f"{_JUDGED} SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS ece, round(max(abs(c - a)), 6) AS largest_gap, round(coalesce(sum(n) FILTER (c > a), 0) / sum(n), 6) AS over, round(coalesce(sum(n) FILTER (c < a), 0) / sum(n), 6) AS under FROM b",
+    "q_ece": f"{_JUDGED} SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS ece, round(max(abs(c - a)), 6) AS largest_gap, round(sum(over) / sum(n), 6) AS over, round(sum(under) / sum(n), 6) AS under FROM b",
     "q_reliability": f"{_JUDGED} SELECT bin, n, round(c, 6) AS confidence, round(a, 6) AS accuracy, round(abs(c - a), 6) AS gap FROM b",
     "q_confusion": f"{_ROUTED} SELECT actual, predicted, count(*) AS n FROM r GROUP BY ALL",
     "q_per_class": f"{_CLASSES} SELECT * FROM k",
@@ -400,6 +450,7 @@ ORACLES = {
         s AS (SELECT item_id, doc_id, round(sum(tf * idf), 9) AS score FROM a JOIN i USING (term) JOIN p USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)
         SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
     "q_domain_scores": _domain_sql(),
-    "q_safety_findings": "WITH l AS (SELECT page_id, unnest(string_split(coalesce(html, ''), chr(10))) AS x, unnest(range(1, len(string_split(coalesce(html, ''), chr(10))) + 1))::INT AS line FROM pages) " + " UNION ALL ".join(f"SELECT page_id, line, '{n}' AS rule, '{s}' AS severity FROM l WHERE regexp_matches(x, {_q(p)})" for n, (p, s, _) in search.RULES.items()),
-    "q_safety_gate": "SELECT page_id, CASE w WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' END AS worst, w < 1 AS passed FROM (SELECT page_id, greatest(" + ", ".join(f"CASE WHEN regexp_matches(coalesce(html, ''), {_q(p)}) THEN {search.SEVERITIES.index(s)} ELSE -1 END" for p, s, _ in search.RULES.values()) + ") AS w FROM pages)",
+    # without the rule that needs a syntax tree: no page of the tables is Python
+    "q_safety_findings": f"WITH l AS (SELECT page_id, unnest({_lines('html')}) AS x, unnest(range(1, len({_lines('html')}) + 1))::INT AS line FROM pages) " + " UNION ALL ".join(f"SELECT page_id, line, '{n}' AS rule, '{s}' AS severity FROM l WHERE regexp_matches(x, {_q(p)})" for n, (p, s) in search.RULES.items()),
+    "q_safety_gate": "SELECT page_id, (['safe', 'low', 'medium', 'high', 'critical'])[w + 1] AS worst, w < 2 AS passed FROM (SELECT page_id, greatest(0, " + ", ".join(f"CASE WHEN len(list_filter({_lines('html')}, lambda x: regexp_matches(x, {_q(p)}))) > 0 THEN {search.SEVERITIES.index(s)} ELSE 0 END" for p, s in search.RULES.values()) + ") AS w FROM pages)",
 }

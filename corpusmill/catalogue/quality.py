@@ -35,10 +35,10 @@ PARTS = f"SELECT *, list_filter(list_transform(lines, lambda x: {STRIP.format('x
 def _checks_sql(limits: quality.Limits) -> dict[str, str]:
     """The reason code of each check as an expression over t, lines and nb."""
     csv = "list_transform(list_filter(lines[1:50], lambda x: regexp_matches(x, '[^\\s]')), lambda x: length(x) - length(replace(x, ',', '')))"
-    names = f"list_filter(regexp_extract_all(substr(t, 1, 10000), '{quality.NAME_PATTERN}', 1), lambda x: lower(x) NOT IN ({', '.join(map(_quote, quality.SHORT_NAMES))}))"
+    names = f"list_filter(regexp_extract_all(t, '{quality.NAME_PATTERN}', 1), lambda x: lower(x) NOT IN ({', '.join(map(_quote, quality.SHORT_NAMES))}))"
     opened, closed = (f"(length(t) - length(replace(t, '{b}', '')))" for b in "{}")
     off = f"abs({opened} - {closed})"
-    secrets = " OR ".join(f"regexp_matches(substr(t, 1, 5000), {_quote(p)})" for p in quality.SECRETS)
+    secrets = " OR ".join(f"regexp_matches(t, {_quote(p)})" for p in quality.SECRETS)
     when = lambda test, reason: f"CASE WHEN {test} THEN '{reason}' END"
     return {
         "length": f"CASE WHEN len(lines) < {limits.min_lines} THEN 'too_short' WHEN len(lines) > {limits.max_lines} THEN 'too_long' END",
@@ -52,9 +52,9 @@ def _checks_sql(limits: quality.Limits) -> dict[str, str]:
             WHEN list_min({csv}) > 3 AND list_var_pop({csv}) < 2.0 AND list_avg({csv}) > 5 THEN 'data_file_csv' END""",
         "comment_ratio": when(f"len(nb) >= 10 AND len(list_filter(nb, lambda x: {_any('x', quality.COMMENT_STARTS, 'starts_with')})) > {limits.max_comments} * len(nb)", "mostly_comments"),
         "not_test_heavy": when(f"len(nb) >= 20 AND len(list_filter(nb, lambda x: {_any('x', quality.ASSERT_STARTS, 'starts_with')})) > {limits.max_asserts} * len(nb)", "assertion_dump"),
-        "js_ts_parseable": when(f"{_sum('substr(t, 1, 2000)', quality.JS_SIGNS)} >= 2 AND {off} > 5 AND {off} / greatest({opened}, 1) > 0.2", "js_brace_imbalance"),
+        "js_ts_parseable": when(f"{_sum('t', quality.JS_SIGNS)} >= 2 AND {off} > 5 AND {off} / greatest({opened}, 1) > 0.2", "js_brace_imbalance"),
         "has_functions_or_classes": when(f"len(list_filter(lines, lambda x: {_any('x', quality.DEFINITIONS, 'contains')} AND NOT {_any(STRIP.format('x'), ('#', '//', '*'), 'starts_with')})) = 0", "no_structure"),
-        "naming_quality": when(f"len(regexp_extract_all(substr(t, 1, 10000), '{quality.NAME_PATTERN}', 1)) >= 5 AND list_avg(list_transform({names}, lambda x: length(x))) < 3.0", "short_names"),
+        "naming_quality": when(f"len(regexp_extract_all(t, '{quality.NAME_PATTERN}', 1)) >= 5 AND list_avg(list_transform({names}, lambda x: length(x))) < 3.0", "short_names"),
         "code_to_blank_ratio": when("len(lines) >= 10 AND len(nb) < 0.5 * len(lines)", "too_sparse"),
         "no_obvious_copy_paste": when("len(list_filter(nb, lambda x: length(x) > 10)) >= 20 AND 1 - len(list_distinct(list_filter(nb, lambda x: length(x) > 10))) / len(list_filter(nb, lambda x: length(x) > 10)) > 0.3", "internal_duplication"),
         "has_some_documentation": when(f"len(lines) > 50 AND NOT {_any('t', quality.DOC_SIGNS, 'contains')}", "no_documentation"),
@@ -222,7 +222,7 @@ ORACLES |= {
         FROM (SELECT doc_id, CASE {' '.join(f"WHEN contains({_T}, {_quote(n)}) THEN {_quote(i)}" for i, n in filters.DECLARED.items())} END AS l FROM documents)""",
     "q_pii_filter": f"SELECT doc_id, CASE {' '.join(f'WHEN {filters.pii_sql(n)} THEN {_quote(n)}' for n in filters.PII)} END AS reason_code FROM documents",
     "q_pii_redact": f"SELECT doc_id, sha256(r) AS redacted_sha256, length(r) AS n_chars FROM (SELECT doc_id, {reduce(lambda x, p: f'regexp_replace({x}, {_quote(p[1])}, {_quote(f"<{p[0].upper()}>")}, {_quote("g")})', filters.PII.items(), _T)} AS r FROM documents)",
-    "q_content_filter": f"""SELECT doc_id, CASE WHEN {_any(_T, filters.LOCK_SIGNS, 'contains')} THEN 'lock_file' WHEN {_any(f'lower(substr({_T}, 1, 1000))', quality.AUTOGENERATED, 'contains')} THEN 'autogenerated'
+    "q_content_filter": f"""SELECT doc_id, CASE WHEN {_any(_T, filters.LOCK_SIGNS, 'contains')} THEN 'lock_file' WHEN {_any(f'lower({_T})', quality.AUTOGENERATED, 'contains')} THEN 'autogenerated'
         WHEN list_max(list_transform(string_split({_T}, chr(10)), lambda x: length(x))) > 1000 THEN 'minified'
         WHEN length({_T}) >= 200 AND length(regexp_replace({_T}, '[^0-9,;\\t]', '', 'g')) / length({_T}) > 0.6 THEN 'data_dump' END AS reason_code FROM documents""",
     "q_low_quality": f"""WITH s AS (SELECT doc_id, length({_T}) AS n, ((length({_T}) >= 20)::INT + regexp_matches({_T}, '[a-zA-Z]{{2,}}')::INT + (length({_T}) > 0 AND len(list_distinct(string_split({_T}, ''))) >= 0.1 * length({_T}))::INT + regexp_matches({_T}, '[^\\s]')::INT) / 4 AS score FROM documents)

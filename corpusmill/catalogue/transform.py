@@ -101,7 +101,7 @@ def _fim_sql(mode: str) -> str:
     SELECT doc_id, CASE WHEN n < 10 THEN n ELSE n + 3 END AS n, {', '.join(f"CASE WHEN n < 10 THEN 0 ELSE {x.split(' AS ')[0]} END AS {x.split(' AS ')[1]}" for x in spots.split(', '))} FROM c"""
 
 
-_HEAD = "substr(coalesce(text, ''), 1, 2000)"
+_HEAD = "coalesce(text, '')"
 ORACLES = {
     "q_metadata": f"""SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS line_count, length(coalesce(text, '')) AS char_count, sha256(coalesce(text, '')) AS content_hash,
         CASE WHEN {_sum(_HEAD, quality.JS_VETO)} < 2 AND {_sum(_HEAD, quality.PYTHON_SIGNS)} >= 2 THEN 'python' WHEN {_sum(_HEAD, quality.JS_SIGNS)} >= 2 THEN 'typescript' ELSE 'unknown' END AS estimated_language FROM documents""",

@@ -34,6 +34,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+#: White space as Python's str methods see it, for a character class.
+SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+
+
+def lstrip(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+", "")
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{SPACE}]+$", "")
+
+
 def words_ws(text: Column) -> Column:
     """White-space separated words."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
@@ -44,6 +56,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), 0)
 
 
+def code_tokens(text: Column) -> Column:
+    """ASCII identifiers, numbers, and single other characters than letters, digits and white space."""
+    return F.regexp_extract_all(text, F.lit(rf"[A-Za-z_][\p{{L}}\p{{N}}_]*|[0-9]+(?:\.[0-9]+)?|[^{SPACE}\p{{L}}\p{{N}}_]"), 0)
+
+
 def ngrams(items: Column, n: int, sep: str = " ") -> Column:
     """Joined n-grams of an array of strings, repeats included."""
     return F.when(F.size(items) < n, F.array().cast("array<string>")).otherwise(

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import jaccard, let, text_or_empty
+from corpusmill.functions.text import char_ngrams, code_tokens, jaccard, let, ngrams, text_or_empty
 from corpusmill.session import small_side, written
 
 PRIME, PERMUTATIONS, BANDS, SHINGLE = (1 << 31) - 1, 128, 16, 5
+#: Comparison texts that every row may be compared with.
+ITEMS = 2_000
 
 
 def mark_copies(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
@@ -97,21 +100,72 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / F.size(a)
 
 
+#: Members of a bucket that are compared pair by pair; in a larger one heads are compared with all, and heads grow by this factor each round.
+PAIRS, MORE_HEADS = 32, 8
+
+
+def bucket_links(members: DataFrame, verified: Callable[[DataFrame], DataFrame], pairs: int = PAIRS) -> DataFrame:
+    """Links between members (key, node, once each) that share a bucket; verified(candidates a, b with a < b) gives the true ones.
+
+    A bucket of up to `pairs` nodes is compared pair by pair. In a larger one heads are compared with all
+    members; a member that no head has met becomes a head later, more of them each round, until none is left. So
+    rows grow with members times heads, and what stays uncompared there are two members that both have a link already.
+    """
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    keyed = written(members.select("key", "node").join(small_side(sizes), "key"))
+    small, large = keyed.where(F.col("n") <= pairs), keyed.where(F.col("n") > pairs).select("key", "node")
+    ordered = lambda found: found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+    both = small.select("key", F.col("node").alias("x")).join(small.select("key", F.col("node").alias("y")), "key").where("x < y")
+    found, waiting, each = [written(verified(ordered(both)))], large, 1
+    while not waiting.isEmpty():
+        heads = written(waiting.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(each)).alias("slot")).agg(F.min("node").alias("x")).select("key", "x"))
+        met = written(verified(ordered(small_side(heads).join(large.select("key", F.col("node").alias("y")), "key"))))
+        found.append(met)
+        linked = small_side(written(met.select(F.col("a").alias("node")).union(met.select("b")).distinct()))
+        was_head = small_side(heads.select("key", F.col("x").alias("node")))
+        waiting = written(waiting.join(linked, "node", "left_anti").join(was_head, ["key", "node"], "left_anti").select("key", "node"))
+        each = min(each * MORE_HEADS, 1 << 20)
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node (the smallest id of equal normalised texts), signature, written."""
+    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    texts = texts.groupBy(F.sha2(normal_text(F.col("text")), 256).alias("_h")).agg(F.min(F.struct("node", "text")).alias("x")).select("x.node", "x.text")
+    return written(signatures(texts, "node", "text").where("signature IS NOT NULL"))
+
+
+def _banded(signed: DataFrame) -> DataFrame:
+    return signed.select("node", F.explode(F.transform(band_keys(F.col("signature")), lambda k: F.xxhash64(k["band"], k["key"]))).alias("key"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, class_id: the smallest id of the same normalised text, which near_duplicates links."""
+    return mark_copies(docs.select(id_col, text_col), F.sha2(normal_text(F.col(text_col)), 256), id_col).select(id_col, F.col("first_id").alias("class_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """first_id, id, similarity: links of each signature to the first of those that share a band with it.
+    """first_id, id, similarity: links between classes of equal texts (near_classes) whose signatures share a band and agree enough."""
+    signed = _signed(docs, id_col, text_col)
+    left, right = (signed.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
 
-    Equal texts are one signature. In a band bucket every signature is compared with the bucket's first
-    only, so links are linear in the bucket's size; a chain of links leads through all its members.
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("similarity"))
+        return both.where(F.col("similarity") >= threshold)
+
+    return bucket_links(_banded(signed), verified).select(F.col("a").alias("first_id"), F.col("b").alias("id"), "similarity")
+
+
+def cross_near_dedup(primary: DataFrame, secondary: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of secondary that are no near copy of a row of primary, which itself stays as it is.
+
+    Texts are compared once for each different text of either side, and only across the sides. Rows without a signature stay.
     """
-    texts = docs.select(id_col, text_col).withColumn("_h", F.sha2(normal_text(F.col(text_col)), 256))
-    firsts = texts.groupBy("_h").agg(F.min(F.struct(id_col, text_col)).alias("x")).select(f"x.{id_col}", f"x.{text_col}")
-    signed = written(signatures(firsts, id_col, text_col).where("signature IS NOT NULL"))
-    banded = signed.select(F.col(id_col).alias("b"), F.explode(band_keys(F.col("signature"))).alias("k")).select("b", "k.band", "k.key")
-    heads = banded.groupBy("band", "key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(heads, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    left, right = (signed.select(F.col(id_col).alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
-    similarity = agreement(F.col("sa"), F.col("sb"))
-    return pairs.join(left, "a").join(right, "b").select(F.col("a").alias("first_id"), F.col("b").alias("id"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    one, other = (_signed(x, id_col, text_col) for x in (primary, secondary))
+    met = _banded(one).withColumnRenamed("node", "p").join(_banded(other).withColumnRenamed("node", "s"), "key").select("p", "s").distinct()
+    pairs = met.join(one.select(F.col("node").alias("p"), F.col("signature").alias("sp")), "p").join(other.select(F.col("node").alias("s"), F.col("signature").alias("ss")), "s")
+    near = written(pairs.where(agreement(F.col("sp"), F.col("ss")) >= threshold).select(F.col("s").alias("class_id")).distinct())
+    return secondary.join(near_classes(secondary, id_col, text_col).join(small_side(near), "class_id", "left_semi").select(id_col).distinct(), id_col, "left_anti")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -121,10 +175,30 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return one.join(near, id_col, "left_anti")
 
 
+def nearest_items(rows: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", chars: int = 3, words: int = 3) -> DataFrame:
+    """id, most, mean, nearest: half the Jaccard coefficient of character n-grams, half that of token n-grams, over all items; the smallest id of equally near ones.
+
+    items is a stated set of comparison texts: it is counted before it is broadcast, and too many raise an error.
+    """
+    sets = lambda c: F.struct(let(text_or_empty(F.col(c)), lambda t: char_ngrams(t, chars)).alias("c"), let(code_tokens(text_or_empty(F.col(c))), lambda t: F.array_distinct(ngrams(t, words))).alias("t"))
+    held = written(items.select(F.col(item_col).alias("_item"), sets(text_col).alias("_b")))
+    if (n := held.count()) > ITEMS:
+        raise ValueError(f"{n} comparison texts; at most {ITEMS} are compared with every row")
+    both = rows.select(id_col, sets(text_col).alias("_a")).crossJoin(F.broadcast(held))
+    score = F.round(0.5 * jaccard(F.col("_a.c"), F.col("_b.c")) + 0.5 * jaccard(F.col("_a.t"), F.col("_b.t")), 9)
+    scored = both.select(id_col, "_item", score.alias("_s"))
+    return scored.groupBy(id_col).agg(F.max("_s").alias("most"), F.avg("_s").alias("mean"), F.min_by("_item", F.struct(-F.col("_s"), F.col("_item"))).alias("nearest"))
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / the longer text's length, in characters; 1 for two empty texts."""
+    return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))), F.lit(1.0))
+
+
 def word_grams(text: Column, n: int) -> Column:
-    """Different hashed word n-grams of the normalised text; the whole text if it has fewer words."""
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
-    of = lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(let(F.split(t, " "), grams)))
+    """Different hashed word n-grams of the normalised text; the whole text if it has fewer words. Words are hashed once."""
+    grams = lambda h: F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: F.xxhash64(F.slice(h, i + 1, n)))
+    of = lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.array_distinct(let(F.transform(F.split(t, " "), lambda w: F.xxhash64(w)), grams)))
     return let(normal_text(text), of)
 
 
@@ -154,8 +228,6 @@ def leakage_rate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def pair_similarity(pairs: DataFrame, a: str, b: str, n: int = 3) -> DataFrame:
     """pairs with char_jaccard (n characters) and token_jaccard (words) of two text columns."""
-    from corpusmill.functions.text import char_ngrams
-
     tokens = lambda c: F.filter(F.array_distinct(F.split(normal_text(F.col(c)), " ")), lambda w: w != "")
     grams = lambda c: let(normal_text(F.col(c)), lambda t: char_ngrams(t, n))
     return pairs.withColumns({"char_jaccard": jaccard(grams(a), grams(b)), "token_jaccard": jaccard(tokens(a), tokens(b))})

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import total
 
-# Upper bounds of the perplexity levels.
-LEVELS = ((10, "excellent"), (20, "very good"), (50, "good"), (100, "fair"), (200, "poor"), (1000, "bad"))
+# Perplexity levels, each above its bound.
+LEVELS = ((1000, "barely learning"), (200, "early training"), (100, "below average"), (50, "reasonable"), (20, "good"), (10, "very good"))
+BEST_LEVEL = "excellent / check for overfitting"
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -30,19 +31,23 @@ def group_advantage(rows: DataFrame, group: list[str], reward: str) -> DataFrame
     return rows.withColumn("advantage", F.coalesce((F.col(reward) - F.avg(reward).over(w)) / (F.stddev_samp(reward).over(w) + 1e-8), F.lit(0.0)))
 
 
-def reliability(rows: DataFrame, confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
-    """bin, n, confidence, accuracy, gap."""
-    b = F.least(F.floor(confidence * bins), F.lit(bins - 1)).cast("int")
-    out = rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(confidence).alias("confidence"), F.avg(correct).alias("accuracy"))
+def _bins(rows: DataFrame, confidence: Column, correct: Column, bins: int) -> DataFrame:
+    c = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0))
+    b = F.least(F.floor(c * bins), F.lit(bins - 1)).cast("int")
+    out = rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(c).alias("confidence"), F.avg(correct).alias("accuracy"), F.count_if(c > correct).alias("over"), F.count_if(c < correct).alias("under"))
     return out.withColumn("gap", F.abs(F.col("confidence") - F.col("accuracy")))
 
 
+def reliability(rows: DataFrame, confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
+    """bin, n, confidence (cut to 0 to 1), accuracy, gap."""
+    return _bins(rows, confidence, correct, bins).drop("over", "under")
+
+
 def calibration_error(rows: DataFrame, confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
-    """One row: ece, the largest gap, and the shares of rows in over- and underconfident bins."""
-    r = reliability(rows, confidence, correct, bins)
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n")
-    return r.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("largest_gap"),
-                 share(F.col("confidence") > F.col("accuracy")).alias("over"), share(F.col("confidence") < F.col("accuracy")).alias("under"))
+    """One row: ece, the largest gap, and the shares of rows whose confidence is above or below their correctness."""
+    return _bins(rows, confidence, correct, bins).agg(
+        (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("largest_gap"),
+        (F.sum("over") / F.sum("n")).alias("over"), (F.sum("under") / F.sum("n")).alias("under"))
 
 
 def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -75,10 +80,10 @@ def agreement(rows: DataFrame, score: Column, label: Column) -> DataFrame:
 
 
 def perplexity_level(ppl: Column) -> Column:
-    out = F.when(ppl < LEVELS[0][0], LEVELS[0][1])
+    out = F.when(ppl > LEVELS[0][0], LEVELS[0][1])
     for bound, name in LEVELS[1:]:
-        out = out.when(ppl < bound, name)
-    return out.otherwise("unusable")
+        out = out.when(ppl > bound, name)
+    return out.otherwise(BEST_LEVEL)
 
 
 def perplexity_rollup(rows: DataFrame, by: str, loss: Column, step: Column) -> DataFrame:

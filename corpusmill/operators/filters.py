@@ -68,7 +68,7 @@ def content_reason(text: Column) -> Column:
     clean = text_or_empty(text)
     data = F.length(F.regexp_replace(clean, r"[^0-9,;\t]", "")) / F.length(clean)
     return (F.when(contains_any(clean, LOCK_SIGNS), "lock_file")
-            .when(contains_any(F.lower(F.substring(clean, 1, 1000)), AUTOGENERATED), "autogenerated")
+            .when(contains_any(F.lower(clean), AUTOGENERATED), "autogenerated")
             .when(F.array_max(F.transform(lines_nl(clean), F.length)) > 1000, "minified")
             .when((F.length(clean) >= 200) & (data > 0.6), "data_dump"))
 

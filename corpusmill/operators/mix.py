@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.order import global_rank, hash32, seeded_rank, uniform
 from corpusmill.functions.text import md5_fold
-from corpusmill.session import written
+from corpusmill.session import small_side, written
 
 
 def weights_table(spark, weights: dict[str, float], sources: list[str] | None = None) -> DataFrame:
@@ -94,7 +94,8 @@ def balance(rows: DataFrame, language: str, difficulty: Column, size: Column, to
     hard = class_weights(binned, "_bin", 5).select("_bin", F.col("weight").alias("_wd"))
     about = class_weights(binned, topic).select(topic, F.col("weight").alias("_wt"))
     top = binned.agg(F.max("_size").alias("_max"))
-    out = binned.join(F.broadcast(hard), "_bin").join(F.broadcast(lang), language).join(F.broadcast(about), topic).crossJoin(F.broadcast(top))
+    # five bins are few; languages and topics are counted before they are broadcast
+    out = binned.join(F.broadcast(hard), "_bin").join(small_side(written(lang)), language).join(small_side(written(about)), topic).crossJoin(F.broadcast(top))
     blend = 0.4 * F.col("_wl") + 0.2 * F.col("_wd") + 0.2 * (1 - 0.3 * F.col("_size") / F.col("_max")) + 0.2 * F.col("_wt")
     return out.withColumn("weight", F.least(F.greatest(blend, F.lit(0.1)), F.lit(3.0))).drop("_bin", "_size", "_wl", "_wd", "_wt", "_max")
 

@@ -81,13 +81,21 @@ def _code(failed: Column, reason: str) -> Column:
     return F.when(failed, F.lit(reason))
 
 
-def looks_like_python(text: Column) -> Column:
-    head = F.substring(text, 1, 2000)
+#: Characters from the start that the checks look at where a span is given as for compatibility; by default they look at whole texts.
+COMPATIBLE_SPANS = {"language": 2000, "names": 10_000, "secrets": 5000, "security": 8000}
+
+
+def within(text: Column, span: int | None) -> Column:
+    return text if span is None else F.substring(text, 1, span)
+
+
+def looks_like_python(text: Column, span: int | None = None) -> Column:
+    head = within(text, span)
     return (how_many_contained(head, JS_VETO) < 2) & (how_many_contained(head, PYTHON_SIGNS) >= 2)
 
 
-def looks_like_js_ts(text: Column) -> Column:
-    return how_many_contained(F.substring(text, 1, 2000), JS_SIGNS) >= 2
+def looks_like_js_ts(text: Column, span: int | None = None) -> Column:
+    return how_many_contained(within(text, span), JS_SIGNS) >= 2
 
 
 def check_length(text: Column, limits: Limits = CONSERVATIVE) -> Column:
@@ -168,8 +176,8 @@ def check_has_functions_or_classes(text: Column, limits: Limits = STRICT) -> Col
     return _code(~F.exists(_lines(text), lambda x: contains_any(x, DEFINITIONS) & ~starts_with_any(strip(x), ("#", "//", "*"))), "no_structure")
 
 
-def names_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.substring(text, 1, 10_000), F.lit(NAME_PATTERN), 1)
+def names_of(text: Column, span: int | None = None) -> Column:
+    return F.regexp_extract_all(within(text, span), F.lit(NAME_PATTERN), 1)
 
 
 def check_naming_quality(text: Column, limits: Limits = STRICT) -> Column:
@@ -191,8 +199,8 @@ def check_has_some_documentation(text: Column, limits: Limits = STRICT) -> Colum
     return _code((occurrences(text, "\n") + 1 > 50) & ~contains_any(text, DOC_SIGNS), "no_documentation")
 
 
-def check_no_hardcoded_secrets(text: Column, limits: Limits = STRICT) -> Column:
-    head = F.substring(text, 1, 5000)
+def check_no_hardcoded_secrets(text: Column, limits: Limits = STRICT, span: int | None = None) -> Column:
+    head = within(text, span)
     return _code(F.greatest(*[head.rlike(p).cast("int") for p in SECRETS]) == 1, "hardcoded_secret")
 
 

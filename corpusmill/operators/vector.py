@@ -17,6 +17,8 @@ from corpusmill.session import written
 
 #: Queries of a block; a block's vectors are what a task holds besides its batch.
 BLOCK = 4096
+#: Rows that a task multiplies with a block at once.
+ROWS_AT_ONCE = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,17 +57,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                at = b.column(0).to_numpy()
-                v = np.stack([np.asarray(x, np.float64) for x in b.column(1).to_pylist()])
-                s = np.round((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ unit.T, 9)
-                s[at[:, None] == ids[None, :]] = -np.inf
-                q = np.repeat(np.arange(len(ids)), len(at))
-                new = [np.concatenate([x, y]) for x, y in zip(kept, (q, np.tile(at, len(ids)), s.T.ravel()), strict=True)]
-                order = np.lexsort((new[1], -new[2], new[0]))
-                new = [x[order] for x in new]
-                starts = np.searchsorted(new[0], np.arange(len(ids)))
-                near = (np.arange(len(new[0])) - starts[new[0]] < k) & np.isfinite(new[2])
-                kept = [x[near] for x in new]
+                every = np.stack([np.asarray(x, np.float64) for x in b.column(1).to_pylist()])
+                by_id = np.argsort(b.column(0).to_numpy(), kind="stable")  # so that a stable sort by similarity leaves ties by id
+                for lo in range(0, len(by_id), ROWS_AT_ONCE):
+                    rows_ = by_id[lo : lo + ROWS_AT_ONCE]
+                    at, v = b.column(0).to_numpy()[rows_], every[rows_]
+                    s = np.round((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ unit.T, 9)
+                    s[at[:, None] == ids[None, :]] = -np.inf
+                    best_rows = np.argsort(-s, axis=0, kind="stable")[:k]
+                    q = np.tile(np.arange(len(ids)), len(best_rows))
+                    new = [np.concatenate([x, y]) for x, y in zip(kept, (q, at[best_rows].ravel(), np.take_along_axis(s, best_rows, 0).ravel()), strict=True)]
+                    order = np.lexsort((new[1], -new[2], new[0]))
+                    new = [x[order] for x in new]
+                    starts = np.searchsorted(new[0], np.arange(len(ids)))
+                    near = (np.arange(len(new[0])) - starts[new[0]] < k) & np.isfinite(new[2])
+                    kept = [x[near] for x in new]
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], ["query", "id", "similarity"])
 
         local = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(best, "query long, id long, similarity double")

@@ -42,3 +42,26 @@ def load_results(spark: SparkSession, store: str, name: str | None = None) -> Da
 def list_results(spark: SparkSession, store: str) -> DataFrame:
     """name, saved_at, newest first."""
     return load_results(spark, store).groupBy("name").agg(F.max("saved_at").alias("saved_at")).orderBy(F.desc("saved_at"), "name")
+
+
+def delete_result(spark: SparkSession, store: str, name: str) -> bool:
+    """Whether there was a result of that name to delete."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/name={name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def write_report(rows: DataFrame, path: str, kind: str, order: list[str]) -> None:
+    """A report of few rows, in order, as csv with a header, json lines or a markdown table; each in one file."""
+    one = rows.orderBy(*order).coalesce(1)
+    if kind == "csv":
+        one.write.mode("overwrite").option("header", "true").csv(path)
+    elif kind == "json":
+        one.write.mode("overwrite").json(path)
+    elif kind == "markdown":
+        row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\])|\n", r"\\$1") for c in rows.columns]), F.lit(" |"))
+        head = [f"| {' | '.join(rows.columns)} |", f"| {' | '.join('---' for _ in rows.columns)} |"]
+        lines = one.select(F.array(row).alias("value"))
+        top = rows.sparkSession.range(1).select(F.array(*map(F.lit, head)).alias("value"))
+        top.union(lines).coalesce(1).select(F.explode("value").alias("value")).write.mode("overwrite").text(path)
+    else:
+        raise ValueError(f"unknown report: {kind}")

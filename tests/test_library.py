@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions.order import global_rank
-from corpusmill.operators import chunk, dedup, evaluation, filters, graph, mix, quality, score, search, transform, vector
+from corpusmill.operators import chunk, complexity, dedup, evaluation, filters, graph, metrics, mix, quality, score, search, stats, transform, vector
 from corpusmill.plans import registry
 from corpusmill.sources import readers, sinks
 
@@ -171,3 +171,132 @@ def test_registry(spark, tmp_path):
     assert registry.run(spark, plan).count() == 1
     with pytest.raises(KeyError, match="Unknown filter"):
         registry.get("filter", "nothing")
+
+
+def one(spark, column, text):
+    return spark.createDataFrame([(text,)], "text string").select(column.alias("x")).head().x
+
+
+def series(spark, *runs):
+    rows = [(k, i, float(v)) for k, values in enumerate(runs) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "run int, step int, value double"), metrics.Series(["run"], ["step"])
+
+
+def test_statistics_by_hand(spark):
+    counts = lambda *n: spark.createDataFrame([(f"t{k}", c) for k, c in enumerate(n)], "token string, n long")
+    assert [stats.zipf(counts(*n)).head().zipf for n in ((5,), (3, 3, 3))] == [1.0, 1.0]
+    assert 0.9 < stats.zipf(counts(120, 60, 40, 30, 24)).head().zipf <= 1
+    bands = {r.band: (r.types, r.tokens) for r in stats.frequency_bands(counts(50, 20, 10, 9, 8, 7, 6, 5, 1, 1)).collect()}  # cuts at 1, 5 and 9 of 10 types
+    assert bands == {"very_frequent": (1, 50), "common": (4, 47), "rare": (4, 19), "hapax": (2, 2)}
+    text = F.col("text")
+    # deepest indent 8 of 32, three of four words differ, three lines (one blank, with more indentation)
+    assert one(spark, stats.difficulty(text), "a b\n        a c\n" + " " * 20) == pytest.approx(0.4 * 8 / 32 + 0.4 * 3 / 4 + 0.2 * 3 / 500)
+    assert [one(spark, stats.difficulty(text), t) for t in ("", None)] == [0.0, 0.0]
+    assert [one(spark, stats.run_length_ratio(text), t) for t in ("", "aaab", "abab")] == [1.0, 0.5, 1.0]
+    assert one(spark, stats.token_entropy(text), "x1 = 2.50 + é") == pytest.approx(2.0)  # x1, =, 2.50, +; a letter that isn't ASCII starts no token
+    assert one(spark, stats.entropy_label(F.lit(7.0)), "") == "highly_complex" and one(spark, stats.entropy_label(F.lit(1.9)), "") == "trivial"
+    line = "the same long line here"
+    # six lines: five repeat; four blocks of three: three repeat; 30 tokens, 28 trigrams of which 5 differ
+    assert one(spark, stats.repetition(text), "\n".join([line] * 6)) == pytest.approx(min(1, 0.4 * 5 / 6 + 0.4 * 3 / 4 + 0.2 * 23 / 28))
+    assert one(spark, stats.repetition(text), "\n".join([line] * 5)) == pytest.approx(0.4 * 4 / 5 + 0.2 * 18 / 23)  # below six lines there are no blocks
+    assert one(spark, stats.repetition(text), " x\nx \n") == pytest.approx(0.0)  # only the ends of lines are stripped
+    signs = {"def f(self): import x": "python", "const x = 1; let y": "typescript", "function f() { var x }": "javascript", "plain": "other", "import let": "python"}
+    assert {t: one(spark, stats.code_language(text), t) for t in signs} == signs
+    levels = {10.0: "excellent / check for overfitting", 10.1: "very good", 20.1: "good", 50.0: "good", 50.1: "reasonable", 100.1: "below average", 1000.0: "early training", 1000.1: "barely learning"}
+    assert {v: one(spark, evaluation.perplexity_level(F.lit(v)), "") for v in levels} == levels
+    judged = spark.createDataFrame([(0.95, 1.0), (0.92, 0.0), (0.3, 0.0), (1.2, 1.0)], "c double, y double")
+    out = evaluation.calibration_error(judged, F.col("c"), F.col("y")).head()
+    assert (out.over, out.under) == (0.5, 0.25) and out.ece == pytest.approx(0.75 * abs((0.95 + 0.92 + 1) / 3 - 2 / 3) + 0.25 * 0.3)
+
+
+def test_series_by_hand(spark):
+    rows, s = series(spark, [5, 4, 4, 4, 3, 3, 3, 3])
+    found = [(r.start_step, r.end_step, r.n) for r in metrics.plateaus(rows, s, 1, 0.5, 3).orderBy("start_step").collect()]
+    assert found == [(1, 3, 3), (4, 7, 4)]  # a run starts at the row before its first flat one
+    rows, s = series(spark, [1, 2, 1, 2, 1], [1, 1, 1, 1, 1], [1, 2, 1])
+    out = {r.run: (r.sign_changes, r.oscillating) for r in metrics.oscillation(rows, s).collect()}
+    assert out == {0: (0.75, True), 1: (0.0, False), 2: (0.5, False)}  # 3 of 4 changes turn; no change isn't a turn; three values are too few
+    rows, s = series(spark, range(11))
+    assert sorted(r.step for r in metrics.down_sample(rows, s, 4).collect()) == [0, 3, 6, 10]  # int(i * 10 / 3)
+    rows, s = series(spark, [1, 1, 1, 1, 1, 1.5, float("nan"), float("inf"), 1])
+    out = {r.step: (r.z and round(r.z), r.anomaly, r.severity) for r in metrics.rolling_z(rows, s, 20).collect()}
+    assert out[4] == (None, False, None) and out[5] == (500_000, True, "warning")  # the deviation counts as 1e-6 at least
+    assert out[6] == out[7] == (None, True, "critical") and out[8][1] is False
+    rows, s = series(spark, [3, 2, 2, 2, 1, 1, 1, 1])
+    assert [r.fired_at for r in metrics.stagnation(rows, s, 2).collect()] == [3]  # once, though it would again at 6
+    rows, s = series(spark, [2.0] * 12)
+    assert {(r.noise_scale, r.batch_factor) for r in metrics.noise(rows, s).collect()} == {(0.0, 0.1)}
+    rows, s = series(spark, [1, 3, 2])
+    out = metrics.stability(rows, s, F.col("step") * 2).head()
+    assert (out.variance, out.oscillation, out.sensitivity) == (1.0, 1.5, 0.75)
+    grid = {(r.run, r.step): r.value for r in metrics.on_grid(rows.union(spark.createDataFrame([(1, 4, 9.0)], rows.schema)), ["run"], "step", "value", [-1, 1, 9]).collect()}
+    assert grid == {(0, -1): 1.0, (0, 1): 3.0, (0, 9): 2.0, (1, -1): 9.0, (1, 1): 9.0, (1, 9): 9.0}
+    docs = metrics.curriculum(spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "d double"), F.col("d"), 50, 100)
+    assert [(r.band, r.eligible) for r in docs.collect()] == [(0, True), (2, True), (4, False)]  # the ceiling is .525
+
+
+def test_search_terms_domains_and_rules(spark):
+    assert one(spark, search.terms(F.col("text")), "myVariable_2 42 x HTTPServer naïve") == ["my", "variable_2", "httpserver", "na", "ve"]
+    rows = spark.createDataFrame([(0, "import React from 'react'\nuseState(1); it('x')"), (1, "plain"), (2, "import {z} from 'zod'\nz.object({})")], "id int, t string")
+    found = {r.id: (r.domain, round(r.confidence, 4)) for r in search.domains(rows, "id", "t").collect()}
+    # react: two imports and a keyword make 7 points; testing: it( makes 1; zod: two imports and a keyword make 7 x 1.2
+    assert found == {0: ("react", 0.875), 1: ("general", 1.0), 2: ("zod", 1.0)}
+    code = "import os\nos.system('ls')\nwhile True:\n    eval(x)\n"
+    rows = spark.createDataFrame([(0, code), (1, "while True:\n    break\n"), (2, "fine"), (3, "password = 'longenough'"), (4, None)], "id int, t string")
+    found = sorted((r.id, r.line, r.rule, r.severity) for r in search.findings(rows, "id", "t").collect())
+    assert found == [(0, 2, "os_system", "critical"), (0, 3, "infinite_loop_no_break", "medium"), (0, 3, "while_true", "low"), (0, 4, "eval_call", "critical"), (1, 1, "while_true", "low"), (3, 1, "hardcoded_secret", "high")]
+    gate = {r.id: (r.worst, r.passed) for r in search.safety_gate(rows, "id", "t").collect()}
+    assert gate == {0: ("critical", False), 1: ("low", True), 2: ("safe", True), 3: ("high", False), 4: ("safe", True)}
+
+
+def test_complexity_by_hand(spark):
+    code = "import os\n\ndef f(x):\n    if x and x > 1:\n        for y in x:\n            print(y)\n\n# note\ndef g():\n    return 1\n"
+    r = complexity.with_complexity(frame(spark, [code]), language="python").head()
+    # if, for, and: 3 + 1; branches at depth 1 and 2 cost 2 and 3, and costs 1; f runs to the comment before g
+    assert (r.cyclomatic, r.cognitive, r.nesting, r.lines, r.functions, r.classes, r.imports) == (4, 6, 3, 10, 2, 0, 1)
+    assert (r.comment_ratio, r.avg_function, r.max_function) == (0.1, 4.0, 6)
+    assert r.bucket == 2  # 2 + 2 + 1 + 2 points
+    js = "class A {\n  run() {\n    if (a && b) { c('}}}') }\n  }\n}\nconst f = (x) => x\n"
+    r = complexity.with_complexity(frame(spark, [js]), language="javascript").head()
+    assert (r.cyclomatic, r.cognitive, r.nesting, r.functions, r.classes, r.bucket) == (3, 4, 3, 1, 1, 2)
+    r = complexity.with_complexity(frame(spark, [""])).head()
+    assert (r.cyclomatic, r.lines, r.nesting, r.bucket) == (1, 0, 0, 1)
+
+
+def test_near_duplicates_recall(spark):
+    """Against brute force over character shingles, in small and large buckets; membership of equal texts; across datasets."""
+    import random
+
+    r, texts = random.Random(3), []
+    for k in range(12):
+        words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+        for _ in range(60 if k == 0 else 4):
+            copy = list(words)
+            for at in r.sample(range(60), r.randint(0, 4)):
+                copy[at] = "".join(r.choice("klmnopqrst") for _ in range(6))
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), "", "ab"]
+    docs = frame(spark, texts)
+    grams = [{t.lower()[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    same = {}
+    first = [same.setdefault(t.lower(), k) for k, t in enumerate(texts)]
+    assert {x.doc_id: x.class_id for x in dedup.near_classes(docs).collect()} == dict(enumerate(first))
+    true = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if first[a] == a and first[b] == b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    found = {(x.first_id, x.id) for x in dedup.near_duplicates(docs).collect()}
+    small = {p for p in true if p[0] >= 60}
+    assert len(small & found) >= 0.9 * len(small)
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+    assert sum(root[a] == root[b] for a, b in true) >= 0.9 * len(true)
+    left = {x.doc_id for x in dedup.cross_near_dedup(docs.where("doc_id % 4 = 0"), docs.where("doc_id % 4 <> 0")).collect()}
+    near = {b for b in range(len(texts)) if b % 4 and any(len(grams[a] & grams[b]) >= 0.9 * len(grams[a] | grams[b]) for a in range(0, len(texts), 4))}
+    far = {b for b in range(len(texts)) if b % 4 and not any(len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b]) for a in range(0, len(texts), 4))}
+    assert far <= left and len(near & left) <= 0.1 * len(near)
+
+
+def test_secrets_are_found_anywhere(spark):
+    late = "\n".join(f"value_{k} = {k}" for k in range(900)) + "\npassword = 'hunter2hunter2'\n"
+    assert one(spark, quality.check_no_hardcoded_secrets(F.col("text")), late) == "hardcoded_secret"
+    assert one(spark, quality.check_no_hardcoded_secrets(F.col("text"), span=quality.COMPATIBLE_SPANS["secrets"]), late) is None
