@@ -3,11 +3,12 @@
 Folding lower-cases, maps homoglyphs and digits or signs that stand for letters inside words, and
 leaves words between single spaces. The lexicon's entries are whole words and word beginnings,
 weighted by log-odds between labelled toxic and clean documents; both weights and the final logistic curve
-are fitted on a bounded sample of labelled rows. A word counts once, with its heaviest entry, and not at all
-inside an exception phrase. The score joins the summed weight and its share of the text's length.
+are fitted on a bounded sample of labelled rows (FIT_ROWS), which also bounds the lexicon: every entry that passes is
+in it. A word counts once, with its heaviest entry, and not at all inside an exception phrase. The score joins the summed weight and its share of the text's length.
 
 Defined cases: a null or empty text scores like one without a match; very long texts are matched
-whole; repeated rows score alike; null labels teach nothing; without labels of both kinds the score is
+whole; repeated rows score alike; null labels teach nothing, and of labels that differ for a document the
+larger one holds; without labels of both kinds the score is
 a constant; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +32,6 @@ from corpusmill.llm.common import small_side, written
 FIT_ROWS = 20_000
 #: An entry needs so many toxic documents, so large log-odds, and beginnings have so many letters.
 MIN_TOXIC, MIN_ODDS, BEGINNINGS = 5, 3.0, range(4, 9)
-LEXICON = 5_000
 PREDICT = 0.3
 #: Phrases in which a listed word is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "pond scum", "soap scum", "loser bracket")
@@ -89,7 +89,8 @@ class Matcher:
                 else:
                     best[start] = max(best.get(start, 0.0), w)
         if harmless:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in harmless)}
+            inside = {k for a, b in harmless for k in range(a, b)}  # exceptions are short
+            best = {s: w for s, w in best.items() if s not in inside}
         total = sum(best.values())
         return total, 100 * total / max(folded.count(" ") - 1, 1), len(best)
 
@@ -100,9 +101,10 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[float]]:
     """The lexicon and the curve's coefficients, from labelled rows that are not held out."""
-    usable = written(labels.where(~held_out(id_col) & F.col("toxic").isNotNull()).select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")))
+    usable = labels.where(~held_out(id_col) & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    usable = written(usable)
     n = usable.count()
-    drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, fit_rows / max(n, 1)))).dropDuplicates(["id"])
+    drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < F.lit((1 << 20) * min(1.0, fit_rows / max(n, 1))))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = written(narrow.join(small_side(written(drawn), 2 * fit_rows), "id"))
 
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
     counted = sample.select("text", "toxic").mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     least = min(MIN_TOXIC, max(2, t // 20))
-    listed = counted.where((F.col("toxic") >= least) & (odds >= MIN_ODDS)).select("entry", odds.alias("w"), "toxic").orderBy(F.desc("toxic"), "entry").limit(LEXICON)
+    listed = counted.where((F.col("toxic") >= least) & (odds >= MIN_ODDS)).select("entry", odds.alias("w"))
     lexicon = {r.entry: r.w for r in listed.collect()}
     rows = with_features(sample.select("text", "toxic"), lexicon).select("f", "toxic").collect()
     return lexicon, logistic(np.array([[1.0, *curve(*r.f)] for r in rows]), np.array([r.toxic for r in rows], float))
