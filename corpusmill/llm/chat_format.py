@@ -11,7 +11,8 @@ output, in code points: one per assistant text, without markers or the newline t
 
 Defined cases: a null text or role counts as empty; turns with equal numbers order by role, then
 text, and all stay (nulls first); an empty table gives an empty result; other columns are ignored.
-A conversation is one row of output, so it is gathered in one task whatever its length.
+A conversation is one row of output, so it is gathered in one task whatever its length; the work on it is
+of the order of its length (times its logarithm for the spans), and output and spans hold up to 2^29 code points.
 """
 
 from __future__ import annotations
@@ -52,12 +53,11 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
                                            .otherwise(F.array(piece(joint, no), piece(escape(x), t["role"] == "assistant")))))
     chats = chats.select("conv_id", F.flatten(F.transform("turns", lambda t: F.concat(
         F.array(piece(header(t), no)), body(t), F.array(piece(F.lit(END), no))))).alias("pieces"))
-    span = "struct<start:bigint,length:bigint>"
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-    spans = F.aggregate("pieces", state, lambda s, p: F.struct(
-        (s["at"] + F.length(p["text"])).alias("at"),
-        F.when(p["loss"], F.array_append(s["spans"], F.struct(s["at"].alias("start"), F.length(p["text"]).cast("long").alias("length")))).otherwise(s["spans"]).alias("spans"),
-    ), lambda s: s["spans"])
+    # where each piece ends, by doubling: n log n additions, however long the conversation
+    ends = F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size("pieces"))).cast("int")), F.transform("pieces", lambda p: F.length(p["text"]).cast("long")),
+                       lambda x, k: F.transform(x, lambda v, i: v + F.coalesce(F.get(x, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0).cast("long"))))
+    chats = chats.withColumn("ends", ends)
+    spans = F.filter(F.zip_with("pieces", "ends", lambda p, e: F.when(p["loss"], F.struct((e - F.length(p["text"])).alias("start"), F.length(p["text"]).cast("long").alias("length")))), lambda s: s.isNotNull())
     return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -70,5 +70,7 @@ def read_back(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped. Spans are cut from code points of four bytes each, so none is searched for from the start."""
+    first = F.lit(bytearray("x".encode("utf-32-be")))  # a mark of byte order that begins a span would else be taken as one
+    cut = lambda points, s: F.substring(F.decode(F.concat(first, F.substr(points, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int"))), "UTF-32"), 2, 1 << 30)
+    return F.transform(F.array(F.encode(formatted, "UTF-32")), lambda points: F.array_join(F.transform(spans, lambda s: unescape(cut(points, s))), ""))[0]
