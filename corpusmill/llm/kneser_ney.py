@@ -24,10 +24,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -50,13 +52,52 @@ class Model(NamedTuple):
     weight: dict[int, DataFrame]
 
 
-def codes(text: bytes, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte."""
-    a = np.frombuffer(START * (order - 1) + text, np.uint8).astype(np.int64)
-    out = a[: len(text)]
+def codes(texts: pa.Array | pa.ChunkedArray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte of the texts, one text after the other, and each text's bytes. A null counts as empty."""
+    column = pa.concat_arrays([c.cast(pa.large_string()) for c in (texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts])] or [pa.array([], pa.large_string())])
+    column = column.fill_null("")
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    a = np.concatenate([np.zeros(order - 1, np.uint8), data]).astype(np.int64)
+    out = a[: len(data)]
     for k in range(1, order):
-        out = out << 8 | a[k : k + len(text)]
-    return out
+        out = out << 8 | a[k : k + len(data)]
+    starts, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
+    for k in range(order - 1):  # where less than order - 1 bytes of the text stand before, START does
+        at = starts[sizes > k] + k
+        out[at] = out[at] & ((1 << 8 * (k + 1)) - 1) | int.from_bytes(START * (order - 1 - k), "big") << 8 * (k + 1)
+    return out, sizes
+
+
+class CodeTable:
+    """Finds the places of codes in an array of different ones: open addressing, all steps on whole arrays."""
+
+    def __init__(self, held: np.ndarray):
+        bits = max(10, int(len(held)).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.held, self.at = np.append(held, -1), np.full(1 << bits, -1, np.int32)  # an empty slot leads to the -1 at the end, which is no code
+        waiting, slot = np.arange(len(held), dtype=np.int32), self._slot(held)
+        while len(waiting):
+            free = self.at[slot] < 0
+            self.at[slot[free]] = waiting[free]
+            left = self.at[slot] != waiting
+            waiting, slot = waiting[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """-1 for a code that isn't held."""
+        slot = self._slot(codes)
+        out = self.at[slot]
+        waiting = np.flatnonzero((self.held[out] != codes) & (out >= 0))
+        slot = slot[waiting]
+        while len(waiting):
+            slot = (slot + 1) & self.mask
+            out[waiting] = self.at[slot]
+            left = (self.held[out[waiting]] != codes[waiting]) & (out[waiting] >= 0)
+            waiting, slot = waiting[left], slot[left]
+        return out
 
 
 def _context(code: Column) -> Column:
@@ -68,6 +109,16 @@ def _suffix(code: Column, n: int) -> Column:
     return code.bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1).cast("long"))
 
 
+def _parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Slices of consecutive texts of up to so many bytes, or of one longer text."""
+    ends = np.cumsum([n or 0 for n in pc.binary_length(texts).to_pylist()])
+    begin, done = 0, 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield texts.slice(begin, end - begin)
+        begin, done = end, int(ends[end - 1])
+
+
 def count_ngrams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """code, c: how often each n-gram of the highest order occurs in all texts."""
 
@@ -82,34 +133,38 @@ def count_ngrams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -
             return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["code", "c"])
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append(codes((text or "").encode(), order))
+            for part in _parts(b.column(0), COUNTED):
+                held.append(codes(part, order)[0])
                 size += len(held[-1])
                 if size >= COUNTED:
                     yield counted()
-        if held:
+        if size:
             yield counted()
 
     part = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, c long")
     return part.groupBy("code").agg(F.sum("c").alias("c"))
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from how many n-grams occur once to four times."""
-    n = {r.c: r.n for r in counts.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
-    n1, n2, n3, n4 = (max(n.get(k, 0), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
+def _discounts(levels: dict[int, DataFrame]) -> dict[int, list[float]]:
+    """Of each order D1, D2, D3+, from how many n-grams occur once to four times."""
+    few = [rows.where("c <= 4").groupBy(F.lit(n).alias("n"), "c").agg(F.count("*").alias("times")) for n, rows in levels.items()]
+    times = {(r.n, r.c): r.times for r in reduce(DataFrame.union, few).collect()}
+    out = {}
+    for n in levels:
+        n1, n2, n3, n4 = (max(times.get((n, k), 0), 1) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        out[n] = [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
+    return out
 
 
 def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     levels = {order: written(count_ngrams(texts, text_col, order))}
     for n in range(order - 1, 0, -1):  # continuation counts: how many different bytes stand before
         levels[n] = written(levels[n + 1].groupBy(_suffix(F.col("code"), n + 1).alias("code")).agg(F.count("*").alias("c")))
-    model = Model({}, {})
+    discounts, model = _discounts(levels), Model({}, {})
     for n in range(1, order + 1):
-        d1, d2, d3 = _discounts(levels[n])
+        d1, d2, d3 = discounts[n]
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         rows = levels[n].withColumns({"context": _context(F.col("code")), "cut": cut})
         contexts = written(rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("weight")))
@@ -120,16 +175,15 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
     return model
 
 
-def probabilities(model: Model, asked: DataFrame, n: int = ORDER) -> DataFrame:
-    """code, p of every different n-gram in asked (a column code): its own probability, or its context's weight times that of its suffix."""
-    rows = asked.withColumns({"context": _context(F.col("code")), "suffix": _suffix(F.col("code"), n)})
-    rows = rows.join(model.p[n], "code", "left").join(model.weight[n], "context", "left")
-    if n == 1:
-        rows = rows.withColumn("q", F.lit(1 / 256))
-    else:
-        lower = probabilities(model, written(rows.select(F.col("suffix").alias("code")).distinct()), n - 1)
-        rows = rows.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
-    return written(rows.select("code", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p")))
+def probabilities(model: Model, asked: DataFrame, order: int = ORDER) -> DataFrame:
+    """code, p of every different n-gram in asked (a column code, cheap to read again): its own probability, or its context's weight times that of its suffix."""
+    known = asked.sparkSession.range(1).select(F.lit(0).cast("long").alias("code"), F.lit(1 / 256).alias("p"))  # of the empty n-gram
+    for n in range(1, order + 1):
+        need = asked.select("code") if n == order else asked.select(_suffix(F.col("code"), n + 1).alias("code")).distinct()
+        rows = need.withColumns({"context": _context(F.col("code")), "suffix": _suffix(F.col("code"), n)})
+        rows = rows.join(model.p[n], "code", "left").join(model.weight[n], "context", "left").join(known.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
+        known = rows.select("code", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p"))
+    return written(known)
 
 
 def _packed(docs: DataFrame, text_col: str, order: int) -> DataFrame:
@@ -139,32 +193,30 @@ def _packed(docs: DataFrame, text_col: str, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, size, found = TaskContext.get().partitionId() << 32, 0, np.empty(0, np.int64)
+        block, size, known = TaskContext.get().partitionId() << 32, 0, CodeTable(np.empty(0, np.int64))
         names, types = ["block", "packed", "codes"], [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
         def row(packed: bytes | None, own: np.ndarray | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([block], types[0]), pa.array([packed], types[1]), pa.array([own], types[2])], names)
 
         for b in batches:
-            texts = [(x or "").encode() for x in b.column(at).to_pylist()]
             begin = 0
-            while begin < len(texts):
-                end, part = begin, 0
-                while end < len(texts) and (end == begin or part + len(texts[end]) <= PART):
-                    part += len(texts[end])
-                    end += 1
+            for texts in _parts(b.column(at), PART):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
-                    out.write_batch(b.slice(begin, end - begin))
+                    out.write_batch(b.slice(begin, len(texts)))
+                begin += len(texts)
                 yield row(sink.getvalue().to_pybytes(), None)
-                found = np.unique(np.concatenate([found, *(codes(t, order) for t in texts[begin:end])]))
-                size += part
+                own, _ = codes(texts, order)
+                new = np.unique(own[known.places(own) < 0])
+                if len(new):
+                    known = CodeTable(np.concatenate([known.held[:-1], new]))
+                size += len(own)
                 if size >= BLOCK:
-                    yield row(None, found)
-                    block, size, found = block + 1, 0, np.empty(0, np.int64)
-                begin = end
+                    yield row(None, np.sort(known.held[:-1]))
+                    block, size, known = block + 1, 0, CodeTable(np.empty(0, np.int64))
         if size:
-            yield row(None, found)
+            yield row(None, np.sort(known.held[:-1]))
 
     # the number of buckets follows the text, and is that of shuffles at least; the catalogue's entry isn't needed once the table is resolved
     total = docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
@@ -188,18 +240,16 @@ def with_perplexity(docs: DataFrame, model: Model, text_col: str = "text", order
     answers = asked.join(known, "code").select("of", "code", F.log2("p").cast("float").alias("bits"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        code, bits = right["code"].to_numpy(), right["bits"].to_numpy()
-        by = np.argsort(code)
-        code, bits = code[by], bits[by].astype(np.float64)
+        known, bits = CodeTable(right["code"].to_numpy()), np.append(right["bits"].to_numpy().astype(np.float64), np.nan)
         done = []
         for packed in left["packed"]:
             for b in pa.ipc.open_stream(packed.as_buffer()):
-                found = []
-                for text in b.column(at).to_pylist():
-                    asked = codes((text or "").encode(), order)
-                    k = np.searchsorted(code, asked)
-                    found.append(float(2 ** -bits[k].mean()) if len(asked) else None)
-                done.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names))
+                own, sizes = codes(b.column(at), order)
+                upto = np.concatenate([[0.0], np.cumsum(bits[known.places(own)])])
+                ends = np.cumsum(sizes)
+                with np.errstate(invalid="ignore"):
+                    found = np.exp2((upto[ends - sizes] - upto[ends]) / sizes)
+                done.append(pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64(), mask=sizes == 0)], names))
         return pa.Table.from_batches(done)
 
     left = stored.where("packed IS NOT NULL").select("block", "packed").groupBy("block")
