@@ -7,6 +7,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -93,17 +94,33 @@ def slow_kneser_ney(texts: list[bytes], order: int):
     return p
 
 
+def test_ngram_codes():
+    import numpy as np
+
+    texts = ["abcdefg", "", None, "é", "x", "東京 long enough"]
+    own, sizes = kneser_ney.codes(pa.chunked_array([pa.array(["skipped", *texts[:3]]).slice(1), pa.array(texts[3:])]))
+    want = [(b"\xff" * 4 + (t or "").encode())[k : k + 5] for t in texts for k in range(len((t or "").encode()))]
+    assert [int(c).to_bytes(5, "big") for c in own] == want and sizes.tolist() == [len((t or "").encode()) for t in texts]
+    r = np.random.default_rng(1)
+    held = np.unique(r.integers(0, 1 << 40, 5000))
+    asked = np.concatenate([r.permutation(held), r.integers(0, 1 << 40, 5000)])
+    where = {int(c): k for k, c in enumerate(held)}
+    assert kneser_ney.CodeTable(held).places(asked).tolist() == [where.get(int(c), -1) for c in asked]
+    assert kneser_ney.CodeTable(held[:0]).places(asked[:3]).tolist() == [-1, -1, -1]
+    assert [len(p) for p in kneser_ney._parts(pa.array(["ab", "c" * 9, None, "d", "e"]), 4)] == [1, 1, 3]
+
+
 def test_kneser_ney_against_slow_model(spark, docs):
     order = kneser_ney.ORDER
     texts = [prose(k, 6) + " naïve – 東京"[: k % 14] for k in range(200)]
     model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     p = slow_kneser_ney([t.encode() for t in texts], order)
-    asked = {int(c) for t in [*texts[:20], "zebra 東 Q", "xx\nthe river", prose(999, 5)] for c in kneser_ney.codes(t.encode())}
+    asked = {int(c) for t in [*texts[:20], "zebra 東 Q", "xx\nthe river", prose(999, 5)] for c in kneser_ney.codes(pa.array([t]))[0]}
     found = kneser_ney.probabilities(model, spark.createDataFrame([(c,) for c in asked], "code long")).collect()
     assert len(found) == len(asked)
     for r in found:
         assert r.p == pytest.approx(p(r.code.to_bytes(order, "big")), rel=1e-9)
-    context = int(kneser_ney.codes(b"the river")[-1]) >> 8
+    context = int(kneser_ney.codes(pa.array(["the river"]))[0][-1]) >> 8
     every = kneser_ney.probabilities(model, spark.range(256).select((F.col("id") + (context << 8)).alias("code")))
     assert every.agg(F.sum("p")).head()[0] == pytest.approx(1, rel=1e-9)
     for r in kneser_ney.with_perplexity(docs, model).collect():
@@ -398,3 +415,169 @@ def test_near_copies(spark, docs, empty, pairs):
         assert out.columns == docs.columns and {x.n for x in out.collect()} == {7} and near_copies.drop_near_copies(empty).count() == 0
         repeats = spark.createDataFrame([(5, given[0][1]), (9, given[1][1]), (5, "b " * 30), (None, given[0][1] + " end"), (None, "c d e f g h")], frame.schema)
         assert sorted((x.doc_id or 0, x.text[0]) for x in near_copies.drop_near_copies(repeats).collect()) == [(0, "c"), (5, "b"), (5, "w")]
+
+
+def test_license_headers_inside_files(spark):
+    """Notices and whole licences in longer files, however they are wrapped and marked as comments."""
+    import textwrap
+
+    code = "\n".join(f"value_{k} = compute(value_{k - 1}, {k})  # step number {k}" for k in range(300))
+    of = dict(license_scan.TEXTS)
+    whole = {i: t for i, t in license_scan.whole_licences()}
+    comment = lambda t, sign, width: "\n".join(f"{sign} {x}" for x in textwrap.wrap(t, width))
+    given = {
+        1: ("MIT", "Copyright 2020 somebody\n\n" + "\n".join(textwrap.wrap(of["MIT"], 72)) + "\n\n" + code),
+        2: ("Apache-2.0", comment(of["Apache-2.0"], "#", 70) + "\n" + code),
+        3: ("BSD-3-Clause", "/*\n" + comment(of["BSD-3-Clause"], " *", 60) + "\n */\n" + code),
+        4: ("BSD-2-Clause", code + "\n" + comment(of["BSD-2-Clause"], "//", 90)),
+        5: ("GPL-3.0", "intro of a few words\n" + whole["GPL-3.0"] + "\n" + code),
+        6: ("AGPL-3.0", whole["AGPL-3.0"]),
+        7: ("Apache-2.0", whole["Apache-2.0"] + "\n" + code),
+        8: (None, code), 9: (None, None), 10: (None, ""), 11: (None, "\n".join(of["MIT"].split()[:60]) + code),
+        12: ("MPL-2.0", comment(of["MPL-2.0"], "--", 50) + "\n\n" + code),
+        13: ("LGPL-2.1", whole["LGPL-2.1"]), 14: ("GPL-2.0", whole["GPL-2.0"] + code), 15: ("MIT", of["MIT"]), 16: ("CC0-1.0", code[:900] + "\n" + whole["CC0-1.0"]),
+    }
+    frame = spark.createDataFrame([(k, t, 1) for k, (_, t) in given.items()], "doc_id long, text string, dice int")
+    found = {r.doc_id: r for r in license_scan.scan(frame).collect()}
+    assert {k: r.license for k, r in found.items()} == {k: i for k, (i, _) in given.items()}
+    assert all(found[k].dice > 0.9 for k, (i, _) in given.items() if i)
+
+
+def slow_scan(text, known, threshold=0.8):
+    import re
+
+    lines = [x.strip() for x in re.sub(r"[^a-z0-9\n]+", " ", text.lower()).split("\n") if x.strip()]
+    words = [w for x in lines for w in x.split(" ")]
+    grams = lambda w: set(zip(w, w[1:]))
+    units = [(x.split(" "), None) for x in lines] + ([(words, None)] if len(lines) > 1 else [])
+    ends = [sum(len(x.split(" ")) for x in lines[: k + 1]) for k in range(len(lines))]
+    scores = []
+    for k, (name, t) in enumerate(known):
+        tw = t.split(" ")
+        tg = grams(tw)
+        dice = lambda g: 2 * len(g & tg) / (len(g) + len(tg))
+        scores += [(-dice(grams(w)), name, u) for u, (w, _) in enumerate(units) if len(w) > 1 and dice(grams(w)) >= threshold]
+        if len(tg) >= license_scan.RUN_BIGRAMS:
+            for first in range(len(lines)):
+                begin = ends[first - 1] if first else 0
+                fit = max(first, sum(e <= begin + len(tw) for e in ends) - 1)
+                for last in {fit, min(fit + 1, len(lines) - 1)}:
+                    if last > first and dice(grams(words[begin : ends[last]])) >= threshold:
+                        scores.append((-dice(grams(words[begin : ends[last]])), name, -1 - k))
+    best = min(scores, default=None)
+    return (best[1], round(-best[0], 6), len({u for *_, u in scores})) if best else (None, None, 0)
+
+
+def test_license_scan_against_slow_scan(spark):
+    r = random.Random(4)
+    known = [("A", " ".join(f"a{k}" for k in range(40))), ("B", " ".join(f"a{k}" if k < 30 else f"b{k}" for k in range(45))), ("C", "licensed under the c licence"), ("D", " ".join(f"d{k % 30}" for k in range(70)))]
+    given = []
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(0, 3)):
+            words += [f"x{r.randint(0, 9)}" for _ in range(r.randint(0, 25))]
+            words += [w for w in r.choice(known)[1].split() if r.random() > r.choice([0, 0.05, 0.2])]
+        given.append("".join(w + r.choice([" ", " ", " ", ", ", "\n", "\n# "]) for w in words))
+    out = license_scan.scan(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), known).collect()
+    assert {x.doc_id: (x.license, x.dice, x.n_matches) for x in out} == {k: slow_scan(t, known) for k, t in enumerate(given)}
+
+
+def test_exact_dedup_judges_ids_by_their_texts(spark):
+    given = [(1, "aa"), (1, "bb"), (2, "aa"), (3, "bb"), (4, "c" * 5000), (5, "c" * 4999 + "d"), (None, "aa"), (None, "e"), (6, "f"), (6, "f"), (None, "g"), (None, "g")]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    for digests in (True, False):
+        found = sorted(((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame, digests=digests).collect()))
+        assert found == [(0, 0, 1, True), (0, 0, 2, True), (0, 0, 2, True), (0, 2, 3, False), (1, 2, 3, False), (1, 3, 2, False), (2, 2, 3, True), (3, 3, 2, True), (4, 4, 1, True), (5, 5, 1, True), (6, 6, 2, True), (6, 6, 2, True)]
+    left = sorted((r.doc_id or 0, r.text[:1]) for r in exact_dedup.drop_copies(frame.withColumn("_len", F.lit(1))).collect())
+    assert left == [(0, "e"), (0, "g"), (2, "a"), (3, "b"), (4, "c"), (5, "c"), (6, "f")]
+
+
+def test_sharding_against_brute_force(spark):
+    """Sizes near equal, equal texts together unless they fill a shard, hot groups and repeated keys split, slots gapless."""
+    r = random.Random(6)
+    given = [(k, prose(k, r.randint(1, 40))) for k in range(1500)] + [(10_000 + k, "one hot text " * 40) for k in range(1000)] + [(77_777, "a row that repeats " * 30)] * 900 + [(None, None), (None, ""), (90_000, "x" * 50_000)]
+    frame = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    out = sharding.shard(frame, 4).collect()
+    want = sorted((d or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in given)
+    assert sorted((x.doc_id or 0, x.size, x.text_crc32) for x in out) == want
+    total = sum(w[1] for w in want)
+    by_shard: dict[int, list] = {}
+    for x in out:
+        by_shard.setdefault(x.shard, []).append(x)
+    for own in by_shard.values():
+        assert sorted(x.slot for x in own) == list(range(len(own)))
+        assert abs(sum(x.size for x in own) - total / 4) < 60_000
+    places: dict[int, set] = {}
+    for x in out:
+        places.setdefault(x.text_crc32, set()).add(x.shard)
+    split = [c for c, shards in places.items() if len(shards) > 1]
+    assert set(split) <= {zlib.crc32(("one hot text " * 40).encode()), zlib.crc32(("a row that repeats " * 30).encode())}
+
+
+def test_toxicity_against_slow_matcher(spark):
+    import math
+
+    def slow(text, lexicon, exceptions):
+        folded = toxicity.fold(text)
+        best, harmless = {}, set()
+        for at in range(len(folded)):
+            best |= {at: max([w for e, w in lexicon.items() if folded.startswith(e, at)], default=0)}
+            for e in exceptions:
+                if folded.startswith(f" {e} ", at):
+                    harmless |= set(range(at, at + len(e) + 1))
+        kept = [w for at, w in best.items() if w and at not in harmless]
+        return sum(kept), 100 * sum(kept) / max(len(folded.split()), 1), len(kept)
+
+    r = random.Random(9)
+    lexicon = {" trash ": 5.0, " scum ": 4.0, " scum": 3.0, " vile": 3.5, " vile ": 3.5, " lose": 3.1, " loser ": 4.4}
+    matcher = toxicity.Matcher(lexicon)
+    words = ["trash", "can", "tr4sh", "scum", "pond", "soap", "$cum", "vile", "vilest", "loser", "bracket", "l0ser", "the", "ѕсum", "losers", "talk", "1", "!!"]
+    for _ in range(300):
+        text = " ".join(r.choice(words) for _ in range(r.randint(0, 12)))
+        a, b = matcher.features(text), slow(text, lexicon, toxicity.EXCEPTIONS)
+        assert a[2] == b[2] and a[:2] == pytest.approx(b[:2])
+    given = [(k, f"plain words here {k % 7} " + ("vile scum" if k % 4 == 0 else "good folk")) for k in range(400)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    labels = [(k, int(k % 4 == 0)) for k in range(400)]
+    doubled = spark.createDataFrame(labels + [(k, 0) for k, y in labels if y] + labels[:50], "doc_id long, toxic int")
+    lexicon_a, curve_a = toxicity.fit(frame, doubled.repartition(4))
+    lexicon_b, curve_b = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))  # of labels that differ the larger one holds
+    used = {k: y for k, y in labels if zlib.crc32(str(k).encode()) % 4 != 2}
+    t, c = sum(used.values()), len(used) - sum(used.values())
+    assert lexicon_a == lexicon_b == {e: pytest.approx(math.log((t + 0.5) / (t + 1)) - math.log(0.5 / (c + 1))) for e in (" vile ", " vile", " scum ", " scum")}
+    assert curve_a == pytest.approx(curve_b)
+
+
+def test_long_conversation(spark):
+    """A conversation of many turns with characters of several sizes, at either end of texts."""
+    bits = ["\ufeffx", "😀 y", "é<|z", "", "\\", "plain words"]
+    given = [(1, t, ("user", "assistant")[t % 3 == 0], bits[t % 6] * (t % 4)) for t in range(6000)]
+    frame = spark.createDataFrame(given, "conv_id long, turn int, role string, text string")
+    out = chat_format.format_chats(frame).select("formatted", "loss_spans", chat_format.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).head()
+    assert out.loss == "".join(t for _, _, role, t in given if role == "assistant")
+    assert len(out.loss_spans) == sum(role == "assistant" for *_, role, _ in given)
+    for s, text in list(zip(out.loss_spans, [t for *_, role, t in given if role == "assistant"]))[:200]:
+        assert out.formatted[s.start : s.start + s.length] == text.replace("\\", "\\\\").replace("<|", "<\\|")
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows, extra columns with clashing names, and an empty table through the whole chain."""
+    import corpus_pipeline
+    from corpusmill.llm.common import table, written
+
+    given = [(k, prose(k, 30), ("en", None)[k % 5 == 0], ("h", None)[k % 7 == 0], 1) for k in range(200)]
+    given += [(300, None, "en", "h", None), (301, "", None, "h", 0), (302, prose(3, 3000), "en", "h", 1), given[4], given[4], (None, prose(900, 30), None, None, None), (303, given[8][1], "en", "h", 1), (304, given[9][1] + " more", "en", "h", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = lambda df: df.withColumns({"kept": F.lit("own"), "perplexity": F.lit(1), "_len": F.lit(2), "n_words": F.lit(3)})
+    spark.createDataFrame([(k, 1, 0) for k in range(200)] + [(300, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows_, least in ((given, 150), ([], 0)):
+        docs = extra(spark.createDataFrame(rows_, names))
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = written(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == columns, name
+        left = docs.collect()
+        assert len(left) >= least and {(r.kept, r.perplexity, r["_len"], r.n_words) for r in left} <= {("own", 1, 2, 3)}
+        assert not {300, 301, 8} & {r.doc_id for r in left} and sum(r.doc_id == 4 for r in left) <= 1
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == len({r.doc_id for r in left})
