@@ -174,6 +174,7 @@ QUERIES |= {"q_code_score": q_code_score, "q_tier_weight": q_tier_weight}
 _UNIV = "CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END"
 _LENGTHS = f"list_transform({_UNIV}, lambda x: length(x))"
 _LONG = f"list_filter(list_transform({_UNIV}, lambda x: {STRIP.format('x')}), lambda x: length(x) > 10)"
+_LANGUAGE = f"CASE WHEN {_sum('t', quality.JS_VETO)} < 2 AND {_sum('t', quality.PYTHON_SIGNS)} >= 2 THEN 'python' WHEN {_sum('t', quality.JS_SIGNS)} >= 2 THEN 'typescript' ELSE 'unknown' END"
 _DUP = f"1 - len(list_distinct({_LONG})) / len({_LONG})"
 ORACLES |= {
     "q_signal_length": f"SELECT doc_id, CASE WHEN n < 5 THEN 0.1 WHEN n < 10 THEN 0.4 WHEN n <= 300 THEN 1.0 WHEN n <= 500 THEN 0.9 WHEN n <= 1000 THEN 0.7 WHEN n <= 2000 THEN 0.5 WHEN n <= 5000 THEN 0.3 ELSE 0.1 END::DOUBLE AS signal FROM (SELECT doc_id, len({_UNIV}) AS n FROM ({DOCS}))",
@@ -184,6 +185,30 @@ ORACLES |= {
         FROM (SELECT doc_id, len({_LENGTHS}) AS n, list_max({_LENGTHS}) AS m, list_avg({_LENGTHS}) AS a FROM ({DOCS}))""",
     "q_signal_duplication": f"SELECT doc_id, CASE WHEN len({_LONG}) < 20 THEN 0.8 WHEN {_DUP} <= 0.05 THEN 1.0 WHEN {_DUP} <= 0.15 THEN 0.85 WHEN {_DUP} <= 0.25 THEN 0.65 WHEN {_DUP} <= 0.35 THEN 0.45 WHEN {_DUP} <= 0.5 THEN 0.25 ELSE 0.1 END::DOUBLE AS signal FROM ({DOCS})",
     "q_signal_documentation": f"""SELECT doc_id, CASE WHEN {_any('t', ('"""', "'''", '/**'), 'contains')} THEN 0.7 WHEN len({_UNIV}) > 50 THEN 0.2 ELSE 0.4 END::DOUBLE AS signal FROM ({DOCS})""",
+    "q_signal_comments": f"""SELECT doc_id, CASE WHEN r BETWEEN 0.05 AND 0.25 THEN 1.0 WHEN r BETWEEN 0.02 AND 0.40 THEN 0.6 WHEN r < 0.02 THEN 0.3 ELSE 0.2 END::DOUBLE AS signal FROM (
+        SELECT doc_id, coalesce(list_sum(list_transform(list_filter({_UNIV}, lambda x: {_any(STRIP.format('x'), ('#', '//', '/*', '*'), 'starts_with')}), lambda x: length(x))), 0)::DOUBLE / greatest(length(t), 1) AS r FROM ({DOCS}))""",
+    "q_signal_complexity": f"""SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN w = 0 THEN 0.5 WHEN w / n <= 0.15 THEN 1 WHEN w / n <= 0.25 THEN 0.7 WHEN w / n <= 0.4 THEN 0.4 ELSE 0.2 END::DOUBLE AS signal FROM (
+        SELECT doc_id, len({_UNIV}) AS n, len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: x IN ('if', 'else', 'elif', 'for', 'while', 'switch', 'case', 'try', 'catch', 'except', 'finally'))) AS w FROM ({DOCS}))""",
+    "q_signal_formatting": f"""
+        WITH l AS (SELECT doc_id, {_UNIV} AS x FROM ({DOCS})),
+        c AS (SELECT doc_id, len(x) AS n, len(list_filter(x, lambda x: {STRIP.format('x')} = '')) / len(x) AS b, len(list_filter(x, lambda x: starts_with(x, chr(9)))) AS t, len(list_filter(x, lambda x: starts_with(x, ' '))) AS s FROM l)
+        SELECT doc_id, round(CASE WHEN n = 0 THEN 0 ELSE 0.6 * CASE WHEN b BETWEEN 0.05 AND 0.25 THEN 1 WHEN b BETWEEN 0.01 AND 0.35 THEN 0.6 WHEN b < 0.01 THEN 0.3 ELSE 0.2 END
+          + 0.4 * CASE WHEN t + s = 0 THEN 0.8 WHEN least(t, s) / (t + s) > 0.05 THEN 0.3 WHEN least(t, s) / (t + s) > 0.01 THEN 0.6 ELSE 1 END END::DOUBLE, 6) AS signal FROM c""",
+    "q_signal_naming": f"""
+        WITH m AS (SELECT doc_id, regexp_extract_all(t, '{quality.NAME_PATTERN}', 1) AS a FROM ({DOCS})), n AS (SELECT doc_id, len(a) AS k, list_filter(a, lambda x: lower(x) NOT IN ({', '.join(map(_quote, quality.SHORT_NAMES))})) AS m FROM m),
+        c AS (SELECT *, len(m) AS n, {', '.join(f"len(list_filter(m, lambda x: regexp_matches(x, '{p}'))) / len(m) AS {c}" for c, p in (('snake', '^[a-z][a-z0-9_]*$'), ('camel', '^[a-z][a-zA-Z0-9]*$'), ('pascal', '^[A-Z][a-zA-Z0-9]*$'), ('upper_', '^[A-Z][A-Z0-9_]+$')))} FROM n),
+        r AS (SELECT *, greatest(snake, camel) + pascal + upper_ AS c FROM c)
+        SELECT doc_id, CASE WHEN k < 5 OR n = 0 THEN 0.5 WHEN len(list_filter(m, lambda x: length(x) <= 1)) / n > 0.5 THEN 0.2 WHEN list_avg(list_transform(m, lambda x: length(x))) < 3 THEN 0.25 WHEN c > 0.8 THEN 1 WHEN c > 0.6 THEN 0.7 WHEN c > 0.4 THEN 0.5 ELSE 0.3 END::DOUBLE AS signal FROM r""",
+    "q_signal_structure": f"""
+        WITH l AS (SELECT doc_id, {_LANGUAGE} = 'python' AS py, list_transform({_UNIV}, lambda x: {STRIP.format('x')}) AS x FROM ({DOCS})),
+        c AS (SELECT doc_id, greatest(len(x), 1) AS n,
+              CASE WHEN py THEN len(list_filter(x, lambda v: starts_with(v, 'def '))) ELSE len(list_filter(x, lambda v: regexp_matches(v, '^(export\\s+)?(async\\s+)?function\\s+\\w+'))) + len(list_filter(x, lambda v: regexp_matches(v, '^(export\\s+)?(const|let)\\s+\\w+\\s*=\\s*(async\\s+)?\\('))) END AS f,
+              CASE WHEN py THEN len(list_filter(x, lambda v: starts_with(v, 'class '))) ELSE len(list_filter(x, lambda v: regexp_matches(v, '^(export\\s+)?(default\\s+)?class\\s+\\w+'))) END AS k,
+              len(list_filter(x, lambda v: starts_with(v, 'import ') OR py AND starts_with(v, 'from '))) AS i FROM l)
+        SELECT doc_id, round(CASE WHEN f = 0 AND k = 0 THEN CASE WHEN n < 20 THEN 0.3 ELSE 0.2 END ELSE least(1, least(1, CASE WHEN 100 * f / n BETWEEN 3 AND 15 THEN 1 WHEN 100 * f / n BETWEEN 1 AND 25 THEN 0.7 ELSE 0.4 END + CASE WHEN k > 0 THEN 0.1 ELSE 0 END) + CASE WHEN i > 0 THEN 0.05 ELSE 0 END) END::DOUBLE, 6) AS signal FROM c""",
+    "q_signal_security": f"""SELECT doc_id, round(greatest(0, 1 - CASE WHEN {' OR '.join(f'regexp_matches(t, {_quote(p)})' for p in quality.SECRETS)} THEN 0.5 ELSE 0 END
+        - least(0.15 * (len(regexp_extract_all(t, '\\beval\\s*\\(')) + len(regexp_extract_all(t, '\\bexec\\s*\\('))), 0.3) - least(0.1 * len(regexp_extract_all(t, '(?i)(?:SELECT|INSERT|UPDATE|DELETE|WHERE)[\\s\\x0b\\x85\\p{{Z}}]+[^"'']+["''\\s\\x0b\\x85\\p{{Z}}]*\\+')), 0.2)
+        - CASE WHEN regexp_matches(t, '(?s)\\bsubprocess\\b.*\\bshell\\s*=\\s*True\\b') THEN 0.1 ELSE 0 END - CASE WHEN regexp_matches(t, '\\bos\\.system\\s*\\([^)]*\\+') THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS signal FROM ({DOCS})""",
     "q_tier_weight": """
         WITH s AS (SELECT (o_orderkey % 1000) / 1000.0::DOUBLE AS score FROM orders),
         t AS (SELECT score, CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.6 THEN 'good' WHEN score >= 0.4 THEN 'average' WHEN score >= 0.2 THEN 'poor' ELSE 'reject' END AS tier,
