@@ -26,15 +26,6 @@ def _complexity(source: str, id_col: str, text_col: str, language: str):
     return query
 
 
-def q_near_classes(spark, sf_dir) -> DataFrame:
-    return dedup.near_classes(_docs(spark, sf_dir))
-
-
-def q_cross_near_dedup(spark, sf_dir) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("doc_id", "source", "text")
-    return dedup.cross_near_dedup(docs.where("source = 'src0'"), docs.where("source <> 'src0'")).select("doc_id")
-
-
 def q_nearest_items(spark, sf_dir) -> DataFrame:
     """Each user turn against all benchmark items."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
@@ -86,6 +77,11 @@ def q_truncate_tokens(spark, sf_dir) -> DataFrame:
     return cut.select("doc_id", F.size("tokens").alias("n"), F.element_at("tokens", -1).alias("last"))
 
 
+def q_definition_chunks(spark, sf_dir) -> DataFrame:
+    out = chunk.definition_chunks(table(spark, sf_dir, "pages"), "page_id", "html")
+    return out.select("page_id", "chunk", "start_line", "end_line", "kind", "name", F.md5("content").alias("content_md5"))
+
+
 def q_cap_per_group(spark, sf_dir) -> DataFrame:
     return mix.cap_per_group(_docs(spark, sf_dir), "source", 20, [F.col("doc_id")]).select("source", "doc_id")
 
@@ -235,14 +231,12 @@ def _complexity_sql(source: str, id_col: str, text_col: str, language: str) -> s
         SELECT id AS {id_col}, cyclomatic, cognitive::BIGINT AS cognitive, nesting::BIGINT AS nesting, lines, functions, classes, imports, round(ratio::DOUBLE, 6) AS comment_ratio, round(avg_line, 6) AS avg_line{columns}, {_points('score', complexity.BUCKETS)} AS bucket FROM s"""
 
 
-_NORMAL = r"trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\x0b\x0c]+', ' ', 'g'))"
 _PAIR = "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
 _JACCARD = "CASE WHEN len({0}1) = 0 AND len({0}2) = 0 THEN 1 WHEN len({0}1) = 0 OR len({0}2) = 0 THEN 0 ELSE len(list_intersect({0}1, {0}2)) / (len({0}1) + len({0}2) - len(list_intersect({0}1, {0}2))) END"
 _SETS = f"CASE WHEN length(coalesce(text, '')) < 3 THEN [] ELSE list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) END AS c, list_distinct(list_transform(range(1, len({_CODE_TOKENS}) - 1), lambda i: array_to_string(({_CODE_TOKENS})[i:i + 2], ' '))) AS t"
 ORACLES = {
     "q_complexity_python": _complexity_sql("documents", "doc_id", "text", "python"),
     "q_complexity_typescript": _complexity_sql("pages", "page_id", "html", "typescript"),
-    "q_near_classes": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS class_id FROM documents",
     "q_nearest_items": f"""
         WITH a AS (SELECT conv_id * 1000 + turn AS doc_id, {_SETS} FROM conversations WHERE role = 'user'), b AS (SELECT item_id, {_SETS} FROM benchmark),
         p AS (SELECT doc_id, item_id, a.c AS c1, b.c AS c2, a.t AS t1, b.t AS t2 FROM a, b), s AS (SELECT doc_id, item_id, round((0.5 * {_JACCARD.format('c')} + 0.5 * {_JACCARD.format('t')})::DOUBLE, 9) AS s FROM p)
@@ -286,6 +280,8 @@ ORACLES = {
         SELECT 'csv' AS kind, 'lang,n' AS line UNION ALL SELECT 'csv', lang || ',' || n FROM r UNION ALL SELECT 'json', '{"lang":"' || lang || '","n":' || n || '}' FROM r
         UNION ALL SELECT 'markdown', unnest(['| lang | n |', '| --- | --- |']) UNION ALL SELECT 'markdown', '| ' || lang || ' | ' || n || ' |' FROM r""",
     "q_jsonl_reader": "SELECT md5(CASE WHEN doc_id % 10 = 0 THEN 'not json ' || doc_id ELSE text END) AS text_md5, doc_id % 10 = 0 AS malformed FROM documents",
+    "q_text_reader": """WITH l AS (SELECT t, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM (SELECT html || chr(10) AS t FROM pages WHERE page_id < 40))
+        SELECT md5(x) AS text_md5 FROM (SELECT unnest(CASE WHEN len(l) < 100 AND len(list_filter(l, lambda x: length(x) > 200)) > 0 THEN [t] ELSE l END) AS x FROM l)""",
     "q_corpus_reader": "SELECT md5(text) AS text_md5, lang FROM documents WHERE lang IN ('de', 'fr') AND length(text) >= 100",
     "q_training_log": "SELECT event_id AS step, round(value, 2) AS loss, CASE WHEN event_id % 3 = 0 THEN 0.5 END::DOUBLE AS lr, CASE WHEN event_id % 3 <> 0 THEN 12.5 END::DOUBLE AS tokens_per_sec FROM events WHERE event_id < 3000",
 }

@@ -30,19 +30,28 @@ def q_priority_dedup(spark, sf_dir) -> DataFrame:
 
 
 def q_minhash_signature(spark, sf_dir) -> DataFrame:
-    signed = dedup.signatures(table(spark, sf_dir, "benchmark"), "item_id")
-    return signed.select("item_id", F.col("signature")[0].alias("s0"), F.col("signature")[63].alias("s63"), F.aggregate("signature", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+    signed = dedup.signatures(table(spark, sf_dir, "documents")).where("signature IS NOT NULL")
+    return signed.select("doc_id", F.col("signature")[0].alias("s0"), F.col("signature")[63].alias("s63"), F.aggregate("signature", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
 def q_lsh_bands(spark, sf_dir) -> DataFrame:
-    signed = dedup.signatures(table(spark, sf_dir, "benchmark"), "item_id")
-    return signed.select("item_id", F.explode(dedup.band_keys(F.col("signature"))).alias("k")).select("item_id", "k.band", "k.key")
+    signed = dedup.signatures(table(spark, sf_dir, "documents")).where("signature IS NOT NULL")
+    return signed.select("doc_id", F.explode(dedup.band_keys(F.col("signature"))).alias("k")).select("doc_id", "k.band", "k.key")
 
 
 def q_near_dup(spark, sf_dir) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("similarity", F.round("similarity", 6))
 
 
+def q_near_classes(spark, sf_dir) -> DataFrame:
+    return dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
+def q_cross_near_dedup(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return dedup.cross_near_dedup(docs.where("source = 'src0'"), docs.where("source <> 'src0'")).select("doc_id")
+
+
 def q_near_dedup(spark, sf_dir) -> DataFrame:
     return dedup.drop_near_copies(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -151,11 +160,27 @@ _U = "(('0x' || substr(md5({0}), 1, 8))::UBIGINT + 0.5) / 4294967296.0"
 _H = "('0x' || substr(md5({0}), 1, 8))::UBIGINT"
 _A, _B = dedup.coefficients()
 _SIGNED = f"""
-    WITH t AS (SELECT item_id, {_NORMAL} AS t FROM benchmark),
-    s AS (SELECT DISTINCT item_id, substr(t, i, 5) AS u FROM (SELECT item_id, t, unnest(range(1, greatest(length(t) - 4, 1) + 1)) AS i FROM t)),
-    h AS (SELECT item_id, ('0x' || substr(md5(u), 1, 8))::BIGINT % {dedup.PRIME} AS h FROM s),
+    WITH t AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
+    s AS (SELECT DISTINCT doc_id, substr(t, i, 5) AS u FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 4, 1) + 1)) AS i FROM t WHERE t <> '')),
+    h AS (SELECT doc_id, ('0x' || substr(md5(u), 1, 8))::BIGINT % {dedup.PRIME} AS h FROM s),
     c AS (SELECT unnest({_A.tolist()}) AS a, unnest({_B.tolist()}) AS b, unnest(range(0, 128)) AS k),
-    g AS (SELECT item_id, k, min((h * a + b) % {dedup.PRIME}) AS m FROM h, c GROUP BY item_id, k)"""
+    g AS (SELECT doc_id, k, min((h * a + b) % {dedup.PRIME}) AS m FROM h, c GROUP BY doc_id, k)"""
+
+
+def _signatures_sql(name: str, where: str = "true") -> str:
+    """CTEs: name_t (doc_id, t: the smallest id of each normalised text), name_g (doc_id, k, m: its signature), name_b (doc_id, band, key)."""
+    return f"""
+        {name}_t AS (SELECT min(doc_id) AS doc_id, t FROM (SELECT doc_id, {_NORMAL} AS t FROM documents WHERE {where}) GROUP BY t),
+        {name}_s AS (SELECT DISTINCT doc_id, substr(t, i, 5) AS u FROM (SELECT doc_id, t, unnest(range(1, greatest(length(t) - 4, 1) + 1)) AS i FROM {name}_t WHERE t <> '')),
+        {name}_h AS (SELECT doc_id, ('0x' || substr(md5(u), 1, 8))::BIGINT % {dedup.PRIME} AS h FROM {name}_s),
+        {name}_g AS (SELECT doc_id, k, min((h * a + b) % {dedup.PRIME}) AS m FROM {name}_h, c GROUP BY doc_id, k),
+        {name}_b AS (SELECT doc_id, k // 8 AS band, string_agg(m::VARCHAR, ',' ORDER BY k) AS key FROM {name}_g GROUP BY doc_id, k // 8)"""
+
+
+_C = f"WITH c AS (SELECT unnest({_A.tolist()}) AS a, unnest({_B.tolist()}) AS b, unnest(range(0, 128)) AS k)"
+_NEAR = """
+        p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM {0}_b x JOIN {1}_b y ON x.band = y.band AND x.key = y.key WHERE {2}),
+        near AS (SELECT a, b, count(*) FILTER (x.m = y.m) / 128 AS s FROM p JOIN {0}_g x ON x.doc_id = a JOIN {1}_g y ON y.doc_id = b AND x.k = y.k GROUP BY a, b HAVING count(*) FILTER (x.m = y.m) >= 0.8 * 128)"""
 _CONTAINED = f"""
     WITH i AS (SELECT item_id, text, unnest({_GRAMS}) AS gram, len({_GRAMS}) AS total FROM (SELECT item_id, text, string_split({_NORMAL}, ' ') AS w FROM benchmark)),
     d AS (SELECT doc_id, unnest({_GRAMS}) AS gram FROM (SELECT doc_id, string_split({_NORMAL}, ' ') AS w FROM documents)),
@@ -172,8 +197,13 @@ ORACLES = {
     "q_duplicate_pairs": "SELECT first_id, doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE first_id < doc_id",
     "q_cross_dedup": "SELECT doc_id FROM documents WHERE source <> 'src0' AND text NOT IN (SELECT text FROM documents WHERE source = 'src0')",
     "q_priority_dedup": "SELECT doc_id FROM (SELECT doc_id, substr(source, 4)::INT AS p, min(substr(source, 4)::INT) OVER (PARTITION BY text) AS best FROM documents) WHERE p = best",
-    "q_minhash_signature": f"{_SIGNED} SELECT item_id, max(m) FILTER (k = 0) AS s0, max(m) FILTER (k = 63) AS s63, sum(m)::BIGINT AS total FROM g GROUP BY item_id",
-    "q_lsh_bands": f"{_SIGNED} SELECT item_id, (k // 8)::INT AS band, md5(string_agg(m::VARCHAR, ',' ORDER BY k)) AS key FROM g GROUP BY item_id, k // 8",
+    "q_minhash_signature": f"{_SIGNED} SELECT doc_id, max(m) FILTER (k = 0) AS s0, max(m) FILTER (k = 63) AS s63, sum(m)::BIGINT AS total FROM g GROUP BY doc_id",
+    "q_lsh_bands": f"{_SIGNED} SELECT doc_id, (k // 8)::INT AS band, md5(string_agg(m::VARCHAR, ',' ORDER BY k)) AS key FROM g GROUP BY doc_id, k // 8",
+    "q_near_classes": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS class_id FROM documents",
+    "q_near_dup": f"{_C}, {_signatures_sql('d')}, {_NEAR.format('d', 'd', 'x.doc_id < y.doc_id')} SELECT a AS first_id, b AS id, round(s, 6) AS similarity FROM near",
+    "q_near_dedup": f"{_C}, {_signatures_sql('d')}, {_NEAR.format('d', 'd', 'x.doc_id < y.doc_id')} SELECT doc_id FROM d_t WHERE doc_id NOT IN (SELECT b FROM near)",
+    "q_cross_near_dedup": f"""{_C}, {_signatures_sql('one', "source = 'src0'")}, {_signatures_sql('other', "source <> 'src0'")}, {_NEAR.format('one', 'other', 'true')}
+        SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS class_id FROM documents WHERE source <> 'src0') WHERE class_id NOT IN (SELECT b FROM near)""",
     "q_containment": f"{_CONTAINED} SELECT item_id, doc_id, round(containment, 6) AS containment FROM f",
     "q_leakage_report": f"{_CONTAINED} SELECT item_id, doc_id, round(containment, 6) AS containment, n_docs, substr(text, 1, 100) AS preview FROM best JOIN benchmark USING (item_id)",
     "q_leakage_rate": f"{_CONTAINED} SELECT (SELECT count(*) FROM benchmark) AS n_items, count(*) AS n_leaked, round(count(*) / (SELECT count(*) FROM benchmark), 6) AS rate FROM best",

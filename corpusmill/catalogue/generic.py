@@ -65,6 +65,15 @@ def q_stream_anomaly(spark, sf_dir) -> DataFrame:
     return out.select("event_id", F.round("z", 6).alias("z"))
 
 
+def q_stream_evaluation(spark, sf_dir) -> DataFrame:
+    """Statistics of each micro-batch, summed up."""
+    base = work_dir(spark)
+    evaluate = lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    streams.evaluate_each(streams.event_stream(spark, f"{sf_dir}/events.parquet"), evaluate, f"{base}/out", f"{base}/checkpoint")
+    found = spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    return found
+
+
 def q_props_json(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
     return rows.groupBy("event_type").agg(F.sum("k").alias("total"), F.max("k").alias("most"), F.count("k").alias("n"))
@@ -167,6 +176,11 @@ ORACLES = {
     "q_stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "q_stream_anomaly": """WITH w AS (SELECT event_id, value, avg(value) OVER x AS m, stddev_samp(value) OVER x AS s, count(value) OVER x AS n FROM events WHERE isfinite(value) WINDOW x AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
         SELECT event_id, round((value - m) / s, 6) AS z FROM w WHERE n >= 5 AND s > 0 AND abs(value - m) / s > 3""",
+    # the edges are chains, and each edge with one back is a cycle: what stands between a chain's first and last cycle is left
+    "q_graph_cycles": """
+        WITH n AS (SELECT c_custkey AS node, c_nationkey AS a, c_mktsegment AS b, row_number() OVER w AS k, lead(c_custkey) OVER w AS nxt FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey)),
+        c AS (SELECT a, b, min(k) AS lo, max(k) + 1 AS hi FROM n WHERE node % 5 = 0 AND nxt IS NOT NULL GROUP BY a, b) SELECT node FROM n JOIN c USING (a, b) WHERE k BETWEEN lo AND hi""",
+    "q_stream_evaluation": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type",
     "q_props_json": "SELECT event_type, sum(k)::BIGINT AS total, max(k) AS most, count(k) AS n FROM (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY event_type",
     "q_loss_grouping_sets": "SELECT hour(ts)::INT AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY GROUPING SETS ((hour(ts)), (event_type), (hour(ts), event_type))",
     "q_graph_degrees": f"WITH {_EDGES}, n AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM n GROUP BY node",

@@ -1,7 +1,7 @@
 """Global orders without a single-partition window over the rows.
 
-Rows fall into blocks that follow the order. Only the blocks' totals, one row each, pass through a
-window without partitions; within a block a partitioned window adds the rest.
+Rows are dealt to partitions by ranges of the order, sampled by Spark, and written so. Only the partitions' totals, one
+row each, pass through a window without partitions; within a range a partitioned window adds the rest.
 """
 
 from __future__ import annotations
@@ -9,16 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import written
+
 
 def running_total(rows: DataFrame, block: Column, order: list[Column], amount: Column, name: str) -> DataFrame:
     """rows with `name`: the sum of amount over all rows before, in the order of (block, *order)."""
-    keyed = rows.withColumns({"_block": block, "_amount": amount.cast("long")})
-    sums = keyed.groupBy("_block").agg(F.sum("_amount").alias("_sum"))
+    keyed = rows.withColumns({"_first": block, "_amount": amount.cast("long")})
+    ranged = written(keyed.repartitionByRange(F.col("_first"), *order).withColumn("_block", F.spark_partition_id()))
+    sums = ranged.groupBy("_block").agg(F.sum("_amount").alias("_sum"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_block").orderBy("_first", *order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum("_amount").over(inside), F.lit(0))
-    return keyed.join(bases, "_block").withColumn(name, F.col("_base") + local).drop("_block", "_amount", "_base")
+    # as many rows as there are shuffle partitions
+    return ranged.join(F.broadcast(bases), "_block").withColumn(name, F.col("_base") + local).drop("_block", "_first", "_amount", "_base")
 
 
 def global_rank(rows: DataFrame, block: Column, order: list[Column], name: str = "rank") -> DataFrame:
@@ -39,4 +43,4 @@ def uniform(*parts: Column) -> Column:
 def seeded_rank(rows: DataFrame, key: Column, seed: int, name: str = "rank") -> DataFrame:
     """rows with their position in a fixed shuffled order."""
     h = hash32(key, F.lit(seed))
-    return global_rank(rows, F.shiftright(h, 20), [h, key], name)
+    return global_rank(rows, h, [key], name)

@@ -32,7 +32,7 @@ def concat(datasets: dict[str, DataFrame], max_rows: dict[str, int] | None = Non
     parts = []
     for name, df in datasets.items():
         limit = (max_rows or {}).get(name)
-        part = df if limit is None else global_rank(df, F.floor(F.col(key) / 10_000), [F.col(key)], "_r").where(F.col("_r") < limit).drop("_r")
+        part = df if limit is None else global_rank(df, F.lit(0), [F.col(key)], "_r").where(F.col("_r") < limit).drop("_r")
         parts.append(part.withColumn("dataset", F.lit(name)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -46,7 +46,7 @@ def interleave(rows: DataFrame, weights: DataFrame, source: str = "source", key:
     """rows with `position`: sources take turns in proportion to their weights until all are drained."""
     ranks = _rank_in_source(rows, source, key)
     timed = ranks.join(F.broadcast(weights.withColumnRenamed("source", source)), source).where("weight > 0").withColumn("_t", (F.col("_r") + 0.5) / F.col("weight"))
-    return global_rank(timed, F.floor(F.col("_t") / 64), [F.col("_t"), F.col(source), F.col(key)], "position").drop("_r", "_t", "weight")
+    return global_rank(timed, F.col("_t"), [F.col(source), F.col(key)], "position").drop("_r", "_t", "weight")
 
 
 def weighted_drain(rows: DataFrame, weights: DataFrame, source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -56,13 +56,10 @@ def weighted_drain(rows: DataFrame, weights: DataFrame, source: str = "source",
 
 
 def _rank_in_source(rows: DataFrame, source: str, key: str) -> DataFrame:
-    """rows with _r: the position within the source, in blocks of keys, so that no task holds a whole source."""
-    keyed = rows.withColumn("_block", F.floor(F.col(key) / 10_000))
-    sums = keyed.groupBy(source, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(source).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(source, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    local = F.row_number().over(Window.partitionBy(source, "_block").orderBy(key)) - 1
-    return keyed.join(bases, [source, "_block"]).withColumn("_r", F.col("_base") + local).drop("_block", "_base")
+    """rows with _r: the position within the source, from the position among all, so that no task holds a whole source."""
+    ranked = written(global_rank(rows, F.col(source), [F.col(key)], "_g"))
+    firsts = small_side(written(ranked.groupBy(source).agg(F.min("_g").alias("_base"))))
+    return ranked.join(firsts, source).withColumn("_r", F.col("_g") - F.col("_base")).drop("_g", "_base")
 
 
 def draw_with_replacement(rows: DataFrame, weights: DataFrame, n: int, source: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
@@ -121,9 +118,9 @@ def group_folds(rows: DataFrame, group: str, k: int, seed: int = 42, by_size: bo
     groups = rows.groupBy(group).agg(F.count("*").alias("n"))
     h = hash32(F.col(group), F.lit(seed))
     if by_size:
-        dealt = global_rank(groups, -F.floor(F.log2("n")), [F.desc("n"), h, F.col(group)], "_r")
+        dealt = global_rank(groups, -F.col("n"), [h, F.col(group)], "_r")
     else:
-        dealt = global_rank(groups, F.shiftright(h, 20), [h, F.col(group)], "_r")
+        dealt = global_rank(groups, h, [F.col(group)], "_r")
     return rows.join(dealt.select(group, (F.col("_r") % k).cast("int").alias("fold")), group)
 
 

@@ -134,8 +134,8 @@ def top_tokens(counts: DataFrame, k: int) -> DataFrame:
 
 
 def ranked(counts: DataFrame) -> DataFrame:
-    """token, n, rank from 1 by falling frequency; blocks by magnitude keep the window split."""
-    return global_rank(counts, -F.floor(F.log2("n") * 8), [F.desc("n"), F.col("token")], "_r").withColumn("rank", F.col("_r") + 1).drop("_r")
+    """token, n, rank from 1 by falling frequency."""
+    return global_rank(counts, -F.col("n"), [F.col("token")], "_r").withColumn("rank", F.col("_r") + 1).drop("_r")
 
 
 def zipf(counts: DataFrame) -> DataFrame:

@@ -25,6 +25,13 @@ def corpus(spark: SparkSession, root: str, languages: list[str] | None = None, l
     return docs.orderBy("lang", F.xxhash64(text_col), text_col).limit(limit) if limit is not None else docs
 
 
+def missing_languages(spark: SparkSession, root: str, languages: list[str]) -> list[str]:
+    """Of the languages asked for, those without a partition below root; all of them where there is none at all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x for x in languages if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"lang={x}"))]
+
+
 def sample_per_language(docs: DataFrame, n: int, key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """n rows in all, as many of each language, the first by key."""
     langs = max(1, docs.select(lang).distinct().count())
@@ -88,16 +95,19 @@ def search_predicate(stars: tuple[int | None, int | None] = (None, None), forks:
 
 
 def matrices(spark: SparkSession, path: str, width: int = 512) -> DataFrame:
-    """path, row, tokens from .npy files: rows of a matrix, or a vector cut at every `width`."""
+    """path, row, tokens from .npy and .npz files: rows of a matrix, or a vector cut at every `width`; a file's arrays by name, one after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False)
-                a = a if a.ndim == 2 else a[: len(a) // width * width].reshape(-1, width)
-                for at in range(0, len(a), 4096):
-                    part = a[at : at + 4096].astype(np.int32)
-                    yield pd.DataFrame({"path": p, "row": np.arange(at, at + len(part)), "tokens": list(part)})
+                loaded = np.load(io.BytesIO(content), allow_pickle=False)
+                first = 0
+                for a in [loaded] if isinstance(loaded, np.ndarray) else [loaded[n] for n in sorted(loaded.files)]:
+                    a = a if a.ndim == 2 else a[: len(a) // width * width].reshape(-1, width)
+                    for at in range(0, len(a), 4096):
+                        part = a[at : at + 4096].astype(np.int32)
+                        yield pd.DataFrame({"path": p, "row": np.arange(first + at, first + at + len(part)), "tokens": list(part)})
+                    first += len(a)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, tokens array<int>")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Rows before the current one that a z-score compares with, and how many it needs.
 WINDOW, ENOUGH, LIMIT = 20, 5, 3.0
+#: The deviation counts as this at least.
+LEAST = 1e-6
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 16, time_col: str = "ts") -> DataFrame:
@@ -44,7 +46,7 @@ def deduplicated(events: DataFrame, keys: list[str], late: str = "1 day", time_c
 
 
 class RollingZ(StatefulProcessor):
-    """Keeps the last values of a series and emits rows whose z-score is beyond the limit."""
+    """Keeps the last values of a series and emits rows whose z-score is beyond the limit, and those that are NaN or infinite."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "v array<double>")
@@ -55,15 +57,17 @@ class RollingZ(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         for event, v in zip(batch["event_id"], batch["value"], strict=True):
             if v is None or v != v or abs(v) == float("inf"):
+                if v is not None:
+                    found.append((event, None))  # an anomaly without a z, and no part of the window
                 continue
             if len(held) >= ENOUGH:
                 s = pd.Series(held)
-                std = float(s.std())
-                if std > 0 and abs(v - s.mean()) / std > LIMIT:
-                    found.append((event, (v - float(s.mean())) / std))
+                z = (v - float(s.mean())) / max(float(s.std()), LEAST)
+                if abs(z) > LIMIT:
+                    found.append((event, z))
             held = [*held, float(v)][-WINDOW:]
         self.last.update((held,))
-        yield pd.DataFrame({"series": key[0], "event_id": [e for e, _ in found], "z": [z for _, z in found]})
+        yield pd.DataFrame({"series": key[0], "event_id": [e for e, _ in found], "z": pd.Series([z for _, z in found], dtype="float64")})
 
     def close(self) -> None:
         pass
@@ -80,3 +84,12 @@ def run_available(df: DataFrame, checkpoint: str, path: str | None = None, mode:
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.format("parquet").start(path) if path else writer.format("memory").queryName(name).start()
     query.awaitTermination()
+
+
+def evaluate_each(df: DataFrame, evaluate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """Evaluates each micro-batch of what there is and writes its result to path/batch=n; a batch that runs again replaces its own."""
+
+    def one(batch: DataFrame, n: int) -> None:
+        evaluate(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    df.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -300,3 +300,23 @@ def test_secrets_are_found_anywhere(spark):
     late = "\n".join(f"value_{k} = {k}" for k in range(900)) + "\npassword = 'hunter2hunter2'\n"
     assert one(spark, quality.check_no_hardcoded_secrets(F.col("text")), late) == "hardcoded_secret"
     assert one(spark, quality.check_no_hardcoded_secrets(F.col("text"), span=quality.COMPATIBLE_SPANS["secrets"]), late) is None
+
+
+def test_missing_languages_and_npz(spark, tmp_path):
+    spark.createDataFrame([("x" * 60, "de")], "content string, lang string").write.partitionBy("lang").parquet(f"{tmp_path}/c")
+    assert readers.missing_languages(spark, f"{tmp_path}/c", ["de", "fr"]) == ["fr"] and readers.missing_languages(spark, f"{tmp_path}/none", ["de"]) == ["de"]
+    np.savez(tmp_path / "a.npz", b=np.arange(10), a=np.arange(8).reshape(2, 4))
+    rows = readers.matrices(spark, str(tmp_path / "a.npz"), 4).orderBy("row").collect()
+    assert [(r.row, r.tokens) for r in rows] == [(0, [0, 1, 2, 3]), (1, [4, 5, 6, 7]), (2, [0, 1, 2, 3]), (3, [4, 5, 6, 7])]
+
+
+def test_definition_chunks_by_hand(spark):
+    body = "    value = compute(value, other_value)  # a line of some length\n"
+    code = "# head\n\nimport os\nimport re\ndef first(x):\n" + body * 4 + "class Big:\n" + body * 40 + "def last():\n    pass\n"
+    out = chunk.definition_chunks(frame(spark, [code, "", "a\n" * 25, None]), language="python", most=256).orderBy("doc_id", "chunk").collect()
+    found = [(r.doc_id, r.start_line, r.end_line, r.kind, r.name) for r in out]
+    # the head takes the imports and first() in, as all of them are small until then (a def line gives no name); Big is cut at every 64 lines, so not at all; last() stays alone
+    assert found == [(0, 1, 9, "mixed", ""), (0, 10, 50, "class", "Big"), (0, 51, 52, "function", ""), (2, 1, 25, "mixed", "")]
+    assert out[0].content == code.split("class")[0].rstrip("\n") and out[1].content.startswith("class Big") and out[2].content == "def last():\n    pass"
+    small = chunk.definition_chunks(frame(spark, [code]), language="python", most=40, least=1).orderBy("chunk").collect()
+    assert [(r.start_line, r.end_line, r.kind, r.name) for r in small] == [(1, 2, "module_level", ""), (3, 3, "import", ""), (4, 4, "import", ""), (5, 9, "function", ""), (10, 19, "class", "Big"), (20, 29, "class", ""), (30, 39, "class", ""), (40, 49, "class", ""), (50, 50, "class", ""), (51, 52, "function", "")]
