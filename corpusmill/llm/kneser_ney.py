@@ -42,7 +42,7 @@ ORDER, START = 5, b"\xff"
 HELD_OUT, LEAST_HELD = 5, 20
 QUANTILE = 0.995
 #: Bytes of text in a block, in a packed part of one, and counted at once in training.
-BLOCK, PART, COUNTED = 32 << 20, 4 << 20, 8 << 20
+BLOCK, PART, COUNTED = 32 << 20, 1 << 20, 2 << 20
 
 
 class Model(NamedTuple):
