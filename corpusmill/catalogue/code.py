@@ -113,7 +113,12 @@ def q_thinking(spark, sf_dir) -> DataFrame:
 
 def q_reward_mix(spark, sf_dir) -> DataFrame:
     score = lambda k: (F.pmod("doc_id", F.lit(k)) / F.lit(k)).cast("double")
-    return _docs(spark, sf_dir).select("doc_id", F.round(evaluation.reward_mix({"type": score(3), "syntax": score(5), "style": score(7), "completeness": score(11)}), 6).alias("reward"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(registry.get("reward", "mix")({"type": score(3), "syntax": score(5), "style": score(7), "completeness": score(11)}), 6).alias("reward"))
+
+
+def q_mix_candidates(spark, sf_dir) -> DataFrame:
+    out = mix.candidates(spark, ["python", "rust", "typescript"], 8).withColumn("many", F.lit(True))
+    return _rounded(out.union(mix.candidates(spark, ["a", "b"], 4).withColumn("many", F.lit(False))), "weight")
 
 
 def q_repository_tier(spark, sf_dir) -> DataFrame:
@@ -271,6 +276,10 @@ ORACLES = {
     "q_strip_comments": r"SELECT page_id, sha256(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)/\*.*?\*/', '', 'g'), '(?m)^[ \t]*(#|//).*\n?', '', 'g')) AS sha FROM pages",
     "q_thinking": "SELECT conv_id, turn, md5(substr(text, 1, length(text) // 2)) AS thought, md5(trim(substr(text, length(text) // 2 + 1))) AS rest FROM conversations WHERE role = 'assistant'",
     "q_reward_mix": "SELECT doc_id, round((0.4 * (doc_id % 3) / 3 + 0.2 * (doc_id % 5) / 5 + 0.1 * (doc_id % 7) / 7 + 0.3 * (doc_id % 11) / 11)::DOUBLE, 6) AS reward FROM documents",
+    "q_mix_candidates": """
+        WITH u AS (SELECT i AS candidate, s AS source, -ln((('0x' || substr(md5(i || ':' || s || ':42'), 1, 8))::UBIGINT + 0.5) / 4294967296.0::DOUBLE) AS e FROM range(8) AS r(i), (SELECT unnest(['python', 'rust', 'typescript']) AS s))
+        SELECT candidate, source, round(e / sum(e) OVER (PARTITION BY candidate), 6) AS weight, true AS many FROM u
+        UNION ALL SELECT i, s, round(CASE s WHEN 'a' THEN (i + 1) / 5 ELSE 1 - (i + 1) / 5 END::DOUBLE, 6), false FROM range(4) AS r(i), (SELECT unnest(['a', 'b']) AS s)""",
     "q_repository_tier": "SELECT source, round(p / (p + f), 6) AS pass_rate, CASE WHEN p / (p + f) >= 0.9 THEN 'verified' ELSE 'tested' END AS tier, CASE WHEN p / (p + f) >= 0.9 THEN 3.0 ELSE 2.0 END::DOUBLE AS weight FROM (SELECT source, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS f FROM documents JOIN labels USING (doc_id) GROUP BY source)",
     "q_registry_run": "SELECT min(doc_id) AS doc_id FROM documents WHERE len(string_split(coalesce(text, ''), chr(10))) BETWEEN 2 AND 100 GROUP BY text",
     "q_split_sink": "SELECT split, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id || ':42'), 1, 8))::UBIGINT, doc_id) <= (SELECT greatest(1, floor(count(*) * 0.2)) FROM documents) THEN 'val' ELSE 'train' END AS split FROM documents) GROUP BY split",

@@ -20,6 +20,19 @@ def weights_table(spark, weights: dict[str, float], sources: list[str] | None =
     return spark.createDataFrame(list(zip(names, shares, strict=True)), "source string, weight double")
 
 
+def candidates(spark, sources: list[str], n: int, seed: int = 42) -> DataFrame:
+    """candidate, source, weight: mixtures to try. One source has one; two are stepped through evenly; more are drawn uniformly, each by the hash of its number and source."""
+    if not sources:
+        raise ValueError("candidates need at least one source")
+    if len(sources) <= 2:
+        steps = [(k, (k + 1) / (n + 1)) for k in range(n)] if len(sources) == 2 else [(0, 1.0)]
+        rows = [(k, s, w if s == sources[0] else 1 - w) for k, w in steps for s in sources]
+        return spark.createDataFrame(rows, "candidate long, source string, weight double")
+    drawn = spark.range(n).select(F.col("id").alias("candidate"), F.explode(F.array(*map(F.lit, sources))).alias("source"))
+    drawn = drawn.withColumn("_e", -F.log(uniform(F.col("candidate"), F.col("source"), F.lit(seed))))
+    return drawn.withColumn("weight", F.col("_e") / F.sum("_e").over(Window.partitionBy("candidate"))).drop("_e")
+
+
 def weights_from_losses(losses: DataFrame, method: str = "proportional", loss: str = "loss") -> DataFrame:
     """losses with weight: proportional to the loss, softmax of it, or equal."""
     one = Window.partitionBy()

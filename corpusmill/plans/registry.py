@@ -12,15 +12,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import dedup, filters, quality, score, transform
+from corpusmill.operators import dedup, evaluation, filters, quality, score, transform
 from corpusmill.sources import readers
 
-KINDS = ("source", "filter", "transform")
+KINDS = ("source", "filter", "transform", "reward")
 _ENTRIES: dict[str, dict[str, Callable[..., Any]]] = {k: {} for k in KINDS}
 
 
 def register(kind: str, name: str) -> Callable:
-    """Decorator: a source takes (spark, **options), filters and transforms (df, **options)."""
+    """Decorator: a source takes (spark, **options), filters and transforms (df, **options); a reward gives a column."""
     def put(f: Callable) -> Callable:
         _ENTRIES[kind][name] = f
         return f
@@ -58,6 +58,7 @@ def _parquet(spark: SparkSession, path: str) -> DataFrame:
 
 register("source", "local")(readers.directory)
 register("source", "jsonl")(readers.jsonl)
+register("reward", "mix")(evaluation.reward_mix)
 
 
 @register("filter", "quality")
