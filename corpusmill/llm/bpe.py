@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import in_small_batches
+
 #: Pretokens of the byte-level scheme (a fixed value: the tokenizer file's own pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of stretches kept in a generation of the table (about, with Python's own overhead a stretch), and the longest that is kept, in characters.
@@ -245,7 +247,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         finally:
             t.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -257,7 +259,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             texts = ["".join(t.decode([x or []])) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return in_small_batches(tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))).mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,5 +290,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         finally:
             t.forget()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import plain_names, small_side, work_dir, written
+from corpusmill.llm.common import in_small_batches, plain_names, small_side, work_dir, written
 
 #: Bytes of an n-gram of the highest order (up to 7, as one more stands before the text); the byte before a text, which UTF-8 never has.
 ORDER, START = 5, b"\xff"
@@ -141,7 +141,7 @@ def count_ngrams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -
         if size:
             yield counted()
 
-    part = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "code long, c long")
+    part = in_small_batches(texts.select(F.col(text_col).alias("text"))).mapInArrow(run, "code long, c long")
     return part.groupBy("code").agg(F.sum("c").alias("c"))
 
 
@@ -222,7 +222,7 @@ def _packed(docs: DataFrame, text_col: str, order: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)), 50_000)
     name = f"corpusmill_{uuid.uuid4().hex}"
-    rows = docs.mapInArrow(run, "block long, packed binary, codes array<long>")
+    rows = in_small_batches(docs).mapInArrow(run, "block long, packed binary, codes array<long>")
     rows.write.bucketBy(buckets, "block").option("path", work_dir(spark)).saveAsTable(name, format="parquet")
     out = spark.table(name)
     out.schema  # noqa: B018  resolves the table

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import in_small_batches
+
 from corpusmill.llm.bpe import Transducer
 
 LENGTH, END_ID = 2048, 1
@@ -178,4 +180,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             encoder.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if tokens else ""))
+    return in_small_batches(rows).mapInArrow(run, SCHEMA + (", ids array<int>" if tokens else ""))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import small_side, written
+from corpusmill.llm.common import in_small_batches, small_side, written
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a bucket that are compared pair by pair; larger buckets take the linear way.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return written(ids.mapInArrow(run, "doc_id long, fp long"))
+    return written(in_small_batches(ids).mapInArrow(run, "doc_id long, fp long"))
 
 
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:

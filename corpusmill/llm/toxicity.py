@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import small_side, written
+from corpusmill.llm.common import in_small_batches, small_side, written
 
 #: Labelled rows that the fit draws at most (about), by a hash of their id.
 FIT_ROWS = 20_000
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not t or not c:
         return {}, [math.log(0.01) if not t else math.log(99), 0.0, 0.0, 0.0]
     odds = F.log((F.col("toxic") + 0.5) / (t + 1)) - F.log((F.col("clean") + 0.5) / (c + 1))
-    counted = sample.select("text", "toxic").mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = in_small_batches(sample.select("text", "toxic")).mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     least = min(MIN_TOXIC, max(2, t // 20))
     listed = counted.where((F.col("toxic") >= least) & (odds >= MIN_ODDS)).select("entry", odds.alias("w"))
     lexicon = {r.entry: r.w for r in listed.collect()}
@@ -163,7 +163,7 @@ def with_features(rows: DataFrame, lexicon: dict[str, float], text_col: str = "t
             yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(b.columns) if k != at], f], [*[n for k, n in enumerate(b.schema.names) if k != at], "f"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text_col]
-    return rows.mapInArrow(run, ", ".join([*kept, "f array<double>"]))
+    return in_small_batches(rows).mapInArrow(run, ", ".join([*kept, "f array<double>"]))
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
