@@ -36,7 +36,7 @@ from corpusmill.llm.common import in_small_batches
 #: Pretokens of the byte-level scheme (a fixed value: the tokenizer file's own pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of stretches kept in a generation of the table (about, with Python's own overhead a stretch), and the longest that is kept, in characters.
-TABLE_BYTES, OVERHEAD, TABLE_CHARS = 16 << 20, 200, 48
+TABLE_BYTES, OVERHEAD, TABLE_CHARS = 96 << 20, 200, 48
 #: White space besides the space and the newline.
 OTHER_SPACE = [*"\t\x0b\x0c\r\x85\xa0     　", *map(chr, range(0x2000, 0x200B))]
 #: A pretoken up to so many bytes is merged without a heap; texts are read so many characters at a time.
@@ -73,6 +73,8 @@ def sufficient_lookahead(rules: list[tuple[int, int, int]], length: list[int]) -
 class Transducer:
     """Encodes and decodes with one tokenizer file."""
 
+    table_bytes = TABLE_BYTES
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -169,7 +171,7 @@ class Transducer:
 
     def _keep(self, text: str, ids: bytes) -> bytes:
         if len(text) <= TABLE_CHARS:
-            if self.held > TABLE_BYTES:
+            if self.held > self.table_bytes:
                 self.older, self.table, self.held = self.table, {}, 0
             self.table[text] = ids
             self.held += len(text) + len(ids) + OVERHEAD

@@ -41,7 +41,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class LibraryEncoder(Transducer):
-    """The same ids, with short stretches that were not seen before encoded by a compiled library."""
+    """The same ids, with short stretches that were not seen before encoded by a compiled library, so a small table does."""
+
+    table_bytes = 16 << 20
 
     def __init__(self, path: str):
         super().__init__(path)
