@@ -2,15 +2,15 @@
 
 Records are ordered by (hash of the text, doc_id, row number), so equal texts are neighbours. A size-weighted
 sample of keys gives the quantile boundaries of many fine ranges; the exact bytes and rows of each
-range are then counted, ranges that came out overfull are subdivided at further sampled splitters until
-none is left that holds two keys, and consecutive ranges are dealt to the shards at quantiles of the exact
+range are then counted, ranges that came out overfull besides their largest record are subdivided at further sampled
+splitters until none is left, and consecutive ranges are dealt to the shards at quantiles of the exact
 sums. Only the sample and the per-range sums reach the driver, a few dozen numbers for a range of about ROWS_PER_RANGE
 rows; a shard's slots are numbered range by range, so no task ever holds a whole shard.
 
 Law `bytes`: sizes near equal. Equal texts share a range, and so a shard, unless their group is
 itself overfull; then doc_id subdivides it, and the row number what repeats both.
 
-Defined cases: a null or empty text has size 1 and hashes as empty; a very long text has a range of its own;
+Defined cases: a null or empty text has size 1 and hashes as empty; a very long text may make its range, and so its shard, as large as it is;
 a null doc_id orders first; repeated rows get a slot each; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ SHARDS = 16
 RANGES_PER_SHARD = 64
 ROWS_PER_RANGE = 1_000_000
 SAMPLES_PER_RANGE = 24
-#: A range of more than this many times its fair share is subdivided.
+#: A range of more than this many times its fair share besides its largest record is subdivided.
 OVERFULL = 2.0
 LEAST = -(1 << 63)
 SIGN = np.uint64(1 << 63)
@@ -87,9 +87,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     key, again = F.struct("h", "i", "u"), 0
     while True:
         ranged = _ranged(rows, splitters)
-        stats = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min(key).alias("least"), F.max(key).alias("most")).collect()
+        stats = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("top"), F.min(key).alias("least"), F.max(key).alias("most")).collect()
         sums = {r["range"]: (r.bytes, r.n) for r in stats}
-        over = {r["range"]: r for r in stats if r.bytes > OVERFULL * total / fine and r.least != r.most}
+        over = {r["range"]: r for r in stats if r.bytes - r.top > OVERFULL * total / fine}
         if not over:
             break
         again += 1
