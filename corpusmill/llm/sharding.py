@@ -100,7 +100,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
             # at the starts of hashes as long as there are two, then of doc_ids, then anywhere: each range is split at least once
             level = next(k for k in (1, 2, 3) if least[:k] != most[:k])
             cuts = {c for c in _quantiles([x for x in drawn if least <= x[0] <= most], int(np.ceil(r.bytes * fine / total)), level) if least < c <= most}
-            more |= cuts or {(*most[:level], *[LEAST] * (3 - level))}
+            # and behind the first one, so that a heavy group is alone after two rounds, however few keys were drawn besides
+            more |= cuts | {(*least[: level - 1], least[level - 1] + 1, *[LEAST] * (3 - level))}
         splitters = sorted(more)
 
     # consecutive ranges to shards at quantiles of the exact bytes; positions of ranges within their shard
