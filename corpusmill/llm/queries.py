@@ -1,11 +1,11 @@
-"""The op1 to op10 queries: each applies its operator to its whole table and derives digest columns."""
+"""The op1 to op13 queries: each applies its operator to its whole table and derives digest columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, exact_dedup, kneser_ney, license_scan, packing, quality_rules, sharding, simhash, toxicity
+from corpusmill.llm import best_fit, bpe, chat_format, exact_dedup, kneser_ney, lexical, license_scan, packing, prefix_trie, quality_rules, sharding, simhash, toxicity
 from corpusmill.llm.common import table
 
 #: A file of the public tokenizers, found where the tasks run.
@@ -123,5 +123,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_kneser_ney, op3_quality_rules, op4_packing, op5_license_scan, op6_sharding, op7_bpe, op8_toxicity, op9_chat_format, op10_simhash)}
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_license_scan": license_scan.scan_sql(), "op9_chat_format": OP9_SQL}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("key")
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_kneser_ney, op3_quality_rules, op4_packing, op5_license_scan, op6_sharding, op7_bpe, op8_toxicity, op9_chat_format, op10_simhash,
+                                  op11_prefix_trie, op12_best_fit, op13_lexical_search)}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_license_scan": license_scan.scan_sql(), "op9_chat_format": OP9_SQL,
+           "op11_prefix_trie": prefix_trie.TRIE_SQL, "op13_lexical_search": lexical.SEARCH_SQL}
