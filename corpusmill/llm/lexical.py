@@ -80,19 +80,21 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return each.select("uid", "doc_id", "n", F.inline("counts"))
 
 
-def item_terms(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item (a struct, so that null is a value), term: each different one once."""
+def item_terms(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The items (item, a number; id, which may be null), and their terms (item, term, each once), both written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [list(set(terms(t))) for t in b.column(1).to_pylist()]
             at = np.repeat(np.arange(len(found)), [len(x) for x in found])
             flat = pa.array([t for x in found for t in x], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), flat], ["_id", "term"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), flat], ["own", "term"])
 
-    rows = items.select(F.col(item_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, term string").distinct().select(F.struct(F.col("_id").alias("id")).alias("item"), "term")
+    rows = items.select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    numbered = written(rows.select("id").distinct().select(F.monotonically_increasing_id().alias("item"), "id"))
+    found = rows.mapInArrow(run, f"own {kind}, term string").distinct()
+    return numbered, written(found.join(small_side(numbered), F.col("own").eqNullSafe(F.col("id"))).select("item", "term"))
 
 
 def lists(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,13 +121,13 @@ def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
 def _whole(candidates: DataFrame, wanted: DataFrame, postings: DataFrame) -> DataFrame:
     """item, uid, doc_id, s: the whole scores of (item, uid)."""
     uids = small_side(written(candidates.select("uid").distinct()))
-    entries = postings.join(uids, "uid", "left_semi").join(small_side(wanted), "term")
-    return entries.join(small_side(candidates), ["item", "uid"]).groupBy("item", "uid").agg(F.min("doc_id").alias("doc_id"), F.sum("v").alias("s"))
+    entries = postings.join(uids, "uid", "left_semi").join(small_side(candidates), "uid").join(small_side(wanted), ["item", "term"])
+    return entries.groupBy("item", "uid").agg(F.min("doc_id").alias("doc_id"), F.sum("v").alias("s"))
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """item_id, rank, doc_id, score: the k highest-scoring documents of each item with a score above 0."""
-    wanted = written(item_terms(items, item_col, item_text_col))
+    named, wanted = item_terms(items, item_col, item_text_col)
     postings = lists(docs, wanted, id_col, text_col)
     # 1: heads, and whole scores of the best documents by them
     by_value = Window.partitionBy("term").orderBy(F.desc("v"), "uid")
@@ -134,13 +136,14 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
     sums = wanted.join(small_side(heads), "term").groupBy("item", "uid").agg(F.sum("v").alias("s"))
     best = sums.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"), "uid"))).where(F.col("place") <= max(LOOKED_UP, k))
     floor = _kth(_whole(written(best.select("item", "uid")), wanted, postings), k, "floor")
-    # 2: a uniform threshold for the lists of an item; v * lists >= floor is exact in integers. An entry that is not sent
-    # is below the threshold and not above its list's highest.
+    # 2: a uniform threshold for the lists of an item; v * lists >= floor is exact in integers. What a list has not sent of a
+    # document is at most its highest value below the threshold, and nothing if the whole list is sent.
     n_lists = wanted.groupBy("item").agg(F.count("*").alias("n_lists"))
-    limits = wanted.join(small_side(n_lists), "item").join(small_side(floor), "item", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
-    unsent = F.greatest(F.lit(0), F.least(F.col("most"), F.expr("(floor + n_lists - 1) div n_lists") - 1))
-    limits = written(limits.select("item", "term", "floor", "n_lists", unsent.alias("unsent")))
-    sent = postings.select("term", "uid", "v").join(small_side(limits), "term").where(F.col("v") * F.col("n_lists") >= F.col("floor"))
+    limits = written(wanted.join(small_side(n_lists), "item").join(small_side(floor), "item", "left").select("item", "term", F.coalesce("floor", F.lit(0)).alias("floor"), "n_lists"))
+    is_sent = F.col("v") * F.col("n_lists") >= F.col("floor")
+    below = postings.select("term", "v").join(small_side(limits), "term").where(~is_sent).groupBy("item", "term").agg(F.max("v").alias("unsent"))
+    limits = written(limits.join(small_side(written(below)), ["item", "term"], "left").withColumn("unsent", F.coalesce("unsent", F.lit(0))))
+    sent = postings.select("term", "uid", "v").join(small_side(limits), "term").where(is_sent)
     partial = written(sent.groupBy("item", "uid").agg(F.sum("v").alias("s"), F.sum("unsent").alias("known")))
     rest = limits.groupBy("item").agg(F.max("floor").alias("floor"), F.sum("unsent").alias("rest"))
     bounds = written(rest.join(_kth(partial, k, "second"), "item", "left").select("item", F.greatest("floor", F.coalesce("second", F.lit(0))).alias("bound"), "rest"))
@@ -149,7 +152,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
     candidates = written(partial.join(small_side(bounds), "item").where(upper >= F.col("bound")).select("item", "uid"))
     ranks = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"), F.asc_nulls_first("doc_id"), "uid"))
     placed = _whole(candidates, wanted, postings).withColumn("rank", ranks).where(F.col("rank") <= k)
-    return placed.select(F.col("item.id").alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id", F.col("s").alias("score"))
+    return placed.join(small_side(named), "item").select(F.col("id").alias("item_id"), F.col("rank").cast("int").alias("rank"), "doc_id", F.col("s").alias("score"))
 
 
 def score_of(tf: Column, n: Column, df: Column, n_docs: Column, n_terms: Column) -> Column:
