@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import in_small_batches, small_side, written
 
 TOP = 10
-#: Entries of a list's head; documents looked up for each item's lower bound; entries of a part of a long list.
-HEAD, LOOKED_UP, PART = 64, 40, 1 << 20
+#: Entries of a list's head; documents looked up for each item's lower bound; entries of a part of a long list; items in a row of those that ask a list.
+HEAD, LOOKED_UP, PART, ASKED = 64, 40, 1 << 20, 4_096
 #: Parts of the score: of a term's weight and of a document's length (in hundredths).
 WEIGHT, SCALE, NEAR, FAR = 1_000, 1_000_000_000, 8, 90
 #: A to Z lower-cased; ASCII characters that no term has as spaces.
@@ -118,6 +118,27 @@ def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
     return placed.where(F.col("place") == k).select("item", F.col("s").alias(name))
 
 
+def met(postings: DataFrame, limits: DataFrame, entry: Column) -> DataFrame:
+    """postings with asked, the entries (by threshold) of the items that ask their list, at most about ASKED in a row, and passed, how many of them the value reaches."""
+    asked = limits.groupBy("term", "part").agg(F.array_sort(F.collect_list(entry)).alias("asked"))
+    asked = written(asked)
+    most = asked.agg(F.max(F.size("asked"))).head()[0] or 1
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    reaches = lambda p: (p <= F.size("asked")) & (F.try_element_at("asked", p)["least"] <= F.col("v"))
+    passed = F.aggregate(steps, F.lit(0), lambda p, s: F.when(reaches(p + s), p + s).otherwise(p))
+    return postings.join(small_side(asked), "term").withColumn("passed", passed)
+
+
+def unsent(postings: DataFrame, limits: DataFrame) -> DataFrame:
+    """limits (item, term, least, ...) with part, and unsent: the list's highest value below `least`, or 0. Rows grow with the postings, not with postings times items."""
+    parts = limits.groupBy("term").agg(F.expr(f"count(*) div {ASKED} + 1").alias("parts"))
+    limits = written(limits.join(small_side(parts), "term").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts"))).drop("parts"))
+    between = met(postings.select("term", "v"), limits, F.struct("least", "item")).groupBy("term", "part", (F.col("passed") + 1).alias("place")).agg(F.max("v").alias("v"))
+    inside = Window.partitionBy("term", "part").orderBy("least", "item")
+    placed = limits.withColumn("place", F.row_number().over(inside)).join(small_side(written(between)), ["term", "part", "place"], "left")
+    return written(placed.withColumn("unsent", F.coalesce(F.max("v").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).drop("v", "place"))
+
+
 def _whole(candidates: DataFrame, wanted: DataFrame, postings: DataFrame) -> DataFrame:
     """item, uid, doc_id, s: the whole scores of (item, uid)."""
     uids = small_side(written(candidates.select("uid").distinct()))
@@ -136,14 +157,13 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
     sums = wanted.join(small_side(heads), "term").groupBy("item", "uid").agg(F.sum("v").alias("s"))
     best = sums.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"), "uid"))).where(F.col("place") <= max(LOOKED_UP, k))
     floor = _kth(_whole(written(best.select("item", "uid")), wanted, postings), k, "floor")
-    # 2: a uniform threshold for the lists of an item; v * lists >= floor is exact in integers. What a list has not sent of a
-    # document is at most its highest value below the threshold, and nothing if the whole list is sent.
+    # 2: a uniform threshold for the lists of an item. What a list has not sent of a document is at most its highest value
+    # below the threshold, and nothing if the whole list is sent.
     n_lists = wanted.groupBy("item").agg(F.count("*").alias("n_lists"))
-    limits = written(wanted.join(small_side(n_lists), "item").join(small_side(floor), "item", "left").select("item", "term", F.coalesce("floor", F.lit(0)).alias("floor"), "n_lists"))
-    is_sent = F.col("v") * F.col("n_lists") >= F.col("floor")
-    below = postings.select("term", "v").join(small_side(limits), "term").where(~is_sent).groupBy("item", "term").agg(F.max("v").alias("unsent"))
-    limits = written(limits.join(small_side(written(below)), ["item", "term"], "left").withColumn("unsent", F.coalesce("unsent", F.lit(0))))
-    sent = postings.select("term", "uid", "v").join(small_side(limits), "term").where(is_sent)
+    limits = wanted.join(small_side(n_lists), "item").join(small_side(floor), "item", "left").withColumn("floor", F.coalesce("floor", F.lit(0)))
+    limits = unsent(postings, written(limits.select("item", "term", "floor", F.expr("(floor + n_lists - 1) div n_lists").alias("least"))))
+    reached = met(postings.select("term", "uid", "v"), limits, F.struct("least", "item", "unsent")).where("passed > 0")
+    sent = reached.select("uid", "v", F.inline(F.slice("asked", F.lit(1), F.col("passed"))))
     partial = written(sent.groupBy("item", "uid").agg(F.sum("v").alias("s"), F.sum("unsent").alias("known")))
     rest = limits.groupBy("item").agg(F.max("floor").alias("floor"), F.sum("unsent").alias("rest"))
     bounds = written(rest.join(_kth(partial, k, "second"), "item", "left").select("item", F.greatest("floor", F.coalesce("second", F.lit(0))).alias("bound"), "rest"))

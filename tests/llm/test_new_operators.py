@@ -175,6 +175,8 @@ def slow_search(docs, items, k):
 def test_search_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(lexical, "HEAD", 3)  # bounds that aren't exact, so that all three phases have work
     monkeypatch.setattr(lexical, "LOOKED_UP", 3)
+    monkeypatch.setattr(lexical, "ASKED", 4)
+    monkeypatch.setattr(lexical, "PART", 20)
     r = random.Random(seed)
     vocabulary = [f"W{k}é" if k % 3 else f"w{k}" for k in range(60)]
     text = lambda n: "-".join(r.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=n))
