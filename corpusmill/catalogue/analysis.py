@@ -158,7 +158,8 @@ def q_trend(spark, sf_dir) -> DataFrame:
 
 
 def q_ema(spark, sf_dir) -> DataFrame:
-    return _rounded(metrics.ema(_events(spark, sf_dir), SERIES), "ema")
+    # exact sums of decimals often tie at the sixth digit: decimal rounding at the ninth first settles them alike in any order of summing
+    return metrics.ema(_events(spark, sf_dir), SERIES).withColumn("ema", F.round(F.col("ema").cast("decimal(28,9)"), 6).cast("double"))
 
 
 def q_patience(spark, sf_dir) -> DataFrame:
@@ -414,7 +415,7 @@ ORACLES = {
     "q_oscillation": f"""WITH d AS (SELECT *, value - lag(value) OVER {_w()} > 0 AS up FROM events), t AS (SELECT *, (up <> lag(up) OVER {_w()})::INT AS t FROM d), s AS (SELECT user_id, event_type, coalesce(sum(t), 0) / greatest(count(up), 1) AS s, count(*) AS n FROM t GROUP BY ALL)
         SELECT user_id, event_type, round(s, 6) AS sign_changes, n >= 4 AND s > 0.6 AS oscillating FROM s""",
     "q_trend": f"SELECT user_id, event_type, round(regr_slope(value, k), 6) AS slope, count(*) AS n FROM (SELECT *, row_number() OVER {_w()} AS k FROM events) GROUP BY user_id, event_type",
-    "q_ema": "SELECT user_id, event_type, round(list_reduce(v, lambda e, x: 0.1 * x + 0.9 * e), 6) AS ema FROM (SELECT user_id, event_type, list(value::DOUBLE ORDER BY ts, event_id) AS v FROM events GROUP BY ALL)",
+    "q_ema": "SELECT user_id, event_type, round(list_reduce(v, lambda e, x: 0.1 * x + 0.9 * e)::DECIMAL(28, 9), 6)::DOUBLE AS ema FROM (SELECT user_id, event_type, list(value::DOUBLE ORDER BY ts, event_id) AS v FROM events GROUP BY ALL)",
     "q_patience": f"SELECT user_id, event_type, min(value) AS best, (count(*) - arg_min(k, (value, k)))::BIGINT AS stale FROM (SELECT *, row_number() OVER {_w()} AS k FROM events) GROUP BY user_id, event_type",
     "q_asof_metric": f"WITH {_ASOF.format('ts')} SELECT a.user_id, a.sec AS ts, k.value FROM a ASOF LEFT JOIN k ON a.user_id = k.user_id AND a.sec >= k.sec",
     "q_asof_lerp": f"""WITH {_ASOF.format('floor(epoch(ts))::BIGINT')},

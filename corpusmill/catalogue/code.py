@@ -56,8 +56,8 @@ def q_noise(spark, sf_dir) -> DataFrame:
 
 def q_stability(spark, sf_dir) -> DataFrame:
     out = metrics.stability(_events(spark, sf_dir), SERIES, F.col("event_id") % 7)
-    # means of values with two decimals often lie half way between two roundings
-    return _rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("variance", "oscillation", "sensitivity")}), "variance", "oscillation", "sensitivity")
+    # means of values with two decimals often lie half way between two roundings: these are decimal ones, at the ninth digit first
+    return out.withColumns({c: F.round(F.col(c).cast("decimal(28,9)"), 6).cast("double") for c in ("variance", "oscillation", "sensitivity")})
 
 
 def q_grid(spark, sf_dir) -> DataFrame:
@@ -262,7 +262,7 @@ ORACLES = {
         s AS (SELECT event_id, CASE WHEN m < 1e-12 THEN 'inf'::DOUBLE ELSE sqrt(v) / (m + 1e-12) END AS noise, CASE WHEN m < 1e-12 THEN 0 ELSE m * m / (v + 1e-12) END AS snr FROM w WHERE n >= 10)
         SELECT event_id, round(noise, 6) AS noise_scale, round(snr, 6) AS snr, round(greatest(0.1, least(10, CASE WHEN snr > 1e-9 THEN sqrt(1 / snr) ELSE 4 END)), 6) AS batch_factor FROM s""",
     "q_stability": f"""WITH b AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS b FROM events), l AS (SELECT user_id, event_type, value, abs(value - lag(value) OVER {_w()}) AS dv, abs(event_id % 7 - lag(event_id % 7) OVER {_w()}) AS dx FROM b WHERE b <= 20)
-        SELECT user_id, event_type, round(var_samp(value) + 1e-9, 6) AS variance, round(avg(dv) + 1e-9, 6) AS oscillation, round(avg(dv / dx) FILTER (dx > 1e-15) + 1e-9, 6) AS sensitivity FROM l GROUP BY user_id, event_type""",
+        SELECT user_id, event_type, round(var_samp(value)::DECIMAL(28, 9), 6)::DOUBLE AS variance, round(avg(dv)::DECIMAL(28, 9), 6)::DOUBLE AS oscillation, round((avg(dv / dx) FILTER (dx > 1e-15))::DECIMAL(28, 9), 6)::DOUBLE AS sensitivity FROM l GROUP BY user_id, event_type""",
     "q_grid": """
         WITH k AS (SELECT event_type, event_id % 5 AS run, event_id % 97 AS step, max(value) AS value FROM events GROUP BY ALL), a AS (SELECT event_type, run, unnest([-5, 0, 10, 33, 50, 96, 200]) AS step FROM (SELECT DISTINCT event_type, run FROM k)),
         b AS (SELECT a.*, lo.step AS x0, lo.value AS y0 FROM a ASOF LEFT JOIN k lo ON a.event_type = lo.event_type AND a.run = lo.run AND a.step >= lo.step), c AS (SELECT b.*, hi.step AS x1, hi.value AS y1 FROM b ASOF LEFT JOIN k hi ON b.event_type = hi.event_type AND b.run = hi.run AND b.step <= hi.step)

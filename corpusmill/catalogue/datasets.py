@@ -201,7 +201,10 @@ ORACLES = {
     "q_lsh_bands": f"{_SIGNED} SELECT doc_id, (k // 8)::INT AS band, md5(string_agg(m::VARCHAR, ',' ORDER BY k)) AS key FROM g GROUP BY doc_id, k // 8",
     "q_near_classes": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS class_id FROM documents",
     "q_near_dup": f"{_C}, {_signatures_sql('d')}, {_NEAR.format('d', 'd', 'x.doc_id < y.doc_id')} SELECT a AS first_id, b AS id, round(s, 6) AS similarity FROM near",
-    "q_near_dedup": f"{_C}, {_signatures_sql('d')}, {_NEAR.format('d', 'd', 'x.doc_id < y.doc_id')} SELECT doc_id FROM d_t WHERE doc_id NOT IN (SELECT b FROM near)",
+    "q_near_dedup": f"""{_C.replace('WITH', 'WITH RECURSIVE', 1)}, {_signatures_sql('d')}, {_NEAR.format('d', 'd', 'x.doc_id < y.doc_id')},
+        nodes AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS k FROM near GROUP BY b),
+        greedy AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS dropped UNION ALL SELECT nodes.k, CASE WHEN len(list_filter(earlier, lambda x: NOT list_contains(dropped, x))) > 0 THEN list_append(dropped, b) ELSE dropped END FROM greedy JOIN nodes ON nodes.k = greedy.k + 1)
+        SELECT doc_id FROM d_t WHERE NOT list_contains((SELECT arg_max(dropped, k) FROM greedy), doc_id)""",
     "q_cross_near_dedup": f"""{_C}, {_signatures_sql('one', "source = 'src0'")}, {_signatures_sql('other', "source <> 'src0'")}, {_NEAR.format('one', 'other', 'true')}
         SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL}) AS class_id FROM documents WHERE source <> 'src0') WHERE class_id NOT IN (SELECT b FROM near)""",
     "q_containment": f"{_CONTAINED} SELECT item_id, doc_id, round(containment, 6) AS containment FROM f",

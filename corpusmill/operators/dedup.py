@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import char_ngrams, code_tokens, jaccard, let, ngrams, text_or_empty
+from corpusmill.operators import setjoin
 from corpusmill.session import small_side, written
 
 PRIME, PERMUTATIONS, BANDS, SHINGLE = (1 << 31) - 1, 128, 16, 5
-#: Comparison texts that every row may be compared with.
-ITEMS = 2_000
 
 
 def mark_copies(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
@@ -100,32 +98,34 @@ def agreement(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / F.size(a)
 
 
-#: Members of a bucket that are compared pair by pair; in a larger one heads are compared with all, and heads grow by this factor each round.
-PAIRS, MORE_HEADS = 32, 8
+#: Members of a bucket that are compared pair by pair; those of larger ones are compared over rare-first prefixes of their signatures.
+PAIRS = 32
 
 
-def bucket_links(members: DataFrame, verified: Callable[[DataFrame], DataFrame], pairs: int = PAIRS) -> DataFrame:
-    """Links between members (key, node, once each) that share a bucket; verified(candidates a, b with a < b) gives the true ones.
+def signature_set(signature: Column) -> Column:
+    """A signature as a set: equal positions are shared tokens."""
+    return F.transform(signature, lambda v, k: F.xxhash64(k, v))
 
-    A bucket of up to `pairs` nodes is compared pair by pair. In a larger one heads are compared with all
-    members; a member that no head has met becomes a head later, more of them each round, until none is left. So
-    rows grow with members times heads, and what stays uncompared there are two members that both have a link already.
+
+def bucket_links(signed: DataFrame, threshold: float, pairs: int = PAIRS) -> DataFrame:
+    """a, b, similarity: all pairs of nodes that share a band and agree in at least the threshold of their positions. signed: node, signature.
+
+    A bucket of up to `pairs` nodes is compared pair by pair. The nodes of larger ones meet in the lists of a set-similarity join over
+    their whole signatures: no pair that agrees enough is missed, and many that share a band alone meet nowhere.
     """
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    keyed = written(members.select("key", "node").join(small_side(sizes), "key"))
-    small, large = keyed.where(F.col("n") <= pairs), keyed.where(F.col("n") > pairs).select("key", "node")
-    ordered = lambda found: found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-    both = small.select("key", F.col("node").alias("x")).join(small.select("key", F.col("node").alias("y")), "key").where("x < y")
-    found, waiting, each = [written(verified(ordered(both)))], large, 1
-    while not waiting.isEmpty():
-        heads = written(waiting.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(each)).alias("slot")).agg(F.min("node").alias("x")).select("key", "x"))
-        met = written(verified(ordered(small_side(heads).join(large.select("key", F.col("node").alias("y")), "key"))))
-        found.append(met)
-        linked = small_side(written(met.select(F.col("a").alias("node")).union(met.select("b")).distinct()))
-        was_head = small_side(heads.select("key", F.col("x").alias("node")))
-        waiting = written(waiting.join(linked, "node", "left_anti").join(was_head, ["key", "node"], "left_anti").select("key", "node"))
-        each = min(each * MORE_HEADS, 1 << 20)
-    return reduce(DataFrame.union, found).distinct()
+    banded = _banded(signed)
+    sizes = written(banded.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    keyed = written(banded.join(small_side(sizes), "key"))
+    small = keyed.where(F.col("members") <= pairs)
+    met = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    crowded = written(keyed.where(F.col("members") > pairs).select("node").distinct())
+    if not crowded.isEmpty():
+        sets = signed.join(small_side(crowded), "node").select("node", signature_set(F.col("signature")).alias("set"))
+        met = met.union(setjoin.candidate_pairs(setjoin.prefix_lists(sets, threshold), threshold, jaccard=False)).distinct()
+    left, right = (signed.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
+    both = met.join(left, "a").join(right, "b").withColumn("similarity", agreement(F.col("sa"), F.col("sb")))
+    share = F.arrays_overlap(band_keys(F.col("sa")), band_keys(F.col("sb")))
+    return both.where((F.col("similarity") >= threshold) & share).select("a", "b", "similarity")
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,14 +146,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """first_id, id, similarity: links between classes of equal texts (near_classes) whose signatures share a band and agree enough."""
-    signed = _signed(docs, id_col, text_col)
-    left, right = (signed.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", agreement(F.col("sa"), F.col("sb")).alias("similarity"))
-        return both.where(F.col("similarity") >= threshold)
-
-    return bucket_links(_banded(signed), verified).select(F.col("a").alias("first_id"), F.col("b").alias("id"), "similarity")
+    return bucket_links(_signed(docs, id_col, text_col), threshold).select(F.col("a").alias("first_id"), F.col("b").alias("id"), "similarity")
 
 
 def cross_near_dedup(primary: DataFrame, secondary: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -162,32 +155,56 @@ def cross_near_dedup(primary: DataFrame, secondary: DataFrame, id_col: str = "do
     Texts are compared once for each different text of either side, and only across the sides. Rows without a signature stay.
     """
     one, other = (_signed(x, id_col, text_col) for x in (primary, secondary))
-    met = _banded(one).withColumnRenamed("node", "p").join(_banded(other).withColumnRenamed("node", "s"), "key").select("p", "s").distinct()
-    pairs = met.join(one.select(F.col("node").alias("p"), F.col("signature").alias("sp")), "p").join(other.select(F.col("node").alias("s"), F.col("signature").alias("ss")), "s")
-    near = written(pairs.where(agreement(F.col("sp"), F.col("ss")) >= threshold).select(F.col("s").alias("class_id")).distinct())
-    return secondary.join(near_classes(secondary, id_col, text_col).join(small_side(near), "class_id", "left_semi").select(id_col).distinct(), id_col, "left_anti")
+    buckets = written(_banded(one).withColumn("p", F.lit(1)).unionByName(_banded(other).withColumn("p", F.lit(0))).groupBy("key")
+                      .agg(F.sum("p").alias("here"), F.count("*").alias("all")).where("here > 0 AND here < all"))
+    sides = [written(_banded(x).join(small_side(buckets), "key")) for x in (one, other)]
+    few = F.col("here") * (F.col("all") - F.col("here")) <= PAIRS * PAIRS
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(one.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(other.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+        return both.where((agreement(F.col("sa"), F.col("sb")) >= threshold) & F.arrays_overlap(band_keys(F.col("sa")), band_keys(F.col("sb")))).select("a", "b")
+
+    met = sides[0].where(few).select("key", F.col("node").alias("a")).join(sides[1].where(few).select("key", F.col("node").alias("b")), "key").select("a", "b").distinct()
+    near = written(verified(met).select(F.col("b").alias("node")).distinct())
+    crowded = [written(x.where(~few).select("node").distinct()) for x in sides]
+    if not crowded[1].isEmpty():
+        # one order of tokens for both sides, whose nodes may have the same ids
+        tagged = [x.join(small_side(c), "node").select(F.struct(F.lit(k).alias("side"), "node").alias("node"), signature_set(F.col("signature")).alias("set")) for k, (x, c) in enumerate(zip((one, other), crowded, strict=True))]
+        lists = setjoin.prefix_lists(tagged[0].union(tagged[1]), threshold)
+        own = [lists.where(F.col("node.side") == k).select("token", F.col("node.node").alias("node"), "n", "place") for k in (0, 1)]
+        near = near.union(setjoin.reached(own[0], own[1].join(small_side(near), "node", "left_anti"), verified, threshold, jaccard=False))
+    classes = small_side(written(near.select(F.col("node").alias("class_id")).distinct()))
+    return secondary.join(near_classes(secondary, id_col, text_col).join(classes, "class_id", "left_semi").select(id_col).distinct(), id_col, "left_anti")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Without documents that are a near or exact copy of an earlier one."""
-    near = near_duplicates(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col)).distinct()
+    """Documents in the order of their ids, without each that is a copy of an earlier one or a near copy of an earlier one that stays."""
+    links = near_duplicates(docs, id_col, text_col, threshold).select(F.col("first_id").alias("a"), F.col("id").alias("b"))
+    dropped = setjoin.earlier_kept(links).select(F.col("node").alias(id_col))
     one = exact_dedup(docs, normal_text(F.col(text_col)), id_col)
-    return one.join(near, id_col, "left_anti")
+    return one.join(dropped, id_col, "left_anti")
 
 
 def nearest_items(rows: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", chars: int = 3, words: int = 3) -> DataFrame:
     """id, most, mean, nearest: half the Jaccard coefficient of character n-grams, half that of token n-grams, over all items; the smallest id of equally near ones.
 
-    items is a stated set of comparison texts: it is counted before it is broadcast, and too many raise an error.
+    Similarities are summed from shared n-grams alone: what shares none has similarity 0. An empty set counts as one that holds
+    a mark of its own, so two empty ones are equal. Ids of rows and of items are unique.
     """
-    sets = lambda c: F.struct(let(text_or_empty(F.col(c)), lambda t: char_ngrams(t, chars)).alias("c"), let(code_tokens(text_or_empty(F.col(c))), lambda t: F.array_distinct(ngrams(t, words))).alias("t"))
-    held = written(items.select(F.col(item_col).alias("_item"), sets(text_col).alias("_b")))
-    if (n := held.count()) > ITEMS:
-        raise ValueError(f"{n} comparison texts; at most {ITEMS} are compared with every row")
-    both = rows.select(id_col, sets(text_col).alias("_a")).crossJoin(F.broadcast(held))
-    score = F.round(0.5 * jaccard(F.col("_a.c"), F.col("_b.c")) + 0.5 * jaccard(F.col("_a.t"), F.col("_b.t")), 9)
-    scored = both.select(id_col, "_item", score.alias("_s"))
-    return scored.groupBy(id_col).agg(F.max("_s").alias("most"), F.avg("_s").alias("mean"), F.min_by("_item", F.struct(-F.col("_s"), F.col("_item"))).alias("nearest"))
+    marked = lambda kind, grams: F.when(F.size(grams) == 0, F.array(F.xxhash64(F.lit(kind)))).otherwise(F.transform(grams, lambda g: F.xxhash64(F.lit(kind), g)))
+    grams = {"c": lambda c: let(text_or_empty(F.col(c)), lambda t: marked("c", char_ngrams(t, chars))),
+             "t": lambda c: let(code_tokens(text_or_empty(F.col(c))), lambda t: marked("t", F.array_distinct(ngrams(t, words))))}
+    halves = []
+    for of in grams.values():
+        ours = rows.select(F.col(id_col).alias("node"), of(text_col).alias("set"))
+        shared = setjoin.overlaps(ours, items.select(F.col(item_col).alias("item"), of(text_col).alias("set")))
+        halves.append(shared.select("node", "item", (0.5 * F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("_s")))
+    scored = halves[0].union(halves[1]).groupBy("node", "item").agg(F.round(F.sum("_s"), 9).alias("_s"))
+    best = scored.groupBy(F.col("node").alias(id_col)).agg(F.max("_s").alias("most"), F.sum("_s").alias("sum"), F.min_by("item", F.struct(-F.col("_s"), F.col("item"))).alias("nearest"))
+    all_items = items.agg(F.count("*").alias("n"), F.min(item_col).alias("least")).where("n > 0")
+    out = rows.select(id_col).join(best, id_col, "left").crossJoin(F.broadcast(all_items))  # one row
+    near = F.when(F.col("most") > 0, F.col("nearest")).otherwise(F.col("least"))
+    return out.select(id_col, F.coalesce("most", F.lit(0.0)).alias("most"), (F.coalesce("sum", F.lit(0.0)) / F.col("n")).alias("mean"), near.alias("nearest"))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
