@@ -7,7 +7,8 @@ the smallest hash, so that what many documents share stays once; documents that
 The counts cover all lines of all documents. Only lines that occur often at all, a set that
 is counted before it is broadcast, are counted a second time by document.
 
-Defined cases: a null text has no words; a null host is a host of its own; copies of a text at one
+Defined cases: a null or empty text has no words and fails the base rules; a very long text is one row, its lines and windows an array of it;
+of texts that share a removed line the one with the smallest hash keeps it, and equal hashes are equal texts here; a null host is a host of its own; copies of a text at one
 host share its verdict; rows that repeat a doc_id are one document here, with a row each in the result;
 an empty table gives an empty result; other columns are ignored.
 """

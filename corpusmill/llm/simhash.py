@@ -16,7 +16,7 @@ folder; no links, fingerprints or components reach the driver.
 
 Defined cases: a null text counts as empty, and without words the fingerprint is zero, linked like
 any other; repeated rows share a fingerprint; a null doc_id is never a component's id unless alone;
-an empty table gives an empty result; other columns are ignored.
+a very long text is hashed whole, in bounded blocks of bits; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import in_small_batches, small_side, written
+from corpusmill.operators.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in a bucket that are compared pair by pair; larger buckets take the linear way.
@@ -98,28 +99,6 @@ def links(fps: DataFrame, radius: int = RADIUS, pairs: int = PAIRS) -> DataFrame
     return found.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest node reachable.
-
-    edges: (a, b). Large-star and small-star steps by turns until nothing changes.
-    """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star over edges that point from the larger to the smaller node
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = written(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
-        before = state
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach, the document's own included."""
     rows = fingerprints(docs, id_col, text_col, shingle)
@@ -130,10 +109,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     .union(first.where("root = node").select("root", "first")).groupBy("root").agg(F.min("first").alias("component_id")))
     of = written(first.join(least, "root").select(F.col("node").alias("fp"), "component_id"))
     return rows.join(small_side(of), "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
-    dropped = small_side(written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))))
-    return docs.join(dropped, id_col, "left_anti")
