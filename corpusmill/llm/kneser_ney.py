@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from corpusmill.llm.common import in_small_batches, plain_names, small_side, work_dir, written
+from corpusmill.llm.common import in_small_batches, make_room, plain_names, small_side, work_dir, written
 
 #: Bytes of an n-gram of the highest order (up to 7, as one more stands before the text); the byte before a text, which UTF-8 never has.
 ORDER, START = 5, b"\xff"
@@ -42,7 +42,7 @@ ORDER, START = 5, b"\xff"
 HELD_OUT, LEAST_HELD = 5, 20
 QUANTILE = 0.995
 #: Bytes of text in a block, in a packed part of one, and counted at once in training.
-BLOCK, PART, COUNTED = 32 << 20, 1 << 20, 2 << 20
+BLOCK, PART, COUNTED = 24 << 20, 1 << 20, 2 << 20
 
 
 class Model(NamedTuple):
@@ -123,6 +123,7 @@ def count_ngrams(texts: DataFrame, text_col: str = "text", order: int = ORDER) -
     """code, c: how often each n-gram of the highest order occurs in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         held: list[np.ndarray] = []
         size = 0
 
@@ -193,6 +194,7 @@ def _packed(docs: DataFrame, text_col: str, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        make_room()
         block, size, known = TaskContext.get().partitionId() << 32, 0, CodeTable(np.empty(0, np.int64))
         names, types = ["block", "packed", "codes"], [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
@@ -240,6 +242,7 @@ def with_perplexity(docs: DataFrame, model: Model, text_col: str = "text", order
     answers = asked.join(known, "code").select("of", "code", F.log2("p").cast("float").alias("bits"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        make_room()
         known, bits = CodeTable(right["code"].to_numpy()), np.append(right["bits"].to_numpy().astype(np.float64), np.nan)
         done = []
         for packed in left["packed"]:

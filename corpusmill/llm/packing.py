@@ -28,9 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import in_small_batches
-
 from corpusmill.llm.bpe import Transducer
+from corpusmill.llm.common import CACHES, in_small_batches
 
 LENGTH, END_ID = 2048, 1
 #: Costs in tokens of padding: of a cut at a sentence's end, of a cut elsewhere, of each sequence.
@@ -62,6 +61,7 @@ class LibraryEncoder(Transducer):
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def _encoder(path: str) -> LibraryEncoder:
