@@ -171,7 +171,7 @@ def cross_near_dedup(primary: DataFrame, secondary: DataFrame, id_col: str = "do
         # one order of tokens for both sides, whose nodes may have the same ids
         tagged = [x.join(small_side(c), "node").select(F.struct(F.lit(k).alias("side"), "node").alias("node"), signature_set(F.col("signature")).alias("set")) for k, (x, c) in enumerate(zip((one, other), crowded, strict=True))]
         lists = setjoin.prefix_lists(tagged[0].union(tagged[1]), threshold)
-        own = [lists.where(F.col("node.side") == k).select("token", F.col("node.node").alias("node"), "n", "place") for k in (0, 1)]
+        own = [lists.where(F.col("node.side") == k).select("token", F.col("node.node").alias("node"), *setjoin.ENTRY[1:]) for k in (0, 1)]
         near = near.union(setjoin.reached(own[0], own[1].join(small_side(near), "node", "left_anti"), verified, threshold, jaccard=False))
     classes = small_side(written(near.select(F.col("node").alias("class_id")).distinct()))
     return secondary.join(near_classes(secondary, id_col, text_col).join(classes, "class_id", "left_semi").select(id_col).distinct(), id_col, "left_anti")
