@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.catalogue.analysis import _CODE_TOKENS, _LSTRIP, _P, _TOKENS, _W, _WORDS, SERIES, _events, _lines, _q, _rounded, _w
 from corpusmill.catalogue.quality import STRIP
-from corpusmill.operators import chunk, complexity, dedup, evaluation, filters, metrics, mix, stats, transform
+from corpusmill.operators import chunk, complexity, dedup, evaluation, filters, folds, metrics, mix, stats, transform
 from corpusmill.plans import registry
 from corpusmill.session import table, work_dir
 from corpusmill.sources import readers, sinks
@@ -69,6 +69,14 @@ def q_stagnation(spark, sf_dir) -> DataFrame:
     return metrics.stagnation(_events(spark, sf_dir), SERIES, 5)
 
 
+def q_stagnation_windows(spark, sf_dir) -> DataFrame:
+    return folds.stagnations(_events(spark, sf_dir), SERIES, 5, 0.5)
+
+
+def q_early_stop(spark, sf_dir) -> DataFrame:
+    return folds.stopped(_events(spark, sf_dir), SERIES, 20, 0.5)
+
+
 def q_curriculum(spark, sf_dir) -> DataFrame:
     docs = metrics.curriculum(_docs(spark, sf_dir), F.least(F.length("text") / 5000.0, F.lit(1.0)), 300, 1000)
     return docs.select("doc_id", "band", "eligible")
@@ -241,6 +249,12 @@ def _complexity_sql(source: str, id_col: str, text_col: str, language: str) -> s
 _PAIR = "FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'"
 _JACCARD = "CASE WHEN len({0}1) = 0 AND len({0}2) = 0 THEN 1 WHEN len({0}1) = 0 OR len({0}2) = 0 THEN 0 ELSE len(list_intersect({0}1, {0}2)) / (len({0}1) + len({0}2) - len(list_intersect({0}1, {0}2))) END"
 _SETS = f"CASE WHEN length(coalesce(text, '')) < 3 THEN [] ELSE list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) END AS c, list_distinct(list_transform(range(1, len({_CODE_TOKENS}) - 1), lambda i: array_to_string(({_CODE_TOKENS})[i:i + 2], ' '))) AS t"
+_FOLD = f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER {_w()} - 1 AS k FROM events), f AS (
+            SELECT user_id, event_type, k, CASE WHEN isfinite(value) THEN value END AS best, CASE WHEN isfinite(value) THEN 0 END AS since FROM n WHERE k = 0
+            UNION ALL SELECT n.user_id, n.event_type, n.k, CASE WHEN g.up THEN n.value ELSE g.best END, CASE WHEN g.up THEN 0 ELSE g.since + 1 END
+            FROM (SELECT f.*, m.value AS v, coalesce(isfinite(m.value) AND (f.best IS NULL OR m.value < f.best - 0.5), false) AS up FROM f JOIN n m ON m.user_id = f.user_id AND m.event_type = f.event_type AND m.k = f.k + 1) g
+            JOIN n ON n.user_id = g.user_id AND n.event_type = g.event_type AND n.k = g.k + 1)"""
+
 ORACLES = {
     "q_complexity_python": _complexity_sql("documents", "doc_id", "text", "python"),
     "q_complexity_typescript": _complexity_sql("pages", "page_id", "html", "typescript"),
@@ -269,6 +283,8 @@ ORACLES = {
         SELECT event_type, run, step, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = step THEN y0 ELSE y0 + (y1 - y0) * (step - x0) / (x1 - x0) END, 6) AS value FROM c""",
     "q_stagnation": f"""WITH m AS (SELECT *, row_number() OVER {_w()} - 1 AS k, min(value) OVER {_w('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS best FROM events), i AS (SELECT *, max(CASE WHEN best IS NULL OR value < best THEN k END) OVER {_w('UNBOUNDED PRECEDING AND CURRENT ROW')} AS i FROM m)
         SELECT user_id, event_type, min(k) AS fired_at FROM i WHERE k - i >= 5 GROUP BY user_id, event_type""",
+    "q_stagnation_windows": f"{_FOLD} SELECT user_id, event_type, k AS fired_at, best FROM f WHERE since = 5",
+    "q_early_stop": f"{_FOLD} SELECT user_id, event_type, min(k) FILTER (since >= 20) AS stopped_at FROM f GROUP BY user_id, event_type",
     "q_curriculum": "SELECT doc_id, least(floor(d * 5), 4)::INT AS band, d <= 0.05 + 0.95 * 0.3 AS eligible FROM (SELECT doc_id, least(length(text) / 5000.0::DOUBLE, 1.0) AS d FROM documents)",
     "q_truncate_tokens": "SELECT doc_id, least(strlen(text), 100) AS n, CASE WHEN text <> '' THEN ('0x' || substr(hex(encode(text)), 2 * least(strlen(text), 100) - 1, 2))::INT END AS last FROM documents",
     "q_cap_per_group": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 20",
