@@ -263,6 +263,14 @@ def q_kmeans(spark, sf_dir) -> DataFrame:
     return vector.clusters(table(spark, sf_dir, "embeddings"), 5).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def q_silhouette(spark, sf_dir) -> DataFrame:
+    return _rounded(vector.silhouette(table(spark, sf_dir, "embeddings"), "label").select("vec_id", "silhouette"), "silhouette")
+
+
+def q_cluster_quality(spark, sf_dir) -> DataFrame:
+    return _rounded(vector.cluster_quality(table(spark, sf_dir, "embeddings"), "label"), "inside", "between", "estimate")
+
+
 def q_pca(spark, sf_dir) -> DataFrame:
     return vector.projected(table(spark, sf_dir, "embeddings")).select("vec_id", F.round(F.abs(F.col("projection")[0]), 4).alias("x"))
 
@@ -438,6 +446,13 @@ ORACLES = {
     "q_perplexity_rollup": f"SELECT *, {_LEVEL} AS level FROM (SELECT event_type, round(arg_max(exp(value / 100), (ts, event_id)), 4) AS current, round(min(exp(value / 100)), 4) AS least, round(max(exp(value / 100)), 4) AS most, round(avg(exp(value / 100)), 4) AS mean, count(*) AS n FROM events GROUP BY ROLLUP (event_type))",
     "q_cosine_knn": f"""WITH e AS (SELECT vec_id, {_V} AS v, {_NORM} AS n FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_sum(list_transform(range(1, 65), lambda i: q.v[i] * e.v[i])) / (q.n * e.n), 9) AS s FROM e q, e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM s) SELECT query, id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 10""",
+    "q_silhouette": """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v) ** 2) AS s, count(*) AS n FROM v a, v b GROUP BY ALL),
+        m AS (SELECT vec_id, max(s / greatest(n - 1, 1)) FILTER (other = label) AS a, max(n) FILTER (other = label) AS n, min(s / n) FILTER (other <> label) AS b FROM d GROUP BY vec_id)
+        SELECT vec_id, round(CASE WHEN n = 1 THEN 0 WHEN b IS NOT NULL THEN (b - a) / greatest(a, b) END, 6) AS silhouette FROM m""",
+    "q_cluster_quality": """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, 64))::INT AS d FROM embeddings), m AS (SELECT label, d, avg(x) AS x FROM e GROUP BY label, d), c AS (SELECT label, list(x ORDER BY d) AS c FROM m GROUP BY label),
+        i AS (SELECT label, count(*) AS n, var_pop(list_distance(embedding::DOUBLE[], c)) AS v FROM embeddings JOIN c USING (label) GROUP BY label), b AS (SELECT avg(list_distance(x.c, y.c)) AS b FROM c x JOIN c y ON x.label < y.label),
+        q AS (SELECT count(*) AS k, sum(n)::BIGINT AS n, avg(v) FILTER (n >= 2) AS i FROM i)
+        SELECT k AS n_clusters, n, round(i, 6) AS inside, round(b, 6) AS between, round((b - i) / greatest(b, i), 6) AS estimate FROM q, b""",
     "q_embedding_stats": f"SELECT count(*) AS n, round(avg(x), 6) AS mean_norm, round(stddev_pop(x), 6) AS std_norm, round(min(x), 6) AS least_norm, round(max(x), 6) AS most_norm FROM (SELECT {_NORM} AS x FROM embeddings)",
     "q_dead_dims": "SELECT dim, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance, var_pop(x) < 1e-8 AS dead FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, 64))::INT AS dim FROM embeddings) GROUP BY dim",
     "q_mean_pair_cosine": f"""WITH u AS (SELECT unnest(list_transform({_V}, lambda x: x / n)) AS x, unnest(range(0, 64)) AS d FROM (SELECT embedding, {_NORM} AS n FROM embeddings) WHERE n > 0), s AS (SELECT sum(x) AS s, count(*) AS n FROM u GROUP BY d)

@@ -105,6 +105,53 @@ def clusters(rows: DataFrame, k: int, vector: str = "embedding", iterations: int
     return model.transform(data).drop("_v")
 
 
+def centres(rows: DataFrame, cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
+    """cluster, n, squares (the sum of its vectors' squared norms), centre: a row for each cluster, from sums by dimension."""
+    spread = rows.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("cluster"), F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
+    sums = spread.groupBy("cluster", "dim").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("dim", (F.col("s") / F.col("n")).alias("m")))), lambda d: d["m"])
+    return sums.groupBy("cluster").agg(F.max("n").alias("n"), F.sum("q").alias("squares"), centre.alias("centre"))
+
+
+def _all_centres(rows: DataFrame, cluster: str, vector: str, most: int) -> DataFrame:
+    """One row: all clusters with their centres, whose number is a model's parameter and is checked."""
+    found = written(centres(rows, cluster, vector))
+    if (n := found.count()) > most:
+        raise ValueError(f"{n} clusters; the limit is {most}")
+    return found.agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "squares", "centre"))).alias("_all"))
+
+
+def silhouette(rows: DataFrame, cluster: str = "cluster", vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """rows with silhouette: how much nearer a vector is to its own cluster than to the next one, in mean squared distances.
+
+    A mean squared distance to all vectors of a cluster follows from their number, sum and squared norms, so no pair is made. A vector
+    alone in its cluster has 0, as one that equals all others; it is null without a cluster or vector, and where there is one cluster only.
+    """
+    v = F.col(vector).cast("array<double>")
+    out = rows.crossJoin(F.broadcast(_all_centres(rows, cluster, vector, most))).withColumn("_q", dot(v, v))
+    mean = lambda c: F.greatest(F.col("_q") + c["squares"] / c["n"] - 2 * dot(v, c["centre"]), F.lit(0.0))
+    far = F.transform("_all", lambda c: F.struct((c["cluster"] == F.col(cluster)).alias("own"), c["n"].alias("n"), mean(c).alias("d")))
+    own = F.get(F.filter("_far", lambda c: c["own"]), F.lit(0))
+    other = F.array_min(F.transform(F.filter("_far", lambda c: ~c["own"]), lambda c: c["d"]))
+    out = out.withColumn("_far", far).withColumns({"_own": own, "_b": other}).withColumn("_a", F.col("_own.d") * F.col("_own.n") / F.greatest(F.col("_own.n") - 1, F.lit(1)))
+    value = F.when(F.col("_own.n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)))
+    return out.withColumn("silhouette", F.when(F.col(vector).isNotNull() & F.col("_b").isNotNull() & F.col("_a").isNotNull(), value)).drop("_all", "_q", "_far", "_own", "_b", "_a")
+
+
+def cluster_quality(rows: DataFrame, cluster: str = "cluster", vector: str = "embedding", most: int = 10_000) -> DataFrame:
+    """One row: n_clusters, n, inside (mean variance of the distances to the centre, of clusters with two vectors or more), between (mean
+    distance of two centres), estimate ((between - inside) over the larger, from -1 to 1). All are 0 where there is nothing to compare."""
+    one = _all_centres(rows, cluster, vector, most)
+    named = rows.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).crossJoin(F.broadcast(one))
+    centre = F.get(F.filter("_all", lambda c: c["cluster"] == F.col(cluster)), F.lit(0))["centre"]
+    spread = named.select(F.col(cluster).alias("_c"), euclidean(F.col(vector), centre).alias("_d")).groupBy("_c").agg(F.count("*").alias("n"), F.var_pop("_d").alias("v"))
+    inside = spread.agg(F.count("*").alias("n_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.avg(F.when(F.col("n") >= 2, F.col("v"))), F.lit(0.0)).alias("inside"))
+    a = one.select(F.posexplode("_all").alias("_i", "_a"), "_all")
+    between = a.select(F.explode(F.transform(F.slice("_all", F.col("_i") + 2, F.size("_all")), lambda b: euclidean(F.col("_a.centre"), b["centre"]))).alias("_d")).agg(F.coalesce(F.avg("_d"), F.lit(0.0)).alias("between"))
+    estimate = (F.col("between") - F.col("inside")) / F.greatest("between", "inside", F.lit(1e-12))
+    return inside.crossJoin(F.broadcast(between)).withColumn("estimate", F.greatest(F.least(estimate, F.lit(1.0)), F.lit(-1.0)))
+
+
 def projected(rows: DataFrame, dims: int = 2, vector: str = "embedding") -> DataFrame:
     """rows with projection: principal components (their signs are arbitrary)."""
     data = rows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
