@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let, lines_nl, strip
+from corpusmill.session import written
 
 FUNCTION = (
     "name string, params array<string>, positional array<string>, annotations map<string,string>, returns string, decorators array<string>, is_async boolean, is_method boolean, "
@@ -124,7 +125,11 @@ def functions(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def call_edges(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, caller, callee: which functions of a text call which others of it, each pair once."""
+    """id, caller, callee: which functions of a text call which others of it, each pair once.
+
+    Names and calls are written once, as both sides of the join read them: else each text would be parsed twice.
+    """
+    found = written(found.select(id_col, "name", "calls"))
     calls = found.select(id_col, F.col("name").alias("caller"), F.explode(F.array_distinct("calls")).alias("callee")).distinct()
     known = found.select(F.col(id_col).alias("_id"), F.col("name").alias("_name"))
     return calls.join(known, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("callee") == F.col("_name")), "left_semi")
