@@ -30,6 +30,23 @@ def global_rank(rows: DataFrame, block: Column, order: list[Column], name: str =
     return running_total(rows, block, order, F.lit(1), name)
 
 
+def following(rows: DataFrame, block: Column, order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows with `name`: the next row's value in the order of (block, *order); the first row follows the last.
+
+    Neighbours on both sides of a range's end meet through the ranges' first rows, one for each partition.
+    """
+    keyed = rows.withColumns({"_first": block, "_value": value})
+    ranged = written(keyed.repartitionByRange(F.col("_first"), *order).withColumn("_block", F.spark_partition_id()))
+    heads = ranged.groupBy("_block").agg(F.min_by("_value", F.struct("_first", *order)).alias("_head"))
+    ring = Window.orderBy("_block")
+    entries = heads.select("_block", F.coalesce(F.lead("_head").over(ring), F.first("_head").over(ring)).alias("_entry"))
+    inside = Window.partitionBy("_block").orderBy("_first", *order)
+    ends = F.lead(F.lit(True)).over(inside).isNull()
+    # as many rows as there are shuffle partitions
+    joined = ranged.join(F.broadcast(entries), "_block")
+    return joined.withColumn(name, F.when(ends, F.col("_entry")).otherwise(F.lead("_value").over(inside))).drop("_block", "_first", "_value", "_entry")
+
+
 def hash32(*parts: Column) -> Column:
     """The first eight hexadecimal digits of the MD5 of the parts joined by a colon, as a long."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
