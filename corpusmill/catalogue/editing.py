@@ -1,4 +1,5 @@
-"""Queries on changed texts: line diffs of lists of orders against a later state of them, near copies against their first text, contrastive pairs.
+"""Queries on changed texts: line diffs of lists of orders against a later state of them, near copies against their first text, contrastive pairs,
+variants of code and code with bugs, a function for each order.
 
 A later list lacks some orders, has others changed and notes added. All lines of a list differ, so SQL knows from the keys which stay.
 """
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators import contrast, dedup, diff
+from corpusmill.operators import contrast, dedup, diff, rewrite
 from corpusmill.session import table
 
 CONTEXT = 2
@@ -49,6 +50,25 @@ def q_contrastive_pairs(spark, sf_dir) -> DataFrame:
     return pairs.select("same", "a_id", "b_id", F.md5("a").alias("a"), F.md5("b").alias("b"))
 
 
+FUNCTION = "import sys\nimport os\n# order {k}\ndef order_{k}(amount):\n    total = amount + 3  # {p}\n    if total < 10:\n        return total\n    return amount\n"
+BROKEN = "def order_{k}(\n"
+
+
+def _functions(spark, sf_dir) -> DataFrame:
+    """Code of a function for each order; that of every tenth doesn't parse."""
+    text = F.when(F.expr("o_orderkey % 10 = 7"), BROKEN).otherwise(FUNCTION)
+    filled = F.replace(F.replace(text, F.lit("{k}"), F.col("o_orderkey").cast("string")), F.lit("{p}"), F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", filled.alias("text"))
+
+
+def q_code_variants(spark, sf_dir) -> DataFrame:
+    return rewrite.augmented(_functions(spark, sf_dir), "o_orderkey")
+
+
+def q_code_bugs(spark, sf_dir) -> DataFrame:
+    return rewrite.with_bugs(_functions(spark, sf_dir), "o_orderkey").withColumn("code", F.md5("code"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name.startswith("q_")}
 
 # kept: the orders that stay, by place; gone and come: lines of one side only, by the number of orders kept before them (gap)
@@ -61,7 +81,44 @@ _LISTS = """WITH o AS (SELECT o_orderkey AS k, o_orderkey // 64 AS part, o_order
     t AS (SELECT part, count(*) FILTER (side = 2) AS kept FROM e GROUP BY part)"""
 _SPAN = "CASE WHEN {n} = 1 THEN ({a} + 1)::VARCHAR WHEN {n} = 0 THEN {a} || ',0' ELSE ({a} + 1) || ',' || {n} END"
 
+_CODE = f"""WITH o AS (SELECT o_orderkey, o_orderkey AS k, o_orderpriority AS p, replace(replace('{FUNCTION}', '{{k}}', o_orderkey::VARCHAR), '{{p}}', o_orderpriority) AS text FROM orders WHERE o_orderkey % 10 <> 7)"""
+# Each kind's possible changes in the order of the text, written by hand: line, the line as it becomes ({p} is the order's), what became what.
+_CHANGES = {
+    "off_by_one": ((5, "    total = amount + 2  # {p}", "3 became 2"), (5, "    total = amount + 4  # {p}", "3 became 4"), (6, "    if total < 11:", "10 became 11"), (6, "    if total < 9:", "10 became 9")),
+    "wrong_operator": ((5, "    total = amount * 3  # {p}", "+ became *"), (5, "    total = amount - 3  # {p}", "+ became -"), (6, "    if total <= 10:", "< became <="), (6, "    if total == 10:", "< became =="),
+                       (6, "    if total > 10:", "< became >")),
+    "missing_return": ((7, "        pass", "return total became pass"), (8, "    pass", "return amount became pass")),
+    "wrong_variable": ((5, "    total = total + 3  # {p}", "amount became total"), (6, "    if amount < 10:", "total became amount"), (7, "        return amount", "total became amount"), (8, "    return total", "amount became total")),
+    "type_error": ((5, '    total = amount + "3"  # {p}', '3 became "3"'), (6, '    if total < "10":', '10 became "10"')),
+}
+_BUGS = ", ".join(f"('{bug}', {len(all_)}, {n}, {line}, '{new}', '{note}')" for bug, all_ in _CHANGES.items() for n, (line, new, note) in enumerate(all_))
+
+
+def _draw(what: str, n: int | str) -> str:
+    return f"(('0x' || substr(md5(k || ':42:' || {what}), 1, 8))::BIGINT % {n})"
+
+
+#: Lines before which something may be put: number, indent, text; drawn by kind.
+_PLACES = "(VALUES (0, 2, '', 'import os'), (1, 4, '', 'def order_' || k || '(amount):'), (2, 6, '    ', '    if total < 10:'), (3, 8, '    ', '    return amount'))"
+
+
+def _put(kind: str, lines: str) -> str:
+    return f"""SELECT o_orderkey, '{kind}' AS strategy, replace(text, chr(10) || line || chr(10), chr(10) || {lines} || line || chr(10)) AS code, true AS changed, 'before line ' || place AS note
+        FROM o, LATERAL (SELECT * FROM {_PLACES} v(q, place, i, line) WHERE q = {_draw(f"'{kind}'", 4)})"""
+
+
+_NEW = "'total_' || substr(md5(k || ':42:rename:order_' || k || ':total'), 5, 4)"
+
 ORACLES = {
+    "q_code_variants": f"""{_CODE} SELECT o_orderkey, 'variable_rename' AS strategy, replace(text, 'total', {_NEW}) AS code, true AS changed, 'total>' || {_NEW} AS note FROM o
+        UNION ALL SELECT o_orderkey, 'comment_remove', replace(replace(text, '# order ' || k || chr(10), ''), '  # ' || p, ''), true, '2 removed' FROM o
+        UNION ALL SELECT o_orderkey, 'import_reorder', replace(text, 'import sys' || chr(10) || 'import os', 'import os' || chr(10) || 'import sys'), true, '2 sorted' FROM o
+        UNION ALL {_put('comment_add', f"i || '# ' || ['step', 'see the caller', 'checked', 'kept as it is'][1 + {_draw(chr(39) + 'remark' + chr(39), 4)}] || chr(10)")}
+        UNION ALL {_put('whitespace_vary', f"repeat(chr(10), (1 + {_draw(chr(39) + 'blank' + chr(39), 2)})::INT)")}
+        UNION ALL {_put('dead_code_insert', "i || 'if False:' || chr(10) || i || '    pass' || chr(10)")}""",
+    "q_code_bugs": f"""{_CODE}, b(bug, n, q, line, new, note) AS (VALUES {_BUGS}),
+        x AS (SELECT o_orderkey, bug, line, string_split(text, chr(10))[line] AS original, replace(new, '{{p}}', p) AS modified, note, text FROM o JOIN b ON q = {_draw('bug', 'n')})
+        SELECT o_orderkey, bug, md5(replace(text, original || chr(10), modified || chr(10))) AS code, line::INT AS line, original, modified, note FROM x""",
     "q_diff_stats": f"""{_LISTS}, s AS (SELECT t.part, coalesce(sum(m) FILTER (n = 0), 0)::INT AS additions, coalesce(sum(n) FILTER (m = 0), 0)::INT AS deletions,
         coalesce(sum(greatest(n, m)) FILTER (n > 0 AND m > 0), 0)::INT AS modifications, any_value(kept)::INT AS unchanged FROM t LEFT JOIN c USING (part) GROUP BY t.part)
         SELECT *, round((additions + deletions + modifications) / (additions + deletions + modifications + unchanged), 9) AS change_ratio FROM s""",
