@@ -58,7 +58,7 @@ def _functions(spark, sf_dir) -> DataFrame:
     """Code of a function for each order; that of every tenth doesn't parse."""
     text = F.when(F.expr("o_orderkey % 10 = 7"), BROKEN).otherwise(FUNCTION)
     filled = F.replace(F.replace(text, F.lit("{k}"), F.col("o_orderkey").cast("string")), F.lit("{p}"), F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", filled.alias("text"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", filled.alias("text")).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")  # orders are one small file
 
 
 def q_code_variants(spark, sf_dir) -> DataFrame:

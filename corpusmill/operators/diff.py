@@ -181,7 +181,8 @@ def hunks(pairs: DataFrame, a: str, b: str, context: int = 3) -> DataFrame:
     """pairs without the texts, a row for each hunk: hunk (from 0), a, n, b, m (its lines on both sides), text with its header; no row for equal texts."""
     out = with_script(pairs, a, b, "_script").withColumn("_hunks", _with_lines(pairs, a, b, lambda s, x, y: _hunks(s, x, y, context)))
     kept = [c for c in pairs.columns if c not in (a, b)]
-    return out.select(*kept, F.posexplode("_hunks").alias("hunk", "_h")).select(*kept, "hunk", "_h.*")
+    # outer, as a plain one would have Spark make each script once more for a filter on empty arrays
+    return out.select(*kept, F.posexplode_outer("_hunks").alias("hunk", "_h")).where("hunk IS NOT NULL").select(*kept, "hunk", "_h.*")
 
 
 def with_unified(pairs: DataFrame, a: str, b: str, context: int = 3, labels: tuple[str, str] = ("original", "modified"), name: str = "diff") -> DataFrame:
@@ -206,7 +207,7 @@ def aligned(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     kept = [c for c in pairs.columns if c not in (a, b)]
     out = with_script(pairs, a, b, "_script").withColumn("_rows", _with_lines(pairs, a, b, rows))
-    return out.select(*kept, F.posexplode("_rows").alias("place", "_r")).select(*kept, "place", "_r.*")
+    return out.select(*kept, F.posexplode_outer("_rows").alias("place", "_r")).where("place IS NOT NULL").select(*kept, "place", "_r.*")
 
 
 def edited(text: Column, first: Column, last: Column, replacement: Column) -> Column:

@@ -17,6 +17,7 @@ import keyword
 import tokenize
 import warnings
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +50,7 @@ class Code:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             self.tree = ast.parse(text)
+        self.all = list(ast.walk(self.tree))
         self.lines = [x.decode() for x in self.data.splitlines(keepends=True)]
         self.starts = [0]
         for x in self.lines:
@@ -57,9 +59,9 @@ class Code:
         self.tokens = [(self.starts[t.start[0] - 1] + len(self.lines[t.start[0] - 1][: t.start[1]].encode()), t)
                        for t in tokenize.generate_tokens(lambda: next(feed, "")) if t.start[0] <= len(self.lines)]
         self.names = {t.string for _, t in self.tokens if t.type == tokenize.NAME} | set(dir(builtins))
-        inside = {id(x) for f in ast.walk(self.tree) if isinstance(f, ast.JoinedStr) for x in ast.walk(f)}
-        self.nodes = [x for x in ast.walk(self.tree) if id(x) not in inside]  # bugs leave f-strings alone
-        shown = [f for f in ast.walk(self.tree) if isinstance(f, ast.FormattedValue) and self.data[self.span(f.value)[1] :].lstrip()[:1] == b"="]
+        inside = {id(x) for f in self.all if isinstance(f, ast.JoinedStr) for x in ast.walk(f)}
+        self.nodes = [x for x in self.all if id(x) not in inside]  # bugs leave f-strings alone
+        shown = [f for f in self.all if isinstance(f, ast.FormattedValue) and self.data[self.span(f.value)[1] :].lstrip()[:1] == b"="]
         self.shown = {id(x) for f in shown for x in ast.walk(f)}  # f"{x=}" prints the name
 
     def span(self, node: ast.AST) -> tuple[int, int]:
@@ -82,10 +84,11 @@ class Code:
         code = b"".join([*out, self.data[at:]]).decode()
         return code if parses(code) else None
 
+    @cached_property
     def places(self) -> list[tuple[int, str]]:
         """Lines (from 0) before which a statement or remark may stand, with their indent: those that begin with a statement after the first of its block."""
         found = []
-        for block in (getattr(x, f) for x in ast.walk(self.tree) for f in ("body", "orelse", "finalbody") if isinstance(getattr(x, f, None), list)):
+        for block in (getattr(x, f) for x in self.all for f in ("body", "orelse", "finalbody") if isinstance(getattr(x, f, None), list)):
             for s in block[1:]:
                 line = min([s.lineno, *(d.lineno for d in getattr(s, "decorator_list", []))]) - 1
                 head = self.lines[line]
@@ -148,7 +151,7 @@ def local_names(function: ast.AST) -> dict[str, list[ast.Name]]:
 
 def _rename(c: Code) -> tuple[list[Edit], str]:
     edits, told, taken = [], [], set(c.names)
-    for f in (x for x in ast.walk(c.tree) if isinstance(x, FUNCTIONS)):
+    for f in (x for x in c.all if isinstance(x, FUNCTIONS)):
         for name, nodes in local_names(f).items():
             if any(id(n) in c.shown for n in nodes):
                 continue
@@ -175,7 +178,7 @@ def _uncomment(c: Code) -> tuple[list[Edit], str]:
 
 
 def _inserted(c: Code, what: str, lines: Callable[[], tuple[str, ...]]) -> tuple[list[Edit], str]:
-    places = c.places()
+    places = c.places
     if not places:
         return [], ""
     line, indent = places[c.draw(len(places), what)]
@@ -252,7 +255,7 @@ def _missing_return(c: Code) -> list[list[Edit]]:
 
 def _wrong_variable(c: Code) -> list[list[Edit]]:
     out = []
-    for f in (x for x in ast.walk(c.tree) if isinstance(x, FUNCTIONS)):
+    for f in (x for x in c.all if isinstance(x, FUNCTIONS)):
         known = sorted({a.arg for a in ast.walk(f.args) if isinstance(a, ast.arg)} | set(local_names(f)))
         seen = {id(x) for x in c.nodes}
         loads = [x for s in f.body if not isinstance(s, SCOPES) for x in [s, *_own(s)] if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load) and x.id in known and id(x) in seen]
@@ -296,7 +299,8 @@ def _rows(docs: DataFrame, of: Callable[[str | None, str], list[dict]], schema:
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(f":{seed}"))
     kept = [c for c in docs.columns if c != text_col]
     held = docs.where(F.length(text_col) > 0).withColumn("_found", pandas_udf(run, schema)(F.col(text_col), key))
-    return held.select(*kept, F.explode("_found").alias("_r")).select(*kept, "_r.*")
+    # outer, as a plain explode would have Spark call the function once more for a filter on empty arrays
+    return held.select(*kept, F.explode_outer("_found").alias("_r")).where("_r IS NOT NULL").select(*kept, "_r.*")
 
 
 def augmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
