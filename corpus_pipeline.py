@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, quality rules, exact dedup, near dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents. The stage near_dedup takes candidates from MinHash
-bands and a set-similarity join, not from SimHash (the README has the figures).
+again as the next stage's docs. All but the last return the columns of documents. The stage near_dedup takes candidates from
+SimHash and its covering masks, and what lies beyond their radius from MinHash bands; each is checked by Jaccard (the README has the figures).
 
 Defined cases: null and empty texts are rejected by the first stage; a null language is a language of its own, a null source a host of its
 own; of rows with equal texts, or equal ids and texts, one stays, and a null doc_id is preferred to no other; a very long text is read

@@ -14,6 +14,9 @@ smallest of them gives the same components with rows linear in the bucket, howev
 Components come from repeated large-star and small-star steps over links, each written to the shared
 folder; no links, fingerprints or components reach the driver.
 
+For wider radii, whose 2^(r+1)-1 masks would be too many, the bits are cut into parts (covering_masks): texts within the radius are within a
+part's share of it on some part, whose own masks cover that. The pipeline takes its candidates from them (near_copies).
+
 Defined cases: a null text counts as empty, and without words the fingerprint is zero, linked like
 any other; repeated rows share a fingerprint; a null doc_id is never a component's id unless alone;
 a very long text is hashed whole, in bounded blocks of bits; an empty table gives an empty result; other columns are ignored.
@@ -53,6 +56,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def wide_fingerprint(text: str, words: int = 2) -> np.ndarray:
+    """64 bits for each of so many longs: of a text's different words, so that what every text repeats weighs no more than the rest."""
+    own = list(set(text.encode().lower().split()))
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(own), 1 << 14):
+        hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + k) for k in range(words)] for w in own[at : at + (1 << 14)]], np.uint64)
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own)).view(">u8").astype(np.uint64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), written."""
 
@@ -71,6 +84,34 @@ def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
     return [sum(1 << i for i in range(64) if bin(int(images[i]) & v).count("1") % 2) for v in range(1, 1 << (radius + 1))]
 
 
+def covering_masks(words: int, parts: int, radius: int, seed: int = SEED) -> np.ndarray:
+    """A row of longs for each mask over 64 * words bits: two fingerprints within the radius agree on all bits of some mask.
+
+    Of parts that don't overlap, one has at most radius // parts of the differing bits; its masks are made as those of masks().
+    """
+    r, within = np.random.default_rng(seed), radius // parts
+    order = r.permutation(64 * words)
+    out = []
+    for k in range(parts):
+        at = order[k::parts]
+        images = np.resize(r.permutation(np.arange(1, 1 << (within + 1))), len(at))  # each vector about equally often, so that masks have about as many bits
+        for v in range(1, 1 << (within + 1)):
+            bits = np.zeros(64 * words, np.uint8)
+            bits[at] = np.bitwise_count(images & v) % 2
+            out.append(np.packbits(bits).view(">u8").astype(np.uint64))
+    return np.array(out)
+
+
+def covering_keys(fps: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """A hash for each fingerprint (row of fps) and mask; those of different masks differ."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    key = np.broadcast_to(np.arange(1, len(masks) + 1, dtype=np.uint64), (len(fps), len(masks)))
+    for k in range(masks.shape[1]):
+        key = (key ^ (fps[:, k, None] & masks[:, k])) * mix
+        key = key ^ (key >> np.uint64(32))
+    return key * mix
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -383,6 +384,44 @@ def test_covering_masks():
     assert len(masks) == 7 and all(any(not (m >> a & 1 or m >> b & 1) for m in masks) for a in range(64) for b in range(64))
 
 
+def test_covering_masks_in_parts():
+    """Fingerprints within the radius share a key, whichever bits differ; those that differ in half of the bits hardly ever do."""
+    r, masks = random.Random(3), near_copies.MASKS
+    assert masks.shape == (45, 2)
+    keys = lambda x: set(simhash.covering_keys(np.array([[x >> 64, x % (1 << 64)]], np.uint64), masks)[0].tolist())
+    for k in range(300):
+        x = r.getrandbits(128)
+        at = r.sample(range(128), 11) if k % 2 else [i for i in range(128) if any(int(m[0]) << 64 >> i & 1 or int(m[1]) >> i & 1 for m in masks[:15])][:11]
+        assert len(keys(x)) == 45 and keys(x) & keys(x ^ sum(1 << b for b in at))
+    assert sum(bool(keys(r.getrandbits(128)) & keys(r.getrandbits(128))) for _ in range(300)) <= 2
+
+
+def slow_wide(text):
+    """128 bits of the different words, counted bit by bit."""
+    words = set(text.lower().split())
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) << 64 | xxhash.xxh64_intdigest(w.encode(), 43) for w in words]
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("kind", ["masks", "bands"])
+def test_near_copy_candidates(spark, kind):
+    """The stage takes all pairs within the radius from SimHash's masks alone; bands give only pairs beyond it."""
+    r, given = random.Random(4), []
+    for k in range(12):
+        words = [f"w{k}x{j}" for j in range(90)]
+        for n in (0, 1, 2, 4, 7, 12):
+            given.append((len(given), " ".join([f"v{k}x{n}x{j}" if j in r.sample(range(90), n) else w for j, w in enumerate(words)])))
+    prints = {t: slow_wide(t) for _, t in given}
+    rows = near_copies.signed(spark.createDataFrame(given, "doc_id long, text string"), "doc_id", "text")
+    assert {(x.fp0 % (1 << 64)) << 64 | x.fp1 % (1 << 64) for x in rows.collect()} == set(prints.values())
+    text = {x.node: given[x.doc_id][1] for x in rows.collect()}
+    size = {x.node: x.n for x in rows.collect()}
+    kept = rows.withColumn("keys", F.filter("keys", lambda k: k.bitwiseAND(F.lit(1).cast("long")) == int(kind == "masks")))
+    got = {(x.a, x.b) for x in near_copies.candidates(kept, pairs=1000)[0].collect()}
+    within = {(a, b) for a in text for b in text if a < b and (prints[text[a]] ^ prints[text[b]]).bit_count() <= 11 and min(size[a], size[b]) >= 0.8 * max(size[a], size[b])}
+    assert len(within) > 12 and (got == within if kind == "masks" else got and not got & within)
+
+
 @pytest.mark.parametrize("pairs", [3, 1000])
 def test_near_copies(spark, docs, empty, pairs):
     """The pipeline's stage links what brute force links at a five-word Jaccard of 0.8, in small and in large buckets."""
