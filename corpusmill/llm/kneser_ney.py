@@ -177,14 +177,17 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
 
 
 def probabilities(model: Model, asked: DataFrame, order: int = ORDER) -> DataFrame:
-    """code, p of every different n-gram in asked (a column code, cheap to read again): its own probability, or its context's weight times that of its suffix."""
+    """code, p of every different n-gram in asked (a column code, cheap to read again): its own probability, or its context's weight times that of its suffix.
+
+    Each order is written: a plan of all orders in one would be described anew, whole, in the driver's memory whenever one of its dozens of exchanges ends.
+    """
     known = asked.sparkSession.range(1).select(F.lit(0).cast("long").alias("code"), F.lit(1 / 256).alias("p"))  # of the empty n-gram
     for n in range(1, order + 1):
         need = asked.select("code") if n == order else asked.select(_suffix(F.col("code"), n + 1).alias("code")).distinct()
         rows = need.withColumns({"context": _context(F.col("code")), "suffix": _suffix(F.col("code"), n)})
         rows = rows.join(model.p[n], "code", "left").join(model.weight[n], "context", "left").join(known.select(F.col("code").alias("suffix"), F.col("p").alias("q")), "suffix")
-        known = rows.select("code", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p"))
-    return written(known)
+        known = written(rows.select("code", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p")))
+    return known
 
 
 def _packed(docs: DataFrame, text_col: str, order: int) -> DataFrame:

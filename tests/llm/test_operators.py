@@ -384,6 +384,21 @@ def test_covering_masks():
     assert len(masks) == 7 and all(any(not (m >> a & 1 or m >> b & 1) for m in masks) for a in range(64) for b in range(64))
 
 
+def test_kneser_ney_plans_stay_small(spark, monkeypatch):
+    """No plan holds all orders: a driver describes a plan anew, whole, whenever one of its exchanges ends."""
+    seen = []
+
+    def counted(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return written(df)
+
+    written = kneser_ney.written
+    model = kneser_ney.train(spark.createDataFrame([(prose(k, 5),) for k in range(4)], "text string"))
+    asked = written(spark.createDataFrame([(x,) for x in kneser_ney.codes(pa.array([prose(9, 3)]))[0].tolist()], "code long").distinct())
+    monkeypatch.setattr(kneser_ney, "written", counted)
+    assert kneser_ney.probabilities(model, asked).count() == asked.count() and max(seen) <= 8
+
+
 def test_covering_masks_in_parts():
     """Fingerprints within the radius share a key, whichever bits differ; those that differ in half of the bits hardly ever do."""
     r, masks = random.Random(3), near_copies.MASKS
