@@ -6,6 +6,8 @@ series, and no series is gathered in a row.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,6 +188,10 @@ def stagnation(rows: DataFrame, s: Series, patience: int = 10, least: float = 0.
 
 
 def curriculum(rows: DataFrame, difficulty: Column, step: int, warm_up: int, bands: int = 5, start: float = 0.05) -> DataFrame:
-    """rows with band (from 0) and eligible: the difficulty is within a ceiling that rises from start to 1 over the warm-up."""
-    ceiling = 1.0 if warm_up <= 0 else start + (1 - start) * min(step / warm_up, 1.0)
+    """rows with band (from 0) and eligible: the difficulty is within a ceiling that rises from start to 1 over the warm-up.
+
+    The ceiling is computed exactly and rounded once, so that a difficulty equal to it is eligible.
+    """
+    low = Fraction(str(start))
+    ceiling = 1.0 if warm_up <= 0 else float(low + (1 - low) * min(Fraction(step) / Fraction(warm_up), 1))
     return rows.withColumns({"band": F.least(F.floor(difficulty * bands), F.lit(bands - 1)).cast("int"), "eligible": difficulty <= ceiling})

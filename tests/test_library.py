@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 
+import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import catalogue
 from corpusmill.functions.order import global_rank
 from corpusmill.operators import chunk, complexity, dedup, evaluation, filters, graph, metrics, mix, quality, score, search, stats, transform, vector
 from corpusmill.plans import registry
@@ -320,3 +323,19 @@ def test_definition_chunks_by_hand(spark):
     assert out[0].content == code.split("class")[0].rstrip("\n") and out[1].content.startswith("class Big") and out[2].content == "def last():\n    pass"
     small = chunk.definition_chunks(frame(spark, [code]), language="python", most=40, least=1).orderBy("chunk").collect()
     assert [(r.start_line, r.end_line, r.kind, r.name) for r in small] == [(1, 2, "module_level", ""), (3, 3, "import", ""), (4, 4, "import", ""), (5, 9, "function", ""), (10, 19, "class", "Big"), (20, 29, "class", ""), (30, 39, "class", ""), (40, 49, "class", ""), (50, 50, "class", ""), (51, 52, "function", "")]
+
+
+def as_sql(spark, tmp_path, name, texts):
+    frame(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    pq.write_table(pq.read_table(f"{tmp_path}/documents.parquet"), f"{tmp_path}/all.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/all.parquet'")
+    want = con.execute(f"SELECT * FROM ({catalogue.ORACLES[name]}) ORDER BY doc_id").fetchall()
+    found = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert found == want
+    return found
+
+
+def test_curriculum_at_the_ceiling(spark, tmp_path):
+    found = as_sql(spark, tmp_path, "q_curriculum", ["x" * 1674, "x" * 1675, "x" * 1676])
+    assert [eligible for _, _, eligible in found] == [True, True, False]
