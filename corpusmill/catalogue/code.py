@@ -84,7 +84,7 @@ def q_curriculum(spark, sf_dir) -> DataFrame:
 
 def q_truncate_tokens(spark, sf_dir) -> DataFrame:
     cut = chunk.truncate(transform.byte_tokens(_docs(spark, sf_dir)), 100)
-    return cut.select("doc_id", F.size("tokens").alias("n"), F.element_at("tokens", -1).alias("last"))
+    return cut.select("doc_id", F.size("tokens").alias("n"), F.try_element_at("tokens", F.lit(-1)).alias("last"))
 
 
 def q_definition_chunks(spark, sf_dir) -> DataFrame:

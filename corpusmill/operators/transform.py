@@ -17,6 +17,8 @@ from corpusmill.operators.score import language_of
 SECTIONS = {"instruction": "### Instruction:\n", "input": "### Input:\n", "response": "### Response:\n"}
 ROLE_PREFIX = {"system": "System: ", "user": "User: ", "assistant": "Assistant: "}
 TAB_WIDTH = {"python": 4, "typescript": 2, "javascript": 2}
+#: Byte tokens of a batch, unless one text has more.
+TOKENS = 1 << 22
 
 
 def normalize_whitespace(text: Column, tab_size: int = 4) -> Column:
@@ -74,13 +76,21 @@ def instruction_text(instruction: Column, context: Column, output: Column) -> Co
 
 
 def byte_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", offset: int = 0, bos: int | None = None, eos: int | None = None) -> DataFrame:
-    """id, tokens array<int>: UTF-8 bytes plus an offset, between optional markers."""
+    """id, tokens array<int>: UTF-8 bytes plus an offset, between optional markers. An empty or null text has the markers alone.
+
+    Tokens leave Python in batches of some TOKENS, or of one text that has more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tail = ([] if m is None else [m] for m in (bos, eos))
+        head, tail = (np.array([] if m is None else [m], np.int32) for m in (bos, eos))
         for b in batches:
-            ids = [np.concatenate([head, np.frombuffer((x or "").encode(), np.uint8).astype(np.int32) + offset, tail]).astype(np.int32) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "tokens"])
+            ids, begin, held = [], 0, 0
+            for k, x in enumerate(b.column(1)):
+                ids.append(np.concatenate([head, np.frombuffer((x.as_py() or "").encode(), np.uint8).astype(np.int32) + np.int32(offset), tail]))
+                held += len(ids[-1])
+                if held >= TOKENS or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, len(ids)), pa.array(ids, pa.list_(pa.int32()))], [id_col, "tokens"])
+                    ids, begin, held = [], k + 1, 0
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, tokens array<int>")

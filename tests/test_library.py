@@ -345,3 +345,14 @@ def test_duplication_at_the_edges(spark, tmp_path):
     lines = lambda n, copies: "\n".join(f"a line of some length {k}" for k in [*range(n - copies), *[0] * copies])
     found = as_sql(spark, tmp_path, "q_signal_duplication", [lines(20, c) for c in range(12)] + [lines(40, c) for c in range(22)] + [lines(100, c) for c in range(52)])
     assert {signal for _, signal in found} == {1.0, 0.85, 0.65, 0.45, 0.25, 0.1}
+
+
+def test_truncation_of_an_empty_text(spark, tmp_path):
+    assert as_sql(spark, tmp_path, "q_truncate_tokens", ["abc", "", "é" * 99, "x" * 200]) == [(0, 3, 99), (1, 0, None), (2, 100, 169), (3, 100, 120)]
+
+
+def test_byte_tokens_leave_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(transform, "TOKENS", 5)
+    docs = frame(spark, ["abcdefgh", "", None, "é", "ab", "abc", "a"]).coalesce(1)
+    found = {r.doc_id: r.tokens for r in transform.byte_tokens(docs, offset=3, bos=1, eos=2).collect()}
+    assert found == {k: [1, *[x + 3 for x in (t or "").encode()], 2] for k, t in enumerate(["abcdefgh", "", None, "é", "ab", "abc", "a"])}
