@@ -45,14 +45,30 @@ MASKS = simhash.covering_masks(WORDS, PARTS, RADIUS)
 PAIRS = 32
 #: An odd multiplier that spreads bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes whose images are made at once.
+BLOCK = 256
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """The different hashes, in order. Each word is hashed once; a shingle's hash mixes those of its words, in their order."""
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and addends, one of each for every minimum."""
+    a, b = np.random.default_rng(SEED).integers(0, 1 << 63, (2, ROWS * BANDS), np.uint64)
+    return a * np.uint64(2) + np.uint64(1), b
+
+
+PERMUTATIONS = _permutations()
+
+
+def hashed_words(text: str) -> tuple[np.ndarray, dict[bytes, bytes]]:
+    """The hashes of all words, in order, and the different words with their digests; each of these is hashed once."""
     words = text.encode().lower().split()
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-    width = min(shingle, len(words))
-    out = np.zeros(len(words) - width + 1, np.uint64)
+    own = {w: xxhash.xxh64_digest(w, SEED) for w in set(words)}
+    return np.frombuffer(b"".join(map(own.__getitem__, words)), ">u8").astype(np.uint64), own
+
+
+def shingles(h: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The different hashes of shingles, in order. A shingle's hash mixes those of its words (h), in their order."""
+    width = min(shingle, len(h))
+    out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
         out = (out ^ (out >> np.uint64(31))) * MIX + h[k : k + len(out)]
     return np.unique((out ^ (out >> np.uint64(29))) * MIX)
@@ -64,12 +80,12 @@ def node_of(hashes: np.ndarray) -> int:
 
 def bucket_keys(hashes: np.ndarray) -> np.ndarray:
     """One key for each band; keys of different bands differ."""
-    r = np.random.default_rng(SEED)
-    a, b = r.integers(0, 1 << 63, (2, ROWS * BANDS), np.uint64)
-    a = a * np.uint64(2) + np.uint64(1)
+    a, b = PERMUTATIONS
     least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):  # a bounded matrix, however long the text
-        np.minimum(least, (hashes[at : at + 4096, None] * a + b).min(axis=0), out=least)
+    for at in range(0, len(hashes), BLOCK):  # a matrix that stays in the processor's cache, however long the text
+        block = hashes[at : at + BLOCK, None] * a
+        block += b
+        np.minimum(least, block.min(axis=0), out=least)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         key = (key ^ (row >> np.uint64(29))) * MIX + row
@@ -96,11 +112,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE)
                 continue
             nodes, sizes, fps, bands = [], [], [], []
             for t in b.column(2).to_pylist():
-                own = shingles(t or "", shingle)
-                nodes.append(node_of(own))
-                sizes.append(len(own))
-                fps.append(simhash.wide_fingerprint(t or "", WORDS))
-                bands.append(bucket_keys(own))
+                h, own = hashed_words(t or "")
+                hashes = shingles(h, shingle)
+                nodes.append(node_of(hashes))
+                sizes.append(len(hashes))
+                fps.append(simhash.wide_fingerprint(own, WORDS))
+                bands.append(bucket_keys(hashes))
             fp = np.array(fps, np.uint64)
             keys = all_keys(fp, np.array(bands, np.uint64))
             ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32))
@@ -119,7 +136,7 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
         for b in batches:
-            sets = [shingles(t or "", shingle) for t in b.column(0).to_pylist()]
+            sets = [shingles(hashed_words(t or "")[0], shingle) for t in b.column(0).to_pylist()]
             nodes = np.array([node_of(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "set"])
 

@@ -24,7 +24,7 @@ a very long text is hashed whole, in bounded blocks of bits; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +56,19 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def wide_fingerprint(text: str, words: int = 2) -> np.ndarray:
-    """64 bits for each of so many longs: of a text's different words, so that what every text repeats weighs no more than the rest."""
-    own = list(set(text.encode().lower().split()))
-    ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(own), 1 << 14):
-        hashes = np.array([[xxhash.xxh64_intdigest(w, SEED + k) for k in range(words)] for w in own[at : at + (1 << 14)]], np.uint64)
-        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(own)).view(">u8").astype(np.uint64)
+def wide_fingerprint(own: Mapping[bytes, bytes], words: int = 2) -> np.ndarray:
+    """64 bits for each of so many longs: of a text's different words, so that what every text repeats weighs no more than the rest.
+
+    own: the different words with their XXH64 digests of SEED, which the first long takes; the others take those of the next seeds.
+    """
+    sums = []
+    for k in range(words):
+        digests = b"".join(own.values() if k == 0 else [xxhash.xxh64_digest(w, SEED + k) for w in own])
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(digests), 8 * 255):  # as many words as a byte counts
+            ones += np.unpackbits(np.frombuffer(digests[at : at + 8 * 255], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint8)
+        sums.append(ones)
+    return np.packbits(2 * np.concatenate(sums) > len(own)).view(">u8").astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

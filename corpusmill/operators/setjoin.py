@@ -42,7 +42,9 @@ def _bit(h: Column) -> Column:
 
 def prefix_lists(sets: DataFrame, share: float) -> DataFrame:
     """token, node, n (size of its set), place (of the token in its order, from 1), bits: prefixes, as far as another set has the token; written."""
-    each = sets.select("node", F.size("set").alias("n"), *_parities(F.col("set")), F.explode("set").alias("token"))
+    # in a step of its own: beside explode it would be computed for each token
+    known = sets.select("node", F.size("set").alias("n"), *_parities(F.col("set")), "set")
+    each = known.select("node", *ENTRY[1:2], *ENTRY[3:], F.explode("set").alias("token"))
     held = written(each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     order = Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "token")
     placed = each.join(small_side(held), "token", "left").withColumn("place", F.row_number().over(order))

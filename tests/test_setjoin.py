@@ -120,3 +120,15 @@ def test_nearest_items_of_empty_texts(spark):
     found = {x.doc_id: (x.most, round(x["mean"], 9), x.nearest) for x in dedup.nearest_items(rows, items).collect()}
     assert found == {0: (1.0, round((0.5 + 1 + 1) / 3, 9), 5), 1: (1.0, round((0.5 + 1 + 1) / 3, 9), 5), 2: (1.0, round(2 / 3, 9), 7), 3: (0.5, 0.5, 5)}
     assert dedup.nearest_items(rows, items.limit(0)).count() == 0
+
+
+def test_parities_are_computed_once_for_a_set(spark, monkeypatch):
+    """Not once for each of its tokens, which takes a set's length squared."""
+    plans, write = [], setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString().splitlines()) or write(df))
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4])], "node long, set array<long>")
+    setjoin.prefix_lists(sets, SHARE)
+    for plan in plans:
+        exploded = [k for k, line in enumerate(plan) if "Generate explode" in line]
+        assert exploded and all(k > exploded[-1] for k, line in enumerate(plan) if "aggregate(transform(" in line)
+    assert any("aggregate(transform(" in line for plan in plans for line in plan)
