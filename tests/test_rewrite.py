@@ -117,3 +117,23 @@ def test_rows(spark):
     found = rewrite.with_bugs(docs, seed=7).collect()
     assert sorted(r["bug"] for r in found if r["bug_of"] == "b") == ["off_by_one", "type_error"]
     assert rewrite.with_bugs(docs.limit(0)).count() == 0
+
+
+def test_plain_texts_are_parsed_once(monkeypatch):
+    text = "import sys\nimport os\n# two\ndef f(amount):\n    total = amount + 3  # three\n    if total < 10:\n        return total\n    return amount\n"
+    want = rewrite.variants(text, "1:42"), rewrite.bugs(text, "1:42")
+    assert all(v["changed"] for v in want[0]) and len(want[1]) == len(rewrite.BUGS)
+    assert all(rewrite.parses(r["code"]) for rows in want for r in rows)
+    monkeypatch.setattr(rewrite, "parses", lambda code: pytest.fail("parsed again"))
+    assert (rewrite.variants(text, "1:42"), rewrite.bugs(text, "1:42")) == want
+
+
+@pytest.mark.parametrize("text", [
+    "x = 1 + \\\n    2\n# c\ny = x\n", "if True:\n    x = 1 \\\n# c\n    y = 2\n", "x = 0x1for 2\ny = 8or x\n", "def f(x):\n    match x:\n        case -1:\n            return 1\n        case 2 + 3j:\n            return 2\n",
+    "def f(x):\n    y = x\n    return f'{y!r:>{3}} {y=}'\n", "def f(x):\n    y = 1if x else(2)\n    return y and(x)\n", "def f(ñ):\n    é = ñ+1  # ü\n    return é\n", "x = 1\n\x0c\n# c\ny = 2\r\nz = 3\r\n",
+])
+def test_what_is_returned_parses(text):
+    for key in range(20):
+        rows = [*rewrite.variants(text, f"{key}:42"), *rewrite.bugs(text, f"{key}:42")]
+        assert rows or not rewrite.parses(text)
+        assert all(rewrite.parses(r["code"]) for r in rows)
