@@ -54,11 +54,17 @@ FUNCTION = "import sys\nimport os\n# order {k}\ndef order_{k}(amount):\n    tota
 BROKEN = "def order_{k}(\n"
 
 
+#: Orders whose code one task rewrites.
+TASK_ROWS = 50_000
+
+
 def _functions(spark, sf_dir) -> DataFrame:
     """Code of a function for each order; that of every tenth doesn't parse."""
     text = F.when(F.expr("o_orderkey % 10 = 7"), BROKEN).otherwise(FUNCTION)
     filled = F.replace(F.replace(text, F.lit("{k}"), F.col("o_orderkey").cast("string")), F.lit("{p}"), F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", filled.alias("text")).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")  # orders are one small file
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    tasks = max(spark.sparkContext.defaultParallelism, orders.count() // TASK_ROWS)  # orders are few files; their count is in them
+    return orders.repartition(tasks, "o_orderkey").select("o_orderkey", filled.alias("text"))
 
 
 def q_code_variants(spark, sf_dir) -> DataFrame:

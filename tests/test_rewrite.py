@@ -6,6 +6,7 @@ import ast
 
 import pytest
 
+from corpusmill.catalogue import editing
 from corpusmill.operators import rewrite
 
 SOURCE = '''#!/usr/bin/env python
@@ -137,3 +138,8 @@ def test_what_is_returned_parses(text):
         rows = [*rewrite.variants(text, f"{key}:42"), *rewrite.bugs(text, f"{key}:42")]
         assert rows or not rewrite.parses(text)
         assert all(rewrite.parses(r["code"]) for r in rows)
+
+
+def test_keys_are_dealt_before_the_code_is_filled_in(spark):
+    plan = editing._functions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [k for k, line in enumerate(plan) if "def order_" in line][-1] < next(k for k, line in enumerate(plan) if "Repartition" in line)
