@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from corpusmill.operators import setjoin
 from corpusmill.session import small_side, written
 
 PRIME, PERMUTATIONS, BANDS, SHINGLE = (1 << 31) - 1, 128, 16, 5
+#: Units whose images a task keeps, of 512 bytes each, and whose hashes it keeps.
+KEPT, HASHED = 1 << 17, 1 << 20
 
 
 def mark_copies(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataFrame:
@@ -62,6 +65,63 @@ def normal_text(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text_or_empty(text)), r"[ \t\n\r\x0b\x0c]+", " "))
 
 
+class _Minima:
+    """Minima of the permutations over a text's different units, its substrings of `shingle` characters.
+
+    A unit is a number, made from those that its characters were given; a text with too many different ones has strings as units.
+    The hashes of the first HASHED units that a task meets are kept, and the images of the first KEPT, as few units make up most of all texts.
+    """
+
+    def __init__(self, shingle: int, permutations: int) -> None:
+        self.shingle, self.bits = shingle, 63 // shingle
+        self.a, self.b = coefficients(permutations)
+        self.places: dict[int | str, int] = {}
+        self.images, self.hashes = np.empty((KEPT, permutations), np.uint32), np.empty(HASHED, np.int64)
+        self.numbers, self.chars = np.zeros(0x110000, np.int64), [""]
+
+    def units(self, t: str) -> list[int] | list[str]:
+        if len(t) < self.shingle:
+            return [t]
+        points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        new = np.unique(points[self.numbers[points] == 0]).tolist()
+        if len(self.chars) + len(new) > 1 << self.bits:
+            return list({t[i : i + self.shingle] for i in range(len(t) - self.shingle + 1)})
+        for c in new:
+            self.numbers[c] = len(self.chars)
+            self.chars.append(chr(c))
+        numbers, last = self.numbers[points], len(t) - self.shingle + 1
+        key = np.zeros(last, np.int64)
+        for k in range(self.shingle):
+            key = (key << self.bits) | numbers[k : k + last]
+        return np.unique(key).tolist()
+
+    def text(self, unit: int | str) -> str:
+        if isinstance(unit, str):
+            return unit
+        return "".join(self.chars[unit >> self.bits * k & (1 << self.bits) - 1] for k in reversed(range(self.shingle)))
+
+    def of(self, t: str) -> np.ndarray:
+        least, units = np.full(len(self.a), PRIME, np.int64), self.units(t)
+        place = self.places.get
+        for at in range(0, len(units), 256):  # a matrix that stays in the processor's cache, however long the text
+            some = units[at : at + 256]
+            places = np.array([place(u, -1) for u in some])
+            kept = places[(places >= 0) & (places < KEPT)]
+            if len(kept):
+                np.minimum(least, self.images.take(kept, axis=0).min(axis=0), out=least)
+            if len(kept) == len(some):
+                continue
+            new = [some[k] for k in np.flatnonzero(places < 0).tolist()]
+            h = np.fromiter((int.from_bytes(hashlib.md5(self.text(u).encode()).digest()[:4], "big") % PRIME for u in new), np.int64, len(new))  # noqa: S324
+            images = (np.concatenate([h, self.hashes[places[places >= KEPT]]])[:, None] * self.a + self.b) % PRIME
+            np.minimum(least, images.min(axis=0), out=least)
+            first = len(self.places)
+            self.hashes[first : first + len(new)] = h[: HASHED - first]
+            self.images[first : first + len(new)] = images[: min(len(new), max(KEPT - first, 0))]
+            self.places.update(zip(new, range(first, HASHED), strict=False))
+        return least
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
     """id, signature array<long>: minima over the different character shingles of the normalised text.
 
@@ -70,18 +130,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        a, b = coefficients(permutations)
+        minima = _Minima(shingle, permutations)
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                units = {t[i : i + shingle] for i in range(max(1, len(t) - shingle + 1))} if t else set()
-                h = np.fromiter((int.from_bytes(hashlib.md5(u.encode()).digest()[:4], "big") % PRIME for u in units), np.int64, len(units))
-                least = np.full(permutations, PRIME, np.int64)
-                for at in range(0, len(h), 4096):
-                    np.minimum(least, ((h[at : at + 4096, None] * a + b) % PRIME).min(axis=0), out=least)
-                out.append(least if units else None)
+            out = [minima.of(t) if t else None for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], [id_col, "signature"])
 
     kind = dict(docs.dtypes)[id_col]

@@ -356,3 +356,20 @@ def test_byte_tokens_leave_in_batches(spark, monkeypatch):
     docs = frame(spark, ["abcdefgh", "", None, "é", "ab", "abc", "a"]).coalesce(1)
     found = {r.doc_id: r.tokens for r in transform.byte_tokens(docs, offset=3, bos=1, eos=2).collect()}
     assert found == {k: [1, *[x + 3 for x in (t or "").encode()], 2] for k, t in enumerate(["abcdefgh", "", None, "é", "ab", "abc", "a"])}
+
+
+@pytest.mark.parametrize(("kept", "hashed"), [(0, 0), (3, 7), (1 << 10, 1 << 12)])
+def test_minima_of_kept_units(monkeypatch, kept, hashed):
+    calls, md5 = [], dedup.hashlib.md5
+    monkeypatch.setattr(dedup, "KEPT", kept)
+    monkeypatch.setattr(dedup, "HASHED", hashed)
+    monkeypatch.setattr(dedup.hashlib, "md5", lambda x: calls.append(x) or md5(x))
+    a, b = dedup.coefficients(16)
+    minima = dedup._Minima(5, 16)
+    texts = ["the quick brown fox " * 30, "ab", "abcde", "é" * 9, "".join(map(chr, range(0x4E00, 0x4E00 + 5000))), "jumps over the \U0001f98a", " ".join(map(str, range(700)))]
+    for t in texts * 2:
+        units = {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+        h = np.array([int.from_bytes(md5(u.encode()).digest()[:4], "big") % dedup.PRIME for u in units])
+        assert minima.of(t).tolist() == ((h[:, None] * a + b) % dedup.PRIME).min(axis=0).tolist()
+    if hashed > 1 << 11:
+        assert minima.of(texts[0]).tolist() and calls.count(b"quick") == 1
